@@ -15,10 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrymass.llm.store import join_counted, persist
+from ferrymass.llm.store import PAGE_BITS, bit_is_set, bit_pages, join_counted, persist
 
 FILTER_BITS = 1 << 27
-_PAGE_BITS = 32768
 
 
 def _position(text: Column, seed: int) -> Column:
@@ -29,15 +28,7 @@ def _position(text: Column, seed: int) -> Column:
 def _repeated_bits(texts: DataFrame, seed: int) -> DataFrame:
     """Pages of the filter of bits that two rows or more share: page, bits (4096 bytes)."""
     at = texts.select(_position(F.col("_text"), seed).alias("at")).groupBy("at").count().filter("count > 1")
-    page = F.floor(F.col("at") / _PAGE_BITS).cast("long")
-    return at.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(_PAGE_BITS))).alias("bits"))
-
-
-def _hit(position: Column, bits: Column) -> Column:
-    """Whether the bit at position is set in its page; no page, no hit."""
-    inner = F.pmod(position, F.lit(_PAGE_BITS))
-    byte = F.conv(F.hex(F.substring(bits, F.floor(inner / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, F.pmod(inner, F.lit(8)).cast("int")) == 1, F.lit(False))
+    return bit_pages(at, "at")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,8 +44,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spots = texts.select("_id", F.sha2(F.encode("_text", "UTF-8"), 256).alias("text_sha256"), _position(F.col("_text"), 0).alias("_a"), _position(F.col("_text"), 1).alias("_b"))
     for seed, at in ((0, "_a"), (1, "_b")):
         pages = _repeated_bits(texts, seed).withColumnsRenamed({"page": f"{at}page", "bits": f"{at}bits"})
-        spots = spots.withColumn(f"{at}page", F.floor(F.col(at) / _PAGE_BITS).cast("long")).join(F.broadcast(pages), f"{at}page", "left")
-    tested = persist(spots.select("_id", "text_sha256", (_hit(F.col("_a"), F.col("_abits")) & _hit(F.col("_b"), F.col("_bbits"))).alias("_maybe")), "exact-tested")
+        spots = spots.withColumn(f"{at}page", F.floor(F.col(at) / PAGE_BITS).cast("long")).join(F.broadcast(pages), f"{at}page", "left")
+    tested = persist(spots.select("_id", "text_sha256", (bit_is_set(F.col("_a"), F.col("_abits")) & bit_is_set(F.col("_b"), F.col("_bbits"))).alias("_maybe")), "exact-tested")
     unique = tested.filter("NOT _maybe").select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     maybe = tested.filter("_maybe").select("_id", "text_sha256")
     groups = persist(maybe.groupBy("text_sha256").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size")), "exact-groups")

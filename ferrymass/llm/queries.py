@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ferrymass.llm import byte_bpe, decontam, exact_dedup, quality
+from ferrymass.llm import byte_bpe, decontam, exact_dedup, ngram_join, quality
 
 QUERIES = {
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op6_decontaminate": decontam.op6_decontaminate,
     "op7_quality": quality.op7_quality,

@@ -45,3 +45,28 @@ def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count: str
     hot = marked.filter("_heavy").drop("_heavy").join(F.broadcast(heavy), keys, "left")
     rest = marked.filter("_heavy IS NULL").drop("_heavy").join(groups.filter(F.col(count) <= bar), keys, "left")
     return hot.unionByName(rest)
+
+
+#: Bits of the membership filter that keep_members sends to every task: 16 MB, whatever the input.
+MEMBER_BITS = 1 << 27
+PAGE_BITS = 32768
+
+
+def bit_pages(positions: DataFrame, at: str) -> DataFrame:
+    """A bitmap as pages of 4096 bytes: page, bits."""
+    return positions.groupBy(F.floor(F.col(at) / PAGE_BITS).cast("long").alias("page")).agg(F.bitmap_construct_agg(F.pmod(F.col(at), F.lit(PAGE_BITS))).alias("bits"))
+
+
+def bit_is_set(position, bits):
+    """Whether the bit at position is set in its page; no page, no bit."""
+    inner = F.pmod(position, F.lit(PAGE_BITS))
+    byte = F.conv(F.hex(F.substring(bits, F.floor(inner / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, F.pmod(inner, F.lit(8)).cast("int")) == 1, F.lit(False))
+
+
+def keep_members(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be among members: all that are, and some by chance, told by a filter of fixed size. Rows don't shuffle."""
+    pages = bit_pages(members.select(F.pmod(F.xxhash64(key), F.lit(MEMBER_BITS)).alias("at")), "at")
+    spot = F.pmod(F.xxhash64(key), F.lit(MEMBER_BITS))
+    marked = rows.withColumn("page", F.floor(spot / PAGE_BITS).cast("long")).join(F.broadcast(pages), "page", "left")
+    return marked.filter(bit_is_set(spot, F.col("bits"))).drop("page", "bits")
