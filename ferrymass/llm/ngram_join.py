@@ -12,8 +12,8 @@ Allocation follows cost. Keys that over HOT sets share are not enumerated. A pai
 that meets elsewhere is kept only if the keys it shares, with the hot ones that
 both hold, reach the number that pigeonhole demands. Sets whose hot and empty
 segments could hide a partner altogether meet on the hot keys among themselves:
-first each with the least of its key, and once linked sets have collapsed into
-components, those of different components. Sets whose empty segments alone could
+first each with the most typical of its key, and once linked sets have collapsed into
+components, the sets of mixed keys by their rarest elements. Sets whose empty segments alone could
 hide a partner (small ones) also index the one-deletion neighbourhood of every
 segment. Pairs that remain are verified on the whole sets. Nothing is capped:
 every link between different sets is found or its ends are already connected.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrymass.llm import kernels
@@ -70,7 +70,7 @@ def _key(seg: np.ndarray, total: np.ndarray, band: int) -> np.ndarray:
 
 
 def index_keys(u: np.ndarray):
-    """Keys of a set at its band's limit and at the one below, and (n, non-empty segments at each, whether they need deletions).
+    """Keys of a set at its band's limit and at the one below, and (n, its band, non-empty segments at each).
 
     A set is short of segments where its empty ones could hide all that a
     partner must have in common with it; then each segment's subsets of one
@@ -95,7 +95,7 @@ def index_keys(u: np.ndarray):
             keys.append(_key(seg[own][~alone], less[~alone], b))
             # A segment of one element has only the empty subset below it; its element is the key by which such sets meet.
             keys.append(kernels.mix(kernels.mix(u) + _U(b)))
-    return np.unique(np.concatenate(keys)), (n, filled[0], filled[1])
+    return np.unique(np.concatenate(keys)), (n, band, filled[0], filled[1])
 
 
 def _set_id(u: np.ndarray) -> int:
@@ -109,8 +109,8 @@ def _sets(texts) -> Iterator[np.ndarray]:
 
 def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(_set_id(u), *index_keys(u)[1]) if len(u) else (None, 0, 0, 0) for u in _sets(b["text"].tolist())]
-        out = pd.DataFrame(rows, columns=["set", "n", "up", "low"]).astype({"set": "Int64"})
+        rows = [(_set_id(u), *index_keys(u)[1]) if len(u) else (None, 0, 0, 0, 0) for u in _sets(b["text"].tolist())]
+        out = pd.DataFrame(rows, columns=["set", "n", "band", "up", "low"]).astype({"set": "Int64"})
         out.insert(0, "doc_id", b["doc_id"].to_numpy())
         yield out
 
@@ -210,12 +210,26 @@ def _links(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
+def _elements(named: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """set, elements (8 bytes each) of the named sets."""
+    wanted = persist(reps.join(named, "set").select("set", F.col("rep").alias("doc_id")), "near-wanted")
+    made = keep_members(docs, wanted, "doc_id").mapInPandas(_arrays, "doc_id long, elements binary")
+    return persist(wanted.join(made, "doc_id").select("set", "elements"), "near-sets")
+
+
+def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for at in range(0, len(b), 200):
+            own = [np.frombuffer(e, "<i8") for e in b["elements"].iloc[at : at + 200]]
+            size = [len(x) for x in own]
+            part = b.iloc[at : at + 200]
+            yield pd.DataFrame({"set": np.repeat(part["set"].to_numpy(), size), "comp": np.repeat(part["comp"].to_numpy(), size), "n": np.repeat(size, size), "element": np.concatenate(own)})
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs a, b that link. Whole sets are made anew from one text of each set that a pair names."""
     named = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-    wanted = persist(reps.join(named, "set").select("set", F.col("rep").alias("doc_id")), "near-wanted")
-    elements = keep_members(docs, wanted, "doc_id").mapInPandas(_arrays, "doc_id long, elements binary")
-    elements = persist(wanted.join(elements, "doc_id").select("set", "elements"), "near-sets")
+    elements = _elements(named, docs, reps)
     linked = F.pandas_udf(_links, "boolean")
     x = elements.withColumnsRenamed({"set": "a", "elements": "x"})
     y = elements.withColumnsRenamed({"set": "b", "elements": "y"})
@@ -233,8 +247,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     other columns play no part. Sets are told apart by a 64-bit fingerprint.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = persist(texts.mapInPandas(_summaries, "doc_id long, set long, n long, up long, low long"), "near-rows")
-    info = persist(rows.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("up").alias("up"), F.first("low").alias("low")), "near-info")
+    rows = persist(texts.mapInPandas(_summaries, "doc_id long, set long, n long, band long, up long, low long"), "near-rows")
+    info = persist(rows.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("band").alias("band"), F.first("up").alias("up"), F.first("low").alias("low")), "near-info")
     entries = (info.agg(F.sum(F.col("up") + F.col("low"))).first()[0] or 0) + 1
     slots = min(max(16, entries // PER_SLOT), 1 << 30)
     packed = texts.mapInPandas(_pack(slots), "slot long, entries binary")
@@ -245,25 +259,19 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     limit = F.array(*[F.lit(int(x)) for x in LIMITS])
     low_limit = F.element_at(F.filter(limit, lambda x: x < F.col("n")), -1)
     facts = persist(
-        info.select("set", "n", "up", "low").join(hot_of, "set", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
+        info.select("set", "n", "band", "up", "low").join(hot_of, "set", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
         .withColumn("exposed", (F.col("hot") > 0) & ((F.col("up") - F.floor(F.col("n") / 3) <= F.col("hot")) | (F.col("low") - F.floor((F.col("n") + F.coalesce(low_limit, F.lit(0))) / 7) <= F.col("hot")))),
         "near-facts",
     )
-    a = facts.select(F.col("set").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n", "up", "low", "hot")])
-    b = facts.select(F.col("set").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("n", "up", "low", "hot")])
-    counted = met.filter("key = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared")).join(a, "a").join(b, "b")
-    # Bands are compared by what a set has at the smaller one's limit; the least of both choices never drops a link.
-    filled = F.greatest(F.least("a_up", F.when(F.col("a_low") > 0, F.col("a_low")).otherwise(F.col("a_up"))), F.least("b_up", F.when(F.col("b_low") > 0, F.col("b_low")).otherwise(F.col("b_up"))))
-    must = filled - F.floor((F.col("a_n") + F.col("b_n")) / 7)
-    alike = 4 * F.least("a_n", "b_n") >= 3 * F.greatest("a_n", "b_n")
-    pairs = persist(counted.filter(alike & (F.col("shared") + F.least("a_hot", "b_hot") >= must)).select("a", "b", "shared"), "near-pairs")
-
-    # First every set's least and best partner, and the least set of each hot key; most links of a group follow from these.
+    counted = met.filter("key = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared")).join(_as(facts, "a"), "a").join(_as(facts, "b"), "b")
+    pairs = persist(counted.filter(_alike() & (F.col("shared") + F.least("a_hot", "b_hot") >= _must())).select("a", "b", "shared"), "near-pairs")
+
+    # First every set's least and best partner, and the most typical set of each hot key (the original of edited copies has the largest share of hot keys); most links of a group follow from these.
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
     chosen = both.groupBy("a").agg(F.min("b").alias("least"), F.max_by("b", "shared").alias("best"))
     chosen = chosen.select("a", F.explode(F.array("least", "best")).alias("b"))
-    exposed = persist(hot.join(facts.filter("exposed").select("set", "n"), "set"), "near-exposed")
-    leaders = exposed.groupBy("key").agg(F.min(F.struct("set", "n")).alias("lead"), F.count("*").alias("size"))
+    exposed = persist(hot.join(facts.filter("exposed").drop("exposed"), "set"), "near-exposed")
+    leaders = exposed.groupBy("key").agg(F.max(F.struct((F.col("hot") / (F.col("up") + F.col("low"))).alias("share"), "set", "n")).alias("lead"), F.count("*").alias("size"))
     star = join_counted(exposed, persist(leaders, "near-leaders"), ["key"], "size", exposed.count()).filter(4 * F.least("n", "lead.n") >= 3 * F.greatest("n", "lead.n")).select(F.col("set").alias("a"), F.col("lead.set").alias("b"))
     first = _ordered(chosen.unionByName(star))
     reps = info.select("set", "rep")
@@ -271,7 +279,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     label = persist(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-label")
 
     # Then the pairs whose ends are still apart.
-    rest = _apart(pairs.select("a", "b"), label).unionByName(_hot_pairs(exposed, label))
+    rest = _apart(pairs.select("a", "b"), label).unionByName(_hot_pairs(exposed, label, texts, reps))
     more = _verify(persist(_ordered(rest).join(first, ["a", "b"], "left_anti"), "near-rest"), texts, reps)
     label = persist(components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-label")
 
@@ -284,6 +292,28 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.unionByName(rows.filter("n = 0").select(F.col("doc_id").alias(id_col), F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies")))
 
 
+def _as(facts: DataFrame, side: str) -> DataFrame:
+    return facts.select(F.col("set").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "band", "up", "low", "hot")])
+
+
+def _alike() -> Column:
+    """Whether the sizes of a and b allow a link at all."""
+    return 4 * F.least("a_n", "b_n") >= 3 * F.greatest("a_n", "b_n")
+
+
+def _must() -> Column:
+    """Keys that a linked pair shares at least, by pigeonhole.
+
+    Of one band, both have segments at both limits; of adjacent ones, at the
+    limit of the smaller one's band.
+    """
+    most = F.floor((F.col("a_n") + F.col("b_n")) / 7)
+    own = F.greatest("a_up", "b_up") - most
+    low = F.greatest("a_low", "b_low") - most
+    between = F.greatest(F.when(F.col("a_band") > F.col("b_band"), F.col("a_low")).otherwise(F.col("a_up")), F.when(F.col("b_band") > F.col("a_band"), F.col("b_low")).otherwise(F.col("b_up"))) - most
+    return F.when(F.col("a_band") == F.col("b_band"), F.greatest(own, F.lit(0)) + F.greatest(low, F.lit(0))).otherwise(between)
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -297,16 +327,30 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return _label(_label(pairs, "a", label, "la"), "b", label, "lb").filter("la <> lb").select("a", "b")
 
 
-def _hot_pairs(exposed: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs of exposed sets of like size and different components that meet on a hot key.
+def _hot_pairs(exposed: DataFrame, label: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Candidate pairs among the exposed sets whose hot keys hold more than one component.
 
-    Keys whose sets are all of one component have none and go first.
+    What linked sets share is at least three quarters of the larger one, so with
+    elements ordered by how few of these sets hold them, two linked sets have an
+    element in common among the first quarter (and one) of each. Sets that merely
+    contain a frequent passage differ there; only pairs of different components
+    are of interest.
     """
-    marked = persist(_label(exposed, "set", label, "comp"), "near-marked")
+    marked = _label(exposed.select("key", "set"), "set", label, "comp")
     mixed = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    left = persist(marked.join(mixed, "key", "left_semi"), "near-mixed")
-    other = left.select("key", F.col("set").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
-    return left.join(other, "key").filter("set < b AND comp <> other AND 4 * least(n, m) >= 3 * greatest(n, m)").select(F.col("set").alias("a"), "b")
+    left = persist(marked.join(mixed, "key", "left_semi").select("set", "comp").distinct(), "near-mixed")
+    held = _elements(left.select("set"), docs, reps).join(left, "set").mapInPandas(_explode, "set long, comp long, n long, element long")
+    held = persist(held, "near-held")
+    often = persist(held.groupBy("element").agg(F.count("*").alias("often")), "near-often")
+    ranked = join_counted(held, often, ["element"], "often", held.count())
+    ranked = ranked.groupBy("set").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "element"))).alias("e"))
+    head = ranked.select("set", "comp", "n", F.explode(F.slice("e", 1, F.floor(F.col("n") / 4).cast("int") + 1)).alias("e")).select("set", "comp", "n", "e.element").filter("e.often > 1")
+    head = persist(head, "near-head")
+    spread = head.groupBy("element").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("element")
+    head = persist(head.join(spread, "element", "left_semi"), "near-heads")
+    x = head.select("element", F.col("set").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
+    y = head.select("element", F.col("set").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
+    return x.join(y, "element").filter("a < b AND ca <> cb AND 4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b").distinct()
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
