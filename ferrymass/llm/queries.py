@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from ferrymass.llm import byte_bpe, decontam, exact_dedup, ngram_join, quality
+from ferrymass.llm import byte_bpe, chat, decontam, exact_dedup, ngram_join, pii, quality
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op6_decontaminate": decontam.op6_decontaminate,
     "op7_quality": quality.op7_quality,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op10_chat": chat.op10_chat,
 }
 
 ORACLES = {
+    "op10_chat": chat.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
 }
