@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from ferrymass.llm import byte_bpe, chat, decontam, exact_dedup, ngram_join, pii, quality
+from ferrymass.llm import byte_bpe, chat, decontam, exact_dedup, langid, line_templates, ngram_join, pii, quality
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_line_templates": line_templates.op4_line_templates,
+    "op5_langid": langid.op5_langid,
     "op6_decontaminate": decontam.op6_decontaminate,
     "op7_quality": quality.op7_quality,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
