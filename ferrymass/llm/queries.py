@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ferrymass.llm import byte_bpe, chat, decontam, exact_dedup, langid, line_templates, ngram_join, pii, quality
+from ferrymass.llm import byte_bpe, chat, decontam, exact_dedup, langid, line_templates, ngram_join, pii, quality, substring_dedup
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_decontaminate": decontam.op6_decontaminate,
     "op7_quality": quality.op7_quality,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op9_suffix_dedup": substring_dedup.op9_suffix_dedup,
     "op10_chat": chat.op10_chat,
 }
 

@@ -64,9 +64,13 @@ def bit_is_set(position, bits):
     return F.coalesce(F.getbit(byte, F.pmod(inner, F.lit(8)).cast("int")) == 1, F.lit(False))
 
 
-def keep_members(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    """The rows whose key may be among members: all that are, and some by chance, told by a filter of fixed size. Rows don't shuffle."""
+def keep_members(rows: DataFrame, members: DataFrame, key: str, inside: bool = True) -> DataFrame:
+    """The rows whose key may be among members: all that are, and some by chance, told by a filter of fixed size. Rows don't shuffle.
+
+    Without inside, the other rows.
+    """
     pages = bit_pages(members.select(F.pmod(F.xxhash64(key), F.lit(MEMBER_BITS)).alias("at")), "at")
     spot = F.pmod(F.xxhash64(key), F.lit(MEMBER_BITS))
     marked = rows.withColumn("page", F.floor(spot / PAGE_BITS).cast("long")).join(F.broadcast(pages), "page", "left")
-    return marked.filter(bit_is_set(spot, F.col("bits"))).drop("page", "bits")
+    hit = bit_is_set(spot, F.col("bits"))
+    return marked.filter(hit if inside else ~hit).drop("page", "bits")
