@@ -178,7 +178,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for lang, _ in sorted((r["lang"], r["kinds"]) for r in ranked.collect()):
         own = counts.filter(F.col("lang") == lang).orderBy(F.desc("times"), "gram").limit(MOST).toPandas()
         models[lang] = KneserNey(own["gram"].to_numpy(np.int64).astype(_U), own["times"].to_numpy(np.int64))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION).toPandas()
+    # Ids first: a sort of texts would send the driver each task's own first ones.
+    chosen = rows.select("id").filter("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(CALIBRATION)
+    sample = rows.join(F.broadcast(chosen), "id", "left_semi").dropDuplicates(["id"]).toPandas().sort_values("id")
     return Models(models).calibrate(sample["text"].tolist(), sample["lang"].tolist())
 
 
