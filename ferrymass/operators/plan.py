@@ -58,4 +58,4 @@ def tile(plan: DataFrame, i0: int, j0: int, size: int) -> DataFrame:
 
 
 def transpose(cost: DataFrame) -> DataFrame:
-    return cost.withColumnsRenamed({"i": "j", "j": "i"})
+    return cost.select(*[F.col("j").alias("i") if c == "i" else F.col("i").alias("j") if c == "j" else c for c in cost.columns])

@@ -349,7 +349,7 @@ def q_hs_inner(spark, sf):
 @_query(f"{_M} SELECT x.problem, round(sum(sqrt(pow(coalesce(x.re, 0) - coalesce(y.re, 0), 2) + pow(coalesce(x.im, 0) - coalesce(y.im, 0), 2))), 4) + 0.0 AS error FROM m x FULL JOIN (SELECT problem, c AS r, r AS c, re, im FROM m) y USING (problem, r, c) GROUP BY 1")
 def q_quantum_residual(spark, sf):
     m = _matrix(spark, sf)
-    return matrices.entry_distance(m, m.withColumnsRenamed({"r": "c", "c": "r"})).withColumn("error", _r("error", 4))
+    return matrices.entry_distance(m, m.select("problem", F.col("c").alias("r"), F.col("r").alias("c"), "re", "im")).withColumn("error", _r("error", 4))
 
 
 ORACLES["q_quantum_residual"] = ORACLES["q_quantum_residual"].replace("SELECT x.problem, round", "SELECT problem, round")
@@ -409,7 +409,7 @@ def q_timing_summary(spark, sf):
     return archive.timing_summary(e, 100).withColumn("seconds", _r("seconds", 4))
 
 
-@_query("SELECT p::INT AS part, p * 36 AS start, 36::BIGINT AS size, greatest(0, least(36, 257 - p * 36)) AS valid FROM range(8) t(p)")
+@_query("SELECT p::INT AS part, p * ((257 + 7) // 8) AS start, ((257 + 7) // 8)::BIGINT AS size, greatest(0, least((257 + 7) // 8, 257 - p * ((257 + 7) // 8))) AS valid FROM range(8) t(p)")
 def q_row_partition(spark, sf):
     rows = [(p, *generate.row_partition(257, 8, p)) for p in range(8)]
     return spark.createDataFrame(pd.DataFrame(rows, columns=["part", "start", "size", "valid"])).select(F.col("part").cast("int"), "start", "size", "valid")
