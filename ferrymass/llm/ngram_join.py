@@ -332,8 +332,10 @@ def _hot_pairs(exposed: DataFrame, label: DataFrame, docs: DataFrame, reps: Data
 
     What linked sets share is at least three quarters of the larger one, so with
     elements ordered by how few of these sets hold them, two linked sets have an
-    element in common among the first quarter (and one) of each. Sets that merely
-    contain a frequent passage differ there; only pairs of different components
+    element in common among the first quarter (and one) of the larger and the first
+    seventh (and one) of the smaller: from the first element in common on, each has
+    3/7 of both sizes left. Sets that merely contain a frequent passage, and edited
+    copies that are too far apart, differ there; only pairs of different components
     are of interest.
     """
     marked = _label(exposed.select("key", "set"), "set", label, "comp")
@@ -344,13 +346,14 @@ def _hot_pairs(exposed: DataFrame, label: DataFrame, docs: DataFrame, reps: Data
     often = persist(held.groupBy("element").agg(F.count("*").alias("often")), "near-often")
     ranked = join_counted(held, often, ["element"], "often", held.count())
     ranked = ranked.groupBy("set").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "element"))).alias("e"))
-    head = ranked.select("set", "comp", "n", F.explode(F.slice("e", 1, F.floor(F.col("n") / 4).cast("int") + 1)).alias("e")).select("set", "comp", "n", "e.element").filter("e.often > 1")
+    head = ranked.select("set", "comp", "n", F.posexplode(F.slice("e", 1, F.floor(F.col("n") / 4).cast("int") + 1)).alias("at", "e")).select("set", "comp", "n", "at", "e.element", "e.often").filter("often > 1")
     head = persist(head, "near-head")
     spread = head.groupBy("element").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("element")
     head = persist(head.join(spread, "element", "left_semi"), "near-heads")
-    x = head.select("element", F.col("set").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    y = head.select("element", F.col("set").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    return x.join(y, "element").filter("a < b AND ca <> cb AND 4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b").distinct()
+    x = head.filter("7 * at <= n").select("element", F.col("set").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    y = head.select("element", F.col("set").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    far_enough = "7 * (na - ia) >= 3 * (na + nb) AND 7 * (nb - ib) >= 3 * (na + nb)"
+    return x.join(y, "element").filter(f"ca <> cb AND (na < nb OR na = nb AND a < b) AND 4 * na >= 3 * nb AND {far_enough}").select("a", "b").distinct()
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
