@@ -109,8 +109,9 @@ def _sets(texts) -> Iterator[np.ndarray]:
 
 def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(_set_id(u), *index_keys(u)[1]) if len(u) else (None, 0, 0, 0, 0) for u in _sets(b["text"].tolist())]
-        out = pd.DataFrame(rows, columns=["set", "n", "band", "up", "low"]).astype({"set": "Int64"})
+        # An empty set's fingerprint is 0, not null: a null would make the column float and round the others.
+        rows = [(_set_id(u), *index_keys(u)[1]) if len(u) else (0, 0, 0, 0, 0) for u in _sets(b["text"].tolist())]
+        out = pd.DataFrame(rows, columns=["set", "n", "band", "up", "low"], dtype="int64")
         out.insert(0, "doc_id", b["doc_id"].to_numpy())
         yield out
 
