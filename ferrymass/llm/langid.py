@@ -130,7 +130,7 @@ class Models:
         """For each text its characters and the cross-entropy of each language, in nats a character."""
         for _, count, grams in _grams(texts):
             kinds, which = np.unique(grams, return_inverse=True)
-            cost = np.stack([-np.log(m.probability(kinds)) for m in self.models.values()])
+            cost = np.array([-np.log(m.probability(kinds)) for m in self.models.values()]).reshape(len(self.models), len(kinds))
             ends = np.cumsum(count)
             some = count > 0
             sums = np.zeros((len(cost), len(count)))
