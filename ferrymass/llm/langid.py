@@ -2,10 +2,11 @@
 
 Texts are lower-cased, other characters than letters become single spaces, and
 every character is predicted from the three before it. Counts come from all
-texts outside the held-out fold, summed by Spark; what remains is one row for
-each four-character string a language has, which is bounded by MOST for each
-language. A model holds sorted arrays of packed strings; looking a string up is a
-binary search. The language with the lowest cross-entropy per character wins; a
+texts outside the held-out fold, summed by Spark, and no string is left out: the
+models grow with the input. A model holds sorted arrays of packed strings; looking
+a string up is a binary search. Models go to the tasks whole up to HELD strings;
+larger ones are dealt by a string's last character but one into shards of at most
+that many, and a text's cross-entropy is the sum over the shards. The language with the lowest cross-entropy per character wins; a
 temperature fitted on a bounded sample turns entropies into a score, and texts
 whose best entropy lies above a calibrated bar can be rejected.
 """
@@ -13,18 +14,20 @@ whose best entropy lies above a calibrated bar can be rejected.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrymass.llm.folds import held_out
 from ferrymass.llm.store import persist
 
 ORDER = 4
-#: Strings of a language's model at most, the most frequent ones: the model's size, 16 MB or so a language.
-MOST = 500_000
+#: Strings in a shard of the models, all languages together: about 64 MB in a task. More make more shards; only one character's own strings can exceed it.
+HELD = 2_000_000
 #: Learned texts that the temperature and the bar are fitted on, at most.
 CALIBRATION = 1000
 DISCOUNT = 0.75
@@ -84,12 +87,14 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class KneserNey:
-    """Interpolated Kneser-Ney probabilities of one language from its four-character counts."""
+    """Interpolated Kneser-Ney probabilities of one language from its four-character counts, and from how many characters come before each single one."""
 
-    def __init__(self, grams: np.ndarray, times: np.ndarray):
+    def __init__(self, grams: np.ndarray, times: np.ndarray, single: np.ndarray, before: np.ndarray):
         self.seen: list[tuple[np.ndarray, np.ndarray]] = []
         self.back: list[tuple[np.ndarray, np.ndarray]] = []
         for order in range(ORDER, 0, -1):
+            if order == 1:
+                grams, times = single, before
             keys = np.sort(grams)
             times = times[np.argsort(grams, kind="stable")].astype(float)
             context = keys >> _U(16)
@@ -101,7 +106,7 @@ class KneserNey:
             # Below, a string counts once for each character that comes before it.
             lower = keys & _U((1 << 16 * (order - 1)) - 1)
             grams, times = np.unique(lower, return_counts=True)
-        self.floor = 1.0 / (len(self.seen[-1][0]) + 1)
+        self.floor = 1.0 / (len(single) + 1)
 
     def probability(self, grams: np.ndarray) -> np.ndarray:
         p = np.full(len(grams), self.floor)
@@ -118,19 +123,25 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: float
     return np.where(keys[at] == wanted, values[at], other)
 
 
-class Models:
-    """All languages' models, with the score's temperature and the bar for rejection."""
+class Shard:
+    """All languages' models of the strings whose last character but one has a code from lo up to hi.
 
-    def __init__(self, models: dict[str, KneserNey]):
-        self.models = models
-        self.temperature = 10.0
-        self.bar = np.inf
+    All that the probability of such a string needs, but for the single
+    characters, has that character in it too, so a shard is whole in itself.
+    """
 
-    def entropies(self, texts) -> Iterator[tuple[int, np.ndarray]]:
-        """For each text its characters and the cross-entropy of each language, in nats a character."""
+    def __init__(self, models: dict[str, KneserNey], lo: int = 0, hi: int = 1 << 16):
+        self.models, self.lo, self.hi = models, lo, hi
+
+    def sums(self, texts) -> Iterator[tuple[int, np.ndarray]]:
+        """For each text its characters and, by language, the nats of those that are the shard's."""
         for _, count, grams in _grams(texts):
             kinds, which = np.unique(grams, return_inverse=True)
-            cost = np.array([-np.log(m.probability(kinds)) for m in self.models.values()]).reshape(len(self.models), len(kinds))
+            last = (kinds >> _U(16)) & _U(0xFFFF)
+            own = (last >= _U(self.lo)) & (last < _U(self.hi))
+            cost = np.zeros((len(self.models), len(kinds)))
+            for lang, m in enumerate(self.models.values()):
+                cost[lang, own] = -np.log(m.probability(kinds[own]))
             ends = np.cumsum(count)
             some = count > 0
             sums = np.zeros((len(cost), len(count)))
@@ -138,24 +149,32 @@ class Models:
                 for lang in range(len(cost)):
                     sums[lang, some] = np.add.reduceat(cost[lang][which], (ends - count)[some])
             for k, c in enumerate(count.tolist()):
-                yield c, sums[:, k] / max(c, 1)
-
-    def predict(self, texts, reject: bool) -> Iterator[tuple[str, float]]:
-        names = list(self.models)
-        for c, h in self.entropies(texts):
-            if not c or not names or (reject and h.min() > self.bar):
-                yield UNKNOWN, 0.0
-                continue
-            odds = np.exp(-(h - h.min()) * self.temperature)
-            yield names[int(h.argmin())], float(1 / odds.sum())
-
-    def calibrate(self, texts: list[str], langs: list[str]) -> Models:
-        """Temperature of the best likelihood, and the entropy that one in a thousand right texts exceeds at most."""
-        names = list(self.models)
-        rows = [(h, names.index(lang)) for (c, h), lang in zip(self.entropies(texts), langs, strict=True) if c]
-        if rows:
-            h = np.stack([x for x, _ in rows])
-            own = np.array([y for _, y in rows])
+                yield c, sums[:, k]
+
+
+class Choice:
+    """How cross-entropies become a language and a score: temperature, and the bar for rejection."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+        self.temperature = 10.0
+        self.bar = np.inf
+
+    def pick(self, chars: int, nats: np.ndarray, reject: bool) -> tuple[str, float]:
+        if not chars or not self.names:
+            return UNKNOWN, 0.0
+        h = nats / chars
+        if reject and h.min() > self.bar:
+            return UNKNOWN, 0.0
+        odds = np.exp(-(h - h.min()) * self.temperature)
+        return self.names[int(h.argmin())], float(1 / odds.sum())
+
+    def calibrate(self, chars: np.ndarray, nats: np.ndarray, langs: list[str]) -> Choice:
+        """Temperature of the best likelihood, and a bar one deviation over the highest entropy of a text told right."""
+        some = np.flatnonzero(chars)
+        if len(some):
+            h = nats[some] / chars[some, None]
+            own = np.array([self.names.index(langs[i]) for i in some])
             gap = h - h.min(axis=1, keepdims=True)
 
             def loss(t: float) -> float:
@@ -168,38 +187,94 @@ class Models:
         return self
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models:
-    """Models of every language that the rows outside the held-out fold name. Rows without text or language teach nothing."""
+def _ranges(counts: DataFrame, held: int) -> list[tuple[int, int]]:
+    """Ranges of the last character but one, each with at most held strings unless it is a single character."""
+    per = counts.groupBy(_middle().alias("c")).agg(F.count("*").alias("n")).orderBy("c").collect()
+    edges, size = [0], 0
+    for c, n in per:
+        if size and size + n > held:
+            edges.append(c)
+            size = 0
+        size += n
+    return list(zip(edges, [*edges[1:], 1 << 16], strict=True))
+
+
+def _middle() -> Column:
+    return F.shiftrightunsigned("gram", 16).bitwiseAND(0xFFFF)
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held: int = HELD) -> tuple[Choice, list[Broadcast]]:
+    """Models of every language that the rows outside the held-out fold name, a shard at a time. Rows without text or language teach nothing."""
     rows = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = rows.select("lang", "text").mapInPandas(_count, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times"))
     counts = persist(counts, "langid-counts")
-    ranked = counts.groupBy("lang").agg(F.count("*").alias("kinds"))
-    models = {}
-    for lang, _ in sorted((r["lang"], r["kinds"]) for r in ranked.collect()):
-        own = counts.filter(F.col("lang") == lang).orderBy(F.desc("times"), "gram").limit(MOST).toPandas()
-        models[lang] = KneserNey(own["gram"].to_numpy(np.int64).astype(_U), own["times"].to_numpy(np.int64))
+    pairs = counts.select("lang", F.col("gram").bitwiseAND(0xFFFFFFFF).alias("gram")).distinct()
+    single = pairs.groupBy("lang", F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.count("*").alias("times")).toPandas()
+    names = sorted(single["lang"].unique().tolist())
     # Ids first: a sort of texts would send the driver each task's own first ones.
     chosen = rows.select("id").filter("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(CALIBRATION)
     sample = rows.join(F.broadcast(chosen), "id", "left_semi").dropDuplicates(["id"]).toPandas().sort_values("id")
-    return Models(models).calibrate(sample["text"].tolist(), sample["lang"].tolist())
-
-
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reject: bool = False) -> DataFrame:
+    chars, nats = np.zeros(len(sample)), np.zeros((len(sample), len(names)))
+    shards = []
+    for lo, hi in _ranges(counts, held):
+        own = counts.filter((_middle() >= lo) & (_middle() < hi)).toPandas()
+        models = {}
+        for lang in names:
+            many, one = own[own["lang"] == lang], single[single["lang"] == lang]
+            models[lang] = KneserNey(many["gram"].to_numpy(np.int64).astype(_U), many["times"].to_numpy(np.int64), one["gram"].to_numpy(np.int64).astype(_U), one["times"].to_numpy(np.int64))
+        shard = Shard(models, lo, hi)
+        for k, (c, s) in enumerate(shard.sums(sample["text"].tolist())):
+            chars[k] = c
+            nats[k] += s
+        shards.append(docs.sparkSession.sparkContext.broadcast(shard))
+    return Choice(names).calibrate(chars, nats, sample["lang"].tolist()), shards
+
+
+def _partial(shard: Broadcast):
+    """Characters and nats of each row, as far as one shard tells."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            told = list(shard.value.sums(b["text"].tolist()))
+            yield pd.DataFrame({"row": b["row"], "chars": [c for c, _ in told], "nats": [s.tolist() for _, s in told]})
+
+    return run
+
+
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reject: bool = False, held: int = HELD) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs.
 
     A null text or one without a letter is und with score 0, as is every text if
     nothing could be learnt; with reject, so is one that fits no language. Of
     languages that tie the first by name wins. Repeated rows give rows each, an
-    empty table none; other columns play no part.
+    empty table none; other columns play no part. Models of more than held
+    strings are sent out in shards, whose sums for a row are added up; that
+    changes no result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col))
-
-    @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame(list(shared.value.predict(texts.tolist(), reject)), columns=["lang_pred", "score"])
-
-    return docs.select(F.col(id_col), held_out(id_col).alias("held_out"), predict(F.coalesce(F.col(text_col), F.lit(""))).alias("p")).select(id_col, "held_out", "p.*")
+    choice, shards = learn(docs, id_col, text_col, lang_col, held)
+    rows = docs.select(F.col(id_col).alias("_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    answer = "struct<lang_pred:string,score:double>"
+
+    if len(shards) == 1:
+
+        @F.pandas_udf(answer)
+        def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for texts in batches:
+                yield pd.DataFrame([choice.pick(c, s, reject) for c, s in shards[0].value.sums(texts.tolist())], columns=["lang_pred", "score"])
+
+        told = rows.select("_id", "held_out", predict("text").alias("p"))
+    else:
+
+        @F.pandas_udf(answer)
+        def decide(chars: pd.Series, nats: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([choice.pick(c, np.asarray(s, float), reject) for c, s in zip(chars, nats, strict=True)], columns=["lang_pred", "score"])
+
+        rows = persist(rows.withColumn("row", F.expr("uuid()")), "langid-rows")
+        parts = [rows.select("row", "text").mapInPandas(_partial(s), "row string, chars long, nats array<double>") for s in shards]
+        sums = [F.sum(F.element_at("nats", k + 1)) for k in range(len(choice.names))]
+        added = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.max("chars").alias("chars"), F.array(*sums).alias("nats"))
+        told = rows.join(added, "row").select("_id", "held_out", decide("chars", "nats").alias("p"))
+    return told.select(F.col("_id").alias(id_col), "held_out", "p.*")
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

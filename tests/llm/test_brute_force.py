@@ -202,6 +202,15 @@ def test_langid_on_the_held_out_fold(spark):
     assert out >= 0.9
 
 
+def test_langid_in_shards_is_the_same(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs).collect()}
+    dealt = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, held=3000).collect()}
+    assert len(langid.learn(docs, held=3000)[1]) > 2
+    assert whole.keys() == dealt.keys()
+    assert all(whole[k][0] == dealt[k][0] and abs(whole[k][1] - dealt[k][1]) < 1e-9 for k in whole)
+
+
 def test_quality_on_the_held_out_fold(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
