@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrymass.llm.store import join_counted, persist
+from ferrymass.llm.store import join_spread, persist
 
 LEADING = 3
 #: Documents that a template must recur in.
@@ -49,7 +49,7 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     common = leaves.groupBy("leaf", "uid").agg(F.count("*").alias("own")).groupBy("leaf").agg(F.count("*").alias("docs"), F.sum("own").alias("size")).filter(F.col("docs") >= documents)
     common = persist(common, "lines-common")
     total = leaves.count()
-    marked = persist(join_counted(leaves, common.select("leaf", "size"), ["leaf"], "size", total).filter("size IS NOT NULL").select("uid", "line", "leaf"), "lines-marked")
+    marked = persist(join_spread(leaves, common.select("leaf", "size"), ["leaf"], "size", total).filter("size IS NOT NULL").select("uid", "line", "leaf"), "lines-marked")
     wanted = marked.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("line", "leaf"))).alias("leaf_of"))
     chosen = base.join(wanted, "uid").select("uid", "leaf_of", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(F.map_contains_key("leaf_of", F.col("line")))
     chosen = persist(chosen.select("uid", "line", F.element_at("leaf_of", F.col("line")).alias("leaf"), _tokens(F.col("text")).alias("t")), "lines-chosen")
@@ -57,15 +57,15 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = chosen.groupBy("leaf", "t").agg(F.count_distinct("uid").alias("docs"))
     kinds = persist(kinds.withColumn("kind", F.xxhash64("leaf", "t")), "lines-kinds")
     places = kinds.select("leaf", "kind", "docs", F.posexplode("t").alias("place", "token"))
-    steady = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= documents).select("leaf", "place", "token", F.col("docs").alias("times"))
-    kept = join_counted(places, persist(steady, "lines-steady"), ["leaf", "place", "token"], "times", max(kinds.count(), 1))
+    steady = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs"), F.count("*").alias("times")).filter(F.col("docs") >= documents).select("leaf", "place", "token", "times")
+    kept = join_spread(places, persist(steady, "lines-steady"), ["leaf", "place", "token"], "times", kinds.agg(F.sum(F.size("t"))).first()[0] or 0)
     template = kept.groupBy("leaf", "kind").agg(F.sort_array(F.collect_list(F.struct("place", F.when(F.col("times").isNotNull() & (F.col("token") != FIELD), F.col("token")).otherwise(F.lit(FIELD)).alias("token")))).alias("p"), F.first("docs").alias("docs"))
     template = template.select("kind", "leaf", "docs", F.transform("p", lambda x: x["token"]).alias("template"))
     template = template.withColumn("constant", F.size(F.filter("template", lambda x: x != FIELD)) / F.size("template")).filter(F.col("constant") >= CONSTANT)
     template = persist(template, "lines-templates")
     recurring = template.groupBy("leaf", "template").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= documents).select("leaf", "template")
     gone_kinds = persist(template.join(recurring, ["leaf", "template"], "left_semi").select("kind", F.lit(True).alias("gone"), "docs"), "lines-gone")
-    gone = join_counted(chosen.select("uid", "line", F.xxhash64("leaf", "t").alias("kind")), gone_kinds, ["kind"], "docs", chosen.count()).filter("gone")
+    gone = join_spread(chosen.select("uid", "line", F.xxhash64("leaf", "t").alias("kind")), gone_kinds, ["kind"], "docs", chosen.count()).filter("gone")
     gone = gone.groupBy("uid").agg(F.collect_set("line").alias("gone"))
     lines = F.split("text", "\n")
     drop = F.coalesce("gone", F.array().cast("array<int>"))

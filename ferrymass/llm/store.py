@@ -47,6 +47,20 @@ def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count: str
     return hot.unionByName(rest)
 
 
+def join_spread(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """As join_counted, but rows are read once: heavy keys' rows take part in the shuffle, dealt by a hash of the whole row."""
+    bar = max(total // HEAVY_SHARE, 1000)
+    if total <= bar:
+        return rows.join(groups, keys, "left")
+    values = F.struct(*[c for c in groups.columns if c not in keys])
+    heavy = groups.filter(F.col(count) > bar).select(*keys, values.alias("_heavy"))
+    light = groups.filter(F.col(count) <= bar).select(*keys, F.lit(0).cast("long").alias("_salt"), values.alias("_light"))
+    salt = F.when(F.col("_heavy").isNotNull(), F.xxhash64(*rows.columns).bitwiseOR(F.lit(1))).otherwise(0)
+    joined = rows.join(F.broadcast(heavy), keys, "left").withColumn("_salt", salt).join(light, [*keys, "_salt"], "left")
+    found = F.coalesce("_heavy", "_light")
+    return joined.select(*rows.columns, *[found[c].alias(c) for c in groups.columns if c not in keys])
+
+
 #: Bits of the membership filter that keep_members sends to every task: 16 MB, whatever the input.
 MEMBER_BITS = 1 << 27
 PAGE_BITS = 32768
