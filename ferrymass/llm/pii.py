@@ -4,16 +4,19 @@ Entities are the base spans: email, ip, card, phone. A term (a run of letters)
 near entities of a kind discloses the kind by PMI(term; kind) / IC(kind), where
 PMI = log(p(term, kind) / (p(term) p(kind))) and IC = -log p(kind), all by
 documents of the whole corpus: 1 for a term that never occurs without the kind
-nearby, 0 for an independent one. Terms above DISCLOSURE are spans of kind term.
+nearby, 0 for an independent one. Terms above DISCLOSURE are spans of kind term
+wherever they stand outside entities, in documents without an entity too.
 DataFrame functions only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrymass.llm.store import keep_members, persist
+from ferrymass.llm.store import join_spread, keep_members, persist
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: Code points on either side of an entity in which a term counts as near.
@@ -36,8 +39,8 @@ _LOOSE = r"(?<![0-9])[\x20-]|[\x20-](?![0-9])"
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
-def _places(text: Column, pattern: str, kind: int) -> Column:
-    """Matches of pattern as spans in code points: what stands between them gives their places."""
+def _places(text: Column, pattern: str, kind: int, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """Matches of pattern as spans in code points: what stands between them gives their places. Given wanted, only matches for which it is true."""
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
@@ -47,7 +50,8 @@ def _places(text: Column, pattern: str, kind: int) -> Column:
         first = acc["at"] + p["g"]
         last = first + F.length(p["m"])
         span = F.struct(first.alias("start"), F.lit(kind).alias("kind"), last.alias("end"), p["m"].alias("value"))
-        return F.struct(last.alias("at"), F.array_append(acc["out"], span).alias("out"))
+        out = F.array_append(acc["out"], span)
+        return F.struct(last.alias("at"), (out if wanted is None else F.when(wanted(p["m"]), out).otherwise(acc["out"])).alias("out"))
 
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
@@ -95,6 +99,19 @@ def _windows(text: Column, spans: Column) -> Column:
     return F.flatten(F.transform(spans, both))
 
 
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with a zero for each code point of an entity, so that places stay and no term reaches into one."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        first = F.greatest(acc["at"], s["start"])
+        done = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, first - acc["at"]), F.repeat(F.lit("0"), s["end"] - first)).alias("out"))
+        return F.when(s["end"] <= acc["at"], acc).otherwise(done)
+
+    masked = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, masked).otherwise(text)
+
+
 def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
     """kind, term of the terms whose disclosure of the kind is above the threshold."""
     near = found.filter(F.size("near") > 0).select("uid", F.explode("near").alias("x")).select("uid", "x.kind", "x.term").distinct()
@@ -109,22 +126,37 @@ def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
     return joint.join(often, "term").join(F.broadcast(kinds), "kind").filter((F.col("docs") < total) & (ratio > DISCLOSURE)).select("kind", "term")
 
 
+def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """uid, added: every place of every term in the texts outside entities, for the rows that have any."""
+    terms = persist(terms.select("term").distinct(), "pii-marked")
+    held = F.array_distinct(F.transform(F.regexp_extract_all("outside", F.lit(_TERM), 0), F.lower))
+    hits = persist(keep_members(found.select("uid", F.explode(held).alias("term")), terms, "term"), "pii-hits")
+    # The filter lets others through by chance; the join tells them.
+    counted = persist(hits.groupBy("term").agg(F.count("*").alias("rows")).join(terms, "term", "left_semi"), "pii-counted")
+    own = join_spread(hits, counted, ["term"], "rows", hits.count()).filter("rows IS NOT NULL")
+    own = persist(own.groupBy("uid").agg(F.collect_set("term").alias("terms")), "pii-own")
+    meant = keep_members(found.select("uid", "outside"), own.select("uid"), "uid").join(own, "uid")
+    places = _places(F.col("outside"), _TERM, KINDS.index("term"), lambda m: F.array_contains("terms", F.lower(m)))
+    lowered = F.transform(places, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
+    return meant.select("uid", lowered.alias("added"))
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base and all (arrays of start, kind, end, value) for every row of docs.
 
     Null texts are empty and have no spans; places are code points, ends
     exclusive. Rows that repeat each count as a document; an empty table gives
-    no rows; other columns play no part.
+    no rows; other columns play no part. Entities near a term only say whether
+    it discloses; a term that does is marked in every text.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     based = texts.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", base_spans(F.col("text")).alias("spans"))
     near = F.when(F.size("spans") > 0, _windows(F.col("text"), F.col("spans")))
-    found = persist(based.select("uid", "doc_id", "spans", near.alias("near")), "pii-found")
+    found = persist(based.select("uid", "doc_id", "spans", near.alias("near"), _outside(F.col("text"), F.col("spans")).alias("outside")), "pii-found")
     terms = persist(disclosing_terms(found, texts), "pii-disclosing")
-    near = found.filter(F.size("near") > 0).select("uid", F.explode("near").alias("x")).select("uid", "x.*")
-    added = near.join(terms, ["kind", "term"], "left_semi").groupBy("uid").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end", F.col("term").alias("value"))).alias("added"))
+    added = term_spans(found, terms)
     merged = F.sort_array(F.concat("spans", F.coalesce("added", F.array().cast(_SPAN))))
-    return found.join(added, "uid", "left").select("doc_id", F.col("spans").alias("base"), merged.alias("all"))
+    return found.select("uid", "doc_id", "spans").join(added, "uid", "left").select("doc_id", F.col("spans").alias("base"), merged.alias("all"))
 
 
 def sanitise(text: Column, spans: Column) -> Column:

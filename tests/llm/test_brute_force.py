@@ -143,6 +143,20 @@ def test_pii_terms_that_disclose(spark):
     assert clean == "note 0 contact  [EMAIL] about the order"
 
 
+def test_pii_terms_away_from_entities(spark):
+    rows = [(k, f"note {k} contact hotline a{k}@b.org about the order") for k in range(8)] + [(k, f"note {k} about the order and the contact") for k in range(8, 58)]
+    far = f"hotline x@y.org {'about the order ' * 9}HotLine \U0001f600 hotlines x hotline"
+    rows += [(58, far), (59, "ask the HOTLINE, not me"), (60, "\u00e9hotline@b.org")]
+    texts = dict(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = {r["doc_id"]: r for r in pii.find_pii(frame).collect()}
+    assert {k: [(s["start"], s["end"]) for s in r["all"] if s["kind"] == 4] for k, r in out.items()} == {k: [m.span() for m in re.finditer(r"\bhotline\b(?!@)", t, re.I)] for k, t in texts.items()}
+    assert {s["value"] for r in out.values() for s in r["all"] if s["kind"] == 4} == {"hotline"}
+    clean = {r["doc_id"]: r["clean"] for r in frame.join(pii.find_pii(frame), "doc_id").select("doc_id", pii.sanitise(F.col("text"), F.col("all")).alias("clean")).collect()}
+    assert clean[59] == "ask the , not me" and clean[60] == "\u00e9[EMAIL]"
+    assert clean[58] == f" [EMAIL] {'about the order ' * 9} \U0001f600 hotlines x "
+
+
 def _removed(texts):
     first, out = {}, {}
     blobs = {k: texts[k].encode() for k in sorted(texts)}
