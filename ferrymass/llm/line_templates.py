@@ -1,17 +1,18 @@
 """Line dedup by a log-template tree of fixed depth.
 
-A line's place in the tree is its token count and its first LEADING tokens, with
-tokens that hold a digit generalised. Within a leaf that enough documents reach,
-a token stays in the template only where enough lines of the leaf have it at that
-place; other places are variable fields. Templates that recur over enough
-documents, and whose constant tokens are enough of the line, are dropped. Every
+A line's place in the tree is its token count and its first LEADING tokens, or
+all of a shorter line's, with tokens that hold a digit generalised. Within a leaf
+that enough documents reach, a token stays in the template only where enough
+documents have it at that place; other places are variable fields. Templates with
+a constant token that recur over enough documents are dropped, whatever their
+length; the more of a template is variable, the more documents it takes. Every
 step is an aggregation by leaf, place or template, so a leaf that holds any share
 of all lines is summed by parts and never met as a whole by one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrymass.llm.store import join_spread, persist
@@ -19,9 +20,7 @@ from ferrymass.llm.store import join_spread, persist
 LEADING = 3
 #: Documents that a template must recur in.
 DOCUMENTS = 3
-#: Tokens of a line at least; shorter ones are too common to be boilerplate.
-TOKENS = 4
-#: Share of tokens that a template must keep constant.
+#: Share of constant tokens from which that many documents are enough; each variable field more doubles them.
 CONSTANT = 0.75
 FIELD = "<*>"
 
@@ -32,40 +31,54 @@ def _tokens(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("uid", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return docs.select("uid", "who", F.posexplode(F.split("text", "\n")).alias("line", "text"))
 
 
 def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = DOCUMENTS) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text for every row of docs.
 
-    Lines end at line feeds; what stays is joined by them again. Rows that
-    repeat count as documents each; a line that repeats within one counts once.
-    A null text is empty: one empty line, which stays. An empty table gives no
-    rows; other columns play no part.
+    Lines end at line feeds; what stays is joined by them again. Rows with the
+    same id are one document, each with a null id one of its own; a line that
+    repeats within one counts once. Lines without a token, or whose tokens all
+    hold digits, stay. A null text is empty: one empty line. An empty table
+    gives no rows; other columns play no part.
     """
-    base = persist(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "lines-docs")
-    parsed = _lines(base).select("uid", "line", _tokens(F.col("text")).alias("t")).filter(F.size("t") >= TOKENS)
-    leaves = persist(parsed.select("uid", "line", F.size("t").alias("n"), F.xxhash64(F.size("t"), F.slice("t", 1, LEADING)).alias("leaf")), "lines-leaves")
-    common = leaves.groupBy("leaf", "uid").agg(F.count("*").alias("own")).groupBy("leaf").agg(F.count("*").alias("docs"), F.sum("own").alias("size")).filter(F.col("docs") >= documents)
+    uid, own_id = F.monotonically_increasing_id(), F.col(id_col)
+    base = docs.select(uid.alias("uid"), own_id.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = persist(base.withColumn("who", F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("uid")))), "lines-docs")
+    parsed = _lines(base).select("uid", "who", "line", _tokens(F.col("text")).alias("t")).filter(F.exists("t", lambda x: x != FIELD))
+    leaves = persist(parsed.select("uid", "who", "line", F.xxhash64(F.size("t"), F.slice("t", 1, LEADING)).alias("leaf")), "lines-leaves")
+    common = leaves.groupBy("leaf", "who").agg(F.count("*").alias("own")).groupBy("leaf").agg(F.count("*").alias("docs"), F.sum("own").alias("size")).filter(F.col("docs") >= documents)
     common = persist(common, "lines-common")
     total = leaves.count()
     marked = persist(join_spread(leaves, common.select("leaf", "size"), ["leaf"], "size", total).filter("size IS NOT NULL").select("uid", "line", "leaf"), "lines-marked")
     wanted = marked.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("line", "leaf"))).alias("leaf_of"))
-    chosen = base.join(wanted, "uid").select("uid", "leaf_of", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(F.map_contains_key("leaf_of", F.col("line")))
-    chosen = persist(chosen.select("uid", "line", F.element_at("leaf_of", F.col("line")).alias("leaf"), _tokens(F.col("text")).alias("t")), "lines-chosen")
-    # A leaf's distinct lines first, so that copies are met once each.
-    kinds = chosen.groupBy("leaf", "t").agg(F.count_distinct("uid").alias("docs"))
-    kinds = persist(kinds.withColumn("kind", F.xxhash64("leaf", "t")), "lines-kinds")
-    places = kinds.select("leaf", "kind", "docs", F.posexplode("t").alias("place", "token"))
-    steady = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs"), F.count("*").alias("times")).filter(F.col("docs") >= documents).select("leaf", "place", "token", "times")
-    kept = join_spread(places, persist(steady, "lines-steady"), ["leaf", "place", "token"], "times", kinds.agg(F.sum(F.size("t"))).first()[0] or 0)
-    template = kept.groupBy("leaf", "kind").agg(F.sort_array(F.collect_list(F.struct("place", F.when(F.col("times").isNotNull() & (F.col("token") != FIELD), F.col("token")).otherwise(F.lit(FIELD)).alias("token")))).alias("p"), F.first("docs").alias("docs"))
-    template = template.select("kind", "leaf", "docs", F.transform("p", lambda x: x["token"]).alias("template"))
-    template = template.withColumn("constant", F.size(F.filter("template", lambda x: x != FIELD)) / F.size("template")).filter(F.col("constant") >= CONSTANT)
-    template = persist(template, "lines-templates")
-    recurring = template.groupBy("leaf", "template").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= documents).select("leaf", "template")
-    gone_kinds = persist(template.join(recurring, ["leaf", "template"], "left_semi").select("kind", F.lit(True).alias("gone"), "docs"), "lines-gone")
-    gone = join_spread(chosen.select("uid", "line", F.xxhash64("leaf", "t").alias("kind")), gone_kinds, ["kind"], "docs", chosen.count()).filter("gone")
+    chosen = base.join(wanted, "uid").select("uid", "who", "leaf_of", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(F.map_contains_key("leaf_of", F.col("line")))
+    chosen = chosen.select("uid", "who", "line", F.element_at("leaf_of", F.col("line")).alias("leaf"), _tokens(F.col("text")).alias("t"))
+    chosen = persist(chosen.withColumn("kind", F.xxhash64("leaf", "t")), "lines-chosen")
+    lines_left = chosen.count()
+    # A leaf's distinct lines first, so that copies are met once each. Of each one's documents as many
+    # as a place must have are enough to tell whether it has them.
+    some = chosen.select("kind", "who").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("kind").orderBy("who"))).filter(F.col("nth") <= documents)
+    some = some.groupBy("kind").agg(F.collect_list("who").alias("some"))
+    kinds = persist(chosen.groupBy("kind", "leaf", "t").agg(F.count("*").alias("rows")).join(some, "kind"), "lines-kinds")
+    # The leading tokens are those of all the leaf.
+    places = kinds.select("leaf", "kind", "some", F.posexplode("t").alias("place", "token")).filter(F.col("place") >= LEADING)
+    places = places.withColumn("key", F.xxhash64("leaf", "place", "token"))
+    held = places.filter(F.col("token") != FIELD).select("key", F.explode("some").alias("who"), (1 / F.size("some")).alias("part"))
+    held = held.groupBy("key", "who").agg(F.sum("part").alias("part")).groupBy("key").agg(F.count("*").alias("docs"), F.ceil(F.sum("part")).alias("times"))
+    steady = persist(held.filter(F.col("docs") >= documents).select("key", "times"), "lines-steady")
+    kept = join_spread(places.select("kind", "place", "token", "key"), steady, ["key"], "times", kinds.agg(F.sum(F.size("t"))).first()[0] or 0)
+    rest = kept.groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("place", F.when(F.col("times").isNotNull(), F.col("token")).otherwise(F.lit(FIELD)).alias("token")))).alias("p"))
+    tail = F.coalesce(F.transform("p", lambda x: x["token"]), F.array().cast("array<string>"))
+    template = kinds.join(rest, "kind", "left").select("kind", "leaf", "rows", F.concat(F.slice("t", 1, LEADING), tail).alias("template"))
+    size, constant = F.size("template"), F.size(F.filter("template", lambda x: x != FIELD))
+    needed = documents * F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(CONSTANT * size - constant)))
+    template = persist(template.filter(constant > 0).select("kind", "rows", F.xxhash64("leaf", "template").alias("name"), needed.alias("needed")), "lines-templates")
+    named = persist(join_spread(chosen.select("uid", "who", "line", "kind"), template, ["kind"], "rows", lines_left).filter("name IS NOT NULL").select("uid", "who", "line", "name", "needed"), "lines-named")
+    recurring = named.groupBy("name", "who").agg(F.count("*").alias("own"), F.first("needed").alias("needed")).groupBy("name").agg(F.count("*").alias("docs"), F.sum("own").alias("size"), F.first("needed").alias("needed"))
+    recurring = persist(recurring.filter(F.col("docs") >= F.col("needed")).select("name", "size"), "lines-recurring")
+    gone = join_spread(named.select("uid", "line", "name"), recurring, ["name"], "size", lines_left).filter("size IS NOT NULL")
     gone = gone.groupBy("uid").agg(F.collect_set("line").alias("gone"))
     lines = F.split("text", "\n")
     drop = F.coalesce("gone", F.array().cast("array<int>"))

@@ -242,5 +242,28 @@ def test_line_templates(spark):
     assert all(r["n_dropped"] == 0 for r in alone)
 
 
+def _dropped(spark, texts):
+    out = line_templates.drop_templates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert all(r["n_dropped"] == r["n_lines"] - len(r["kept_text"].split("\n")) for r in out if r["kept_text"])
+    return {r["doc_id"]: r["kept_text"] for r in out}
+
+
+def test_short_lines_recur_too(spark):
+    own = ["first ab", "cd second here", "ef", "gh fourth"]
+    out = _dropped(spark, [f"Home\n\n{x}\n12\nRead more\nPage {k} of nine\nSubscribe now today{chr(10) + 'Menu' if k < 2 else ''}" for k, x in enumerate(own)])
+    assert out == {k: f"\n{x}\n12{chr(10) + 'Menu' if k < 2 else ''}" for k, x in enumerate(own)}
+
+
+def test_variable_templates_take_more_documents(spark):
+    lines = [f"User u{k} logged in at {chr(97 + k)}x" for k in range(6)]
+    assert set(_dropped(spark, [f"{x}\nown {chr(97 + k)}" for k, x in enumerate(lines)]).values()) == {f"own {chr(97 + k)}" for k in range(6)}
+    assert list(_dropped(spark, lines[:5]).values()).count("") == 0
+
+
+def test_variants_in_one_document_are_one_document(spark):
+    texts = ["\n".join(f"alpha beta gamma delta k{x}" for x in "abc"), "alpha beta gamma other xb", "alpha beta gamma another xc"]
+    assert _dropped(spark, texts) == dict(enumerate(texts))
+
+
 def test_every_query_names_its_operator():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES) == list(range(1, 11))
