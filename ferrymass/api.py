@@ -6,10 +6,12 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ferrymass.checkpoints import persist
 from ferrymass.plans import fold, grouped, relational
 
-#: Cells per problem up to which a whole solve is one expression.
+#: Cells per problem up to which a whole quadratic solve is one expression; larger problems go by joins.
 FOLD_CELLS = 1 << 16
 
 
@@ -28,17 +30,49 @@ class SolverConfig:
             raise ValueError("max_iterations must be a positive 32-bit integer")
 
 
-def solve(cost: DataFrame, marginals: list[DataFrame], config: SolverConfig, problem: str = "classical", regularizer: str = "shannon", sweeps: int = 100) -> DataFrame:
-    """The coupling table. Classical costs are (problem, i, j, c) or, for more marginals, (problem, i0, i1, ..., c); quantum ones are packed rows."""
+def _judged(plan: DataFrame, axes: list[str], marginals: list[DataFrame], tolerance: float) -> DataFrame:
+    """The plan with error, the largest L1 distance of a marginal from its measure, and status."""
+    plan, parts = persist(plan, "judged-plan"), None
+    for axis, want in zip(axes, marginals, strict=True):
+        have = plan.groupBy("problem", axis).agg(F.sum("mass").alias("have"))
+        gap = F.abs(F.coalesce("have", F.lit(0.0)) - F.coalesce("mass", F.lit(0.0)))
+        part = want.select("problem", axis, "mass").join(have, ["problem", axis], "full").groupBy("problem").agg(F.sum(gap).alias("error"))
+        parts = part if parts is None else parts.unionByName(part)
+    errors = parts.groupBy("problem").agg(F.max("error").alias("error"))
+    status = F.when(F.isnan("error"), "numerical_error").when(F.col("error") <= tolerance, "converged").otherwise("max_iterations")
+    return plan.join(errors, "problem").withColumn("status", status)
+
+
+def _quadratic(cost: DataFrame, a: DataFrame, b: DataFrame, config: SolverConfig) -> DataFrame:
+    sizes = persist(cost.groupBy("problem").agg(F.count("*").alias("cells")), "plan-cells")
+    large = sizes.filter(F.col("cells") > FOLD_CELLS)
+    none = large.isEmpty()
+    small = [cost, a, b] if none else [t.join(large, "problem", "left_anti") for t in (cost, a, b)]
+    solved = persist(fold.solve(fold.pack(*small), config.epsilon, config.max_iterations, "quadratic", tolerance=config.tolerance), "plan-solved")
+    plan = fold.plan(solved, config.epsilon, "quadratic").join(solved.select("problem", "iterations"), "problem")
+    if not none:
+        rest, done = relational.quadratic(*[t.join(large, "problem", "left_semi") for t in (cost, a, b)], config.epsilon, config.max_iterations, config.tolerance)
+        plan = plan.unionByName(rest.withColumn("iterations", F.lit(done)))
+    return _judged(plan, ["i", "j"], [a, b], config.tolerance)
+
+
+def solve(cost: DataFrame, marginals: list[DataFrame], config: SolverConfig, problem: str = "classical", regularizer: str = "shannon") -> DataFrame:
+    """The coupling table, with error, iterations and status of its problem: converged, max_iterations or numerical_error.
+
+    Classical costs are (problem, i, j, c) or, for more marginals, (problem, i0,
+    i1, ..., c); quantum ones are packed rows. Problems solved by joins stop
+    together, so their iterations are those of the slowest.
+    """
     kind = (problem, regularizer)
     if kind in (("quantum", "quadratic"), ("quantum", "von_neumann")):
         return grouped.solve(cost, regularizer, config.epsilon, config.tolerance, config.max_iterations)
     if kind == ("classical", "quadratic") and len(marginals) == 2:
-        return fold.plan(fold.solve(fold.pack(cost, *marginals), config.epsilon, sweeps, "quadratic"), config.epsilon, "quadratic")
+        return _quadratic(cost, *marginals, config)
     if kind != ("classical", "shannon"):
         raise ValueError(f"unsupported combination: {kind} with {len(marginals)} marginals")
     if len(marginals) == 2 and "i" in cost.columns:
         cost = cost.withColumnsRenamed({"i": "i0", "j": "i1"})
         marginals = [marginals[0].withColumnRenamed("i", "i0"), marginals[1].withColumnRenamed("j", "i1")]
-    values, _ = relational.sinkhorn(cost, marginals, config.epsilon, min(config.max_iterations, sweeps), config.tolerance)
-    return relational.plan(cost, values, config.epsilon)
+    values, done = relational.sinkhorn(cost, marginals, config.epsilon, config.max_iterations, config.tolerance)
+    plan = relational.plan(cost, values, config.epsilon).withColumn("iterations", F.lit(done))
+    return _judged(plan, [f"i{k}" for k in range(len(marginals))], marginals, config.tolerance)

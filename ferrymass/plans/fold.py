@@ -1,8 +1,8 @@
 """Small problems, one row each: whole solves as one expression, batched over any number of problems.
 
 A row holds a and b (arrays of masses) and cost (array of rows). Sweeps are a
-fold over a sequence; once the residual meets the tolerance the state passes
-through unchanged. Cells of no mass get potential -inf and plan 0.
+fold over a sequence; given a tolerance, once the residual meets it the state
+passes through unchanged. Cells of no mass get potential -inf and plan 0.
 """
 
 from __future__ import annotations
@@ -42,8 +42,23 @@ def _mean_zero(state: Column, a: Column) -> Column:
     return F.element_at(F.transform(F.array(F.struct(mean.alias("m"), state.alias("s"))), lambda z: F.struct(F.transform(z["s"]["f"], lambda f: f - z["m"]).alias("f"), F.transform(z["s"]["g"], lambda g: g + z["m"]).alias("g"))), 1)
 
 
-def solve(problems: DataFrame, eps: float, sweeps: int, regularizer: str = "shannon", state: bool = False) -> DataFrame:
-    """problems with f and g after so many sweeps; with state, f and g of the rows are where they start."""
+def _error(s: Column, regularizer: str, eps: float) -> Column:
+    """L1 distance of the plan's row sums from a; after a sweep the columns are met."""
+    mass = lambda gap: F.when(gap > neg_inf(), F.exp(gap / eps)).otherwise(F.lit(0.0)) if regularizer == "shannon" else F.greatest(gap, F.lit(0.0)) / eps
+    have = F.zip_with(s["f"], F.col("cost"), lambda f, line: array_sum(F.zip_with(line, s["g"], lambda c, g: mass(f + g - c))))
+    return array_sum(F.zip_with(have, F.col("a"), lambda h, p: F.abs(h - p)))
+
+
+#: Sweeps of one inner fold; a problem that is done skips whole inner folds.
+INNER = 1000
+
+
+def solve(problems: DataFrame, eps: float, sweeps: int, regularizer: str = "shannon", state: bool = False, tolerance: float | None = None) -> DataFrame:
+    """problems with f and g after so many sweeps; with state, f and g of the rows are where they start.
+
+    With a tolerance a problem stops once its error is at most that or NaN, and
+    has error and iterations too.
+    """
     half = _soft if regularizer == "shannon" else _hard
     zero = lambda c: F.transform(c, lambda p: F.when(p > 0, F.lit(0.0)).otherwise(neg_inf()) if regularizer == "shannon" else F.lit(0.0))
     start = F.struct(F.col("f"), F.col("g")) if state else F.struct(zero(F.col("a")).alias("f"), zero(F.col("b")).alias("g"))
@@ -53,7 +68,19 @@ def solve(problems: DataFrame, eps: float, sweeps: int, regularizer: str = "shan
         new = F.element_at(rows, 1)
         return _mean_zero(new, F.col("a")) if regularizer == "shannon" else new
 
-    return problems.withColumn("_s", F.aggregate(F.sequence(F.lit(1), F.lit(sweeps)), start, sweep)).withColumn("f", F.col("_s.f")).withColumn("g", F.col("_s.g")).drop("_s")
+    if tolerance is None:
+        return problems.withColumn("_s", F.aggregate(F.sequence(F.lit(1), F.lit(sweeps)), start, sweep)).withColumn("f", F.col("_s.f")).withColumn("g", F.col("_s.g")).drop("_s")
+
+    def judged(s: Column, x: Column) -> Column:
+        new = F.transform(F.array(sweep(s, x)), lambda n: F.struct(n["f"].alias("f"), n["g"].alias("g"), _error(n, regularizer, eps).alias("error"), (s["iterations"] + 1).alias("iterations")))
+        return F.when(going(s), F.element_at(new, 1)).otherwise(s)
+
+    # Spark orders NaN above all numbers.
+    going = lambda s: (s["error"] > tolerance) & ~F.isnan(s["error"]) & (s["iterations"] < sweeps)
+    start = F.struct(start["f"].alias("f"), start["g"].alias("g"), F.lit(float("inf")).alias("error"), F.lit(0).alias("iterations"))
+    inner = lambda s, _: F.when(going(s), F.aggregate(F.sequence(F.lit(1), F.lit(min(sweeps, INNER))), s, judged)).otherwise(s)
+    solved = problems.withColumn("_s", F.aggregate(F.sequence(F.lit(1), F.lit(-(-sweeps // INNER))), start, inner))
+    return solved.withColumns({c: F.col(f"_s.{c}") for c in ("f", "g", "error", "iterations")}).drop("_s")
 
 
 def plan(solved: DataFrame, eps: float, regularizer: str = "shannon") -> DataFrame:

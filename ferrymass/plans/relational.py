@@ -7,7 +7,7 @@ taken first. The starting potential of axis 0 is the least of the costs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrymass.checkpoints import persist
@@ -72,3 +72,29 @@ def plan(cost: DataFrame, values: list[DataFrame], eps: float) -> DataFrame:
     for b in range(1, len(values)):
         total = total + F.col(f"v{b}")
     return _joined(cost, values).withColumn("mass", F.exp((total - F.col("c")) / eps)).drop(*[f"v{b}" for b in range(len(values))])
+
+
+def quadratic(cost: DataFrame, a: DataFrame, b: DataFrame, eps: float, sweeps: int, tolerance: float) -> tuple[DataFrame, int]:
+    """Quadratic plans (problem, i, j, c, mass) of problems that no row can hold, and the sweeps done.
+
+    The potential of a line is the least of (eps mass + sum of the k least of
+    c - other) / k over k: a sorted running sum. Ends as sinkhorn does.
+    """
+    cost = persist(cost, "quadratic-cost")
+    sides = {"i": a.select("problem", "i", "mass"), "j": b.select("problem", "j", "mass")}
+    values = {k: m.select("problem", k, F.lit(0.0).alias(f"v{k}")) for k, m in sides.items()}
+    plan, done = None, 0
+    while done < sweeps:
+        for k, other in (("i", "j"), ("j", "i")):
+            line = cost.join(values[other], ["problem", other]).join(sides[k], ["problem", k]).withColumn("x", F.col("c") - F.col(f"v{other}"))
+            w = Window.partitionBy("problem", k).orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            level = line.select("problem", k, ((F.col("mass") * eps + F.sum("x").over(w)) / F.count("*").over(w)).alias("t"))
+            values[k] = persist(level.groupBy("problem", k).agg(F.min("t").alias(f"v{k}")), f"quadratic-{k}")
+        done += 1
+        gap = F.col("vi") + F.col("vj") - F.col("c")
+        plan = cost.join(values["i"], ["problem", "i"]).join(values["j"], ["problem", "j"]).select("problem", "i", "j", "c", (F.greatest(gap, F.lit(0.0)) / eps).alias("mass"))
+        have = plan.groupBy("problem", "i").agg(F.sum("mass").alias("have"))
+        worst = have.join(sides["i"], ["problem", "i"]).groupBy("problem").agg(F.sum(F.abs(F.col("have") - F.col("mass"))).alias("e")).agg(F.max("e")).first()[0] or 0.0
+        if not worst > tolerance:
+            break
+    return plan, done
