@@ -5,16 +5,39 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
 
-def persist(df: DataFrame, name: str) -> DataFrame:
-    """Write df under spark.checkpoint.dir and read it back; where that is unset, as in tests, a new folder of our own serves."""
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a new one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="ferrymass-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder
+
+
+def persist(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: what follows starts from files that every executor can reach."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession, keep: DataFrame | None = None) -> int:
+    """Delete the tables that persist has written in this process, but for those that keep reads; how many went.
+
+    Results that are still to be read depend on these tables: write them first.
+    """
+    held = set() if keep is None else {f.rsplit("/", 1)[0].removeprefix("file:").lstrip("/") for f in keep.inputFiles()}
+    jvm = spark.sparkContext._jvm
+    gone = [p for p in _written if p.removeprefix("file:").lstrip("/") not in held]
+    for p in gone:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _written.remove(p)
+    return len(gone)
