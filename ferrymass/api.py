@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrymass.checkpoints import persist
+from ferrymass.operators.measures import problem_status
 from ferrymass.plans import fold, grouped, relational
 
 #: Cells per problem up to which a whole quadratic solve is one expression; larger problems go by joins.
@@ -39,11 +40,22 @@ def _judged(plan: DataFrame, axes: list[str], marginals: list[DataFrame], tolera
         part = want.select("problem", axis, "mass").join(have, ["problem", axis], "full").groupBy("problem").agg(F.sum(gap).alias("error"))
         parts = part if parts is None else parts.unionByName(part)
     errors = parts.groupBy("problem").agg(F.max("error").alias("error"))
-    status = F.when(F.isnan("error"), "numerical_error").when(F.col("error") <= tolerance, "converged").otherwise("max_iterations")
+    status = F.when(F.isnan("error") | F.col("error").isNull(), "numerical_error").when(F.col("error") <= tolerance, "converged").otherwise("max_iterations")
     return plan.join(errors, "problem").withColumn("status", status)
 
 
+def _with_invalid(solved: DataFrame, cost: DataFrame, state: DataFrame) -> DataFrame:
+    """The solved problems' rows and the invalid ones' with no mass."""
+    lost = cost.join(state.filter("NOT valid").select("problem"), "problem", "left_semi")
+    lost = lost.withColumns({"mass": F.lit(0.0), "iterations": F.lit(0), "error": F.lit(float("inf")), "status": F.lit("invalid")})
+    return solved.unionByName(lost.select(*solved.columns))
+
+
 def _quadratic(cost: DataFrame, a: DataFrame, b: DataFrame, config: SolverConfig) -> DataFrame:
+    state = persist(problem_status(cost, [a, b], config.epsilon, config.tolerance), "problem-status")
+    fit = state.filter("valid").select("problem")
+    whole = cost
+    cost, a, b = (t.join(fit, "problem", "left_semi") for t in (cost, a, b))
     sizes = persist(cost.groupBy("problem").agg(F.count("*").alias("cells")), "plan-cells")
     large = sizes.filter(F.col("cells") > FOLD_CELLS)
     none = large.isEmpty()
@@ -53,15 +65,17 @@ def _quadratic(cost: DataFrame, a: DataFrame, b: DataFrame, config: SolverConfig
     if not none:
         rest, done = relational.quadratic(*[t.join(large, "problem", "left_semi") for t in (cost, a, b)], config.epsilon, config.max_iterations, config.tolerance)
         plan = plan.unionByName(rest.withColumn("iterations", F.lit(done)))
-    return _judged(plan, ["i", "j"], [a, b], config.tolerance)
+    return _with_invalid(_judged(plan, ["i", "j"], [a, b], config.tolerance), whole, state)
 
 
 def solve(cost: DataFrame, marginals: list[DataFrame], config: SolverConfig, problem: str = "classical", regularizer: str = "shannon") -> DataFrame:
-    """The coupling table, with error, iterations and status of its problem: converged, max_iterations or numerical_error.
+    """The coupling table, with error, iterations and status of its problem: converged, max_iterations, numerical_error or invalid.
 
     Classical costs are (problem, i, j, c) or, for more marginals, (problem, i0,
     i1, ..., c); quantum ones are packed rows. Problems solved by joins stop
-    together, so their iterations are those of the slowest.
+    together, so their iterations are those of the slowest. An invalid problem,
+    one with a cost or mass that is not finite, a negative mass or masses that
+    differ, has its cost's rows with no mass.
     """
     kind = (problem, regularizer)
     if kind in (("quantum", "quadratic"), ("quantum", "von_neumann")):
@@ -70,9 +84,13 @@ def solve(cost: DataFrame, marginals: list[DataFrame], config: SolverConfig, pro
         return _quadratic(cost, *marginals, config)
     if kind != ("classical", "shannon"):
         raise ValueError(f"unsupported combination: {kind} with {len(marginals)} marginals")
-    if len(marginals) == 2 and "i" in cost.columns:
+    named = len(marginals) == 2 and "i" in cost.columns
+    if named:
         cost = cost.withColumnsRenamed({"i": "i0", "j": "i1"})
         marginals = [marginals[0].withColumnRenamed("i", "i0"), marginals[1].withColumnRenamed("j", "i1")]
-    values, done = relational.sinkhorn(cost, marginals, config.epsilon, config.max_iterations, config.tolerance)
-    plan = relational.plan(cost, values, config.epsilon).withColumn("iterations", F.lit(done))
-    return _judged(plan, [f"i{k}" for k in range(len(marginals))], marginals, config.tolerance)
+    values, ended = relational.sinkhorn(cost, marginals, config.epsilon, config.max_iterations, config.tolerance)
+    ended = persist(ended, "plan-ended")
+    plan = relational.plan(cost, values, config.epsilon).join(ended.filter("status <> 'invalid'").select("problem", "iterations"), "problem")
+    judged = _judged(plan, [f"i{k}" for k in range(len(marginals))], [m.join(ended.filter("status <> 'invalid'"), "problem", "left_semi") for m in marginals], config.tolerance)
+    out = _with_invalid(judged, cost, ended.select("problem", (F.col("status") != "invalid").alias("valid")))
+    return out.withColumnsRenamed({"i0": "i", "i1": "j"}) if named else out

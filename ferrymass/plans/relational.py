@@ -1,57 +1,111 @@
 """Any number of marginals over a long cost table: joins and grouped sums, one aggregation for each half sweep.
 
-Potentials absorb the scale: a sum over exp((sum of potentials - c) / eps) is the
-plan's marginal, near the wanted mass once a sweep is done, so no maximum need be
-taken first. The starting potential of axis 0 is the least of the costs.
+A half sweep takes, for each cell of its axis, the log of a sum of exponentials
+shifted by their maximum, so no term underflows that matters, at any epsilon. Both
+the maxima and the sums are partial before they shuffle; potentials that are small
+by their count go to every task, so the cost itself doesn't move. Every half sweep
+is written, and the next one reads that table only, so lineage never grows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrymass.checkpoints import persist
+from ferrymass.functions.exprs import neg_inf
+from ferrymass.operators import measures as checks
+
+#: Rows of a potential that go to every task by broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def _near(values: DataFrame, rows: int) -> DataFrame:
+    """A potential with a hint to broadcast it while it is small."""
+    return F.broadcast(values) if rows <= BROADCAST_ROWS else values
 
 
-def _joined(cost: DataFrame, values: list[DataFrame]) -> DataFrame:
+def _joined(cost: DataFrame, values: list[DataFrame], sizes: list[int] | None = None) -> DataFrame:
     out = cost
     for k, v in enumerate(values):
-        out = out.join(v.select("problem", f"i{k}", f"v{k}"), ["problem", f"i{k}"])
+        own = v.select("problem", f"i{k}", f"v{k}")
+        out = out.join(own if sizes is None else _near(own, sizes[k]), ["problem", f"i{k}"])
     return out
 
 
-def sinkhorn(cost: DataFrame, measures: list[DataFrame], eps: float, sweeps: int, tolerance: float | None = None, start: list[DataFrame] | None = None) -> tuple[list[DataFrame], int]:
-    """Potentials (problem, ik, vk, mass) for each axis and the sweeps done.
+def log_sums(terms: DataFrame, keys: list[str], z: str) -> DataFrame:
+    """keys and lse: the log of the sum of exp(z) over the rows of each key, by two aggregations with partial sums.
+
+    The first finds each key's maximum, the second sums what is left above it;
+    a key whose terms are all -inf has -inf, one with a NaN or null has NaN.
+    """
+    value = F.coalesce(F.col(z), F.lit(float("nan")))
+    top = terms.groupBy(*keys).agg(F.max(value).alias("_m"))  # Spark orders NaN above all numbers
+    shifted = terms.join(top, keys).select(*keys, "_m", F.when(F.col("_m") == neg_inf(), F.lit(0.0)).otherwise(F.exp(value - F.col("_m"))).alias("_e"))
+    summed = shifted.groupBy(*keys).agg(F.first("_m").alias("_m"), F.sum("_e").alias("_s"))
+    return summed.select(*keys, F.when(F.col("_m") == neg_inf(), neg_inf()).otherwise(F.col("_m") + F.ln("_s")).alias("lse"))
+
+
+def _half(live: DataFrame, values: list[DataFrame], sizes: list[int], a: int, eps: float) -> DataFrame:
+    """The lse of (other potentials - cost) / eps for each cell of axis a; its own potential plays no part."""
+    others = [v for k, v in enumerate(values) if k != a]
+    kept = [k for k in range(len(values)) if k != a]
+    out = live
+    for k, v in zip(kept, others, strict=True):
+        out = out.join(_near(v.select("problem", f"i{k}", f"v{k}"), sizes[k]), ["problem", f"i{k}"])
+    total = reduce(lambda x, y: x + y, [F.col(f"v{k}") for k in kept])
+    z = out.select("problem", f"i{a}", ((total - F.col("c")) / eps).alias("z"))
+    return log_sums(z, ["problem", f"i{a}"], "z")
+
+
+def sinkhorn(cost: DataFrame, measures: list[DataFrame], eps: float, sweeps: int, tolerance: float | None = None, start: list[DataFrame] | None = None) -> tuple[list[DataFrame], DataFrame]:
+    """Potentials (problem, ik, vk, mass) for each axis, and how each problem ended: problem, iterations, error, status.
 
     cost has problem, i0, i1, ..., c; measures[k] has problem, ik, mass. Cells
-    of no mass never join. With a tolerance the loop ends once the largest L1
-    residual of a sweep is at most that, a NaN ending it too.
+    of no mass never join. A problem outside the domain (a cost or mass that is
+    not finite, a negative mass, masses that differ) is invalid and not solved.
+    With a tolerance the loop ends once the largest L1 residual of every problem
+    is at most that; a residual that is no number ends its problem as a numerical
+    error. start resumes from potentials: where a cell has mass, one that is not
+    finite counts as zero.
     """
     k = len(measures)
-    measures = [m.filter("mass > 0") for m in measures]
-    live = cost
+    state = persist(checks.problem_status(cost, measures, eps, tolerance), "problem-status")
+    fit = state.filter("valid").select("problem")
+    measures = [m.filter("mass > 0").join(fit, "problem", "left_semi") for a, m in enumerate(measures)]
+    live = cost.join(fit, "problem", "left_semi")
     for a, m in enumerate(measures):
         live = live.join(m.select("problem", f"i{a}"), ["problem", f"i{a}"], "left_semi")
     live = persist(live, "live-cost")
+    measures = [persist(m, f"measure-{a}") for a, m in enumerate(measures)]
+    sizes = [m.count() for m in measures]
     if start:
-        values = [m.join(s.select("problem", f"i{a}", f"v{a}"), ["problem", f"i{a}"], "left").withColumn(f"v{a}", F.coalesce(f"v{a}", F.lit(0.0))) for a, (m, s) in enumerate(zip(measures, start, strict=True))]
+        finite = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(F.coalesce(c, F.lit(0.0)))
+        values = [m.join(s.select("problem", f"i{a}", f"v{a}"), ["problem", f"i{a}"], "left").withColumn(f"v{a}", finite(F.col(f"v{a}"))) for a, (m, s) in enumerate(zip(measures, start, strict=True))]
     else:
-        least = live.groupBy("problem", "i0").agg(F.min("c").alias("v0"))
-        values = [measures[0].join(least, ["problem", "i0"])] + [m.withColumn(f"v{a}", F.lit(0.0)) for a, m in enumerate(measures) if a]
-    done = 0
+        values = [m.withColumn(f"v{a}", F.lit(0.0)) for a, m in enumerate(measures)]
+    done, errors = 0, None
     while done < sweeps:
         for a in range(k):
-            total = F.col("v0")
-            for b in range(1, k):
-                total = total + F.col(f"v{b}")
-            sums = _joined(live, values).groupBy("problem", f"i{a}").agg(F.sum(F.exp((total - F.col("c")) / eps)).alias("have"))
-            values[a] = persist(values[a].join(sums, ["problem", f"i{a}"]).select("problem", f"i{a}", "mass", (F.col(f"v{a}") + eps * (F.ln("mass") - F.ln("have"))).alias(f"v{a}"), (F.col("have") - F.col("mass")).alias("gap")), f"potential-{a}")
+            sums = _half(live, values, sizes, a, eps)
+            new = values[a].join(sums, ["problem", f"i{a}"], "left")
+            # What the plan's marginal was with the old potential, against the mass wanted.
+            gap = F.abs(F.exp(F.col(f"v{a}") / eps + F.col("lse")) - F.col("mass"))
+            values[a] = persist(new.select("problem", f"i{a}", "mass", (eps * (F.ln("mass") - F.coalesce("lse", F.lit(float("nan"))))).alias(f"v{a}"), F.coalesce(gap, F.lit(float("nan"))).alias("gap")), f"potential-{a}")
         done += 1
+        parts = [v.groupBy("problem").agg(F.sum("gap").alias("e")) for v in values]
+        errors = reduce(DataFrame.unionByName, parts).groupBy("problem").agg(F.max("e").alias("error"))
         if tolerance is not None:
-            worst = max(v.groupBy("problem").agg(F.sum(F.abs("gap")).alias("e")).agg(F.max("e")).first()[0] or 0.0 for v in values)
-            if not worst > tolerance:
+            errors = persist(errors, "sweep-errors")
+            if errors.filter((F.col("error") > tolerance) & ~F.isnan("error")).isEmpty():
                 break
-    return [v.drop("gap") for v in values], done
+    ended = state.join(errors, "problem", "left") if errors is not None else state.withColumn("error", F.lit(float("inf")))
+    status = F.when(~F.col("valid"), "invalid").when(F.isnan("error"), "numerical_error")
+    status = status.otherwise("max_iterations") if tolerance is None else status.when(F.col("error") <= tolerance, "converged").otherwise("max_iterations")
+    ended = ended.select("problem", F.when(F.col("valid"), done).otherwise(0).alias("iterations"), F.coalesce("error", F.lit(float("inf"))).alias("error"), status.alias("status"))
+    return [v.drop("gap") for v in values], ended
 
 
 def gauge(values: list[DataFrame]) -> list[DataFrame]:
@@ -68,17 +122,31 @@ def gauge(values: list[DataFrame]) -> list[DataFrame]:
 
 def plan(cost: DataFrame, values: list[DataFrame], eps: float) -> DataFrame:
     """The cost's rows on the support, with mass."""
-    total = F.col("v0")
-    for b in range(1, len(values)):
-        total = total + F.col(f"v{b}")
+    total = reduce(lambda x, y: x + y, [F.col(f"v{b}") for b in range(len(values))])
     return _joined(cost, values).withColumn("mass", F.exp((total - F.col("c")) / eps)).drop(*[f"v{b}" for b in range(len(values))])
 
 
-def quadratic(cost: DataFrame, a: DataFrame, b: DataFrame, eps: float, sweeps: int, tolerance: float) -> tuple[DataFrame, int]:
+def resumable(values: DataFrame, measure: DataFrame, axis: str, name: str) -> DataFrame:
+    """problem, valid: whether potentials can be resumed from: finite where the measure has mass, -inf (or absent) elsewhere."""
+    both = measure.join(values.select("problem", axis, name), ["problem", axis], "left")
+    v: Column = F.col(name)
+    on = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    return both.groupBy("problem").agg(F.bool_and(F.when(F.col("mass") > 0, on).otherwise(v.isNull() | (v == neg_inf()))).alias("valid"))
+
+
+def _level(line: DataFrame, k: str, eps: float) -> DataFrame:
+    """problem, k, t: the least of (eps mass + sum of the n least x) / n over n, by a sorted running sum."""
+    w = Window.partitionBy("problem", k).orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    level = line.select("problem", k, ((F.col("mass") * eps + F.sum("x").over(w)) / F.count("*").over(w)).alias("t"))
+    return level.groupBy("problem", k).agg(F.min("t").alias("t"))
+
+
+def quadratic(cost: DataFrame, a: DataFrame, b: DataFrame, eps: float, sweeps: int, tolerance: float | None) -> tuple[DataFrame, int]:
     """Quadratic plans (problem, i, j, c, mass) of problems that no row can hold, and the sweeps done.
 
     The potential of a line is the least of (eps mass + sum of the k least of
-    c - other) / k over k: a sorted running sum. Ends as sinkhorn does.
+    c - other) / k over k: a sorted running sum over one line of the cost. Ends
+    as sinkhorn does.
     """
     cost = persist(cost, "quadratic-cost")
     sides = {"i": a.select("problem", "i", "mass"), "j": b.select("problem", "j", "mass")}
@@ -87,12 +155,12 @@ def quadratic(cost: DataFrame, a: DataFrame, b: DataFrame, eps: float, sweeps: i
     while done < sweeps:
         for k, other in (("i", "j"), ("j", "i")):
             line = cost.join(values[other], ["problem", other]).join(sides[k], ["problem", k]).withColumn("x", F.col("c") - F.col(f"v{other}"))
-            w = Window.partitionBy("problem", k).orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            level = line.select("problem", k, ((F.col("mass") * eps + F.sum("x").over(w)) / F.count("*").over(w)).alias("t"))
-            values[k] = persist(level.groupBy("problem", k).agg(F.min("t").alias(f"v{k}")), f"quadratic-{k}")
+            values[k] = persist(_level(line, k, eps).withColumnRenamed("t", f"v{k}"), f"quadratic-{k}")
         done += 1
         gap = F.col("vi") + F.col("vj") - F.col("c")
         plan = cost.join(values["i"], ["problem", "i"]).join(values["j"], ["problem", "j"]).select("problem", "i", "j", "c", (F.greatest(gap, F.lit(0.0)) / eps).alias("mass"))
+        if tolerance is None:
+            continue
         have = plan.groupBy("problem", "i").agg(F.sum("mass").alias("have"))
         worst = have.join(sides["i"], ["problem", "i"]).groupBy("problem").agg(F.sum(F.abs(F.col("have") - F.col("mass"))).alias("e")).agg(F.max("e")).first()[0] or 0.0
         if not worst > tolerance:
