@@ -8,12 +8,14 @@ problems it names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ferrymass.operators.measures import finite
 from ferrymass.plans import grouped
 
 STATE = "problem string, time double, rho array<double>, status int"
@@ -25,13 +27,37 @@ def line_cost(n: int) -> np.ndarray:
     return (x[:, None] - x[None]) ** 2
 
 
-def energy_of(kind: str, n: int, weight: float = 1.0):
-    """An energy on n even cells of the unit interval."""
+def energy_of(kind: str | Callable, n: int, weight: float = 1.0):
+    """An energy on n even cells of the unit interval: one of three by name, or what a function makes of n and the weight.
+
+    Any object with value(rho), gradient(rho) and prox(z, alpha) is an energy.
+    """
+    if callable(kind):
+        return kind(n, weight)
     return {"entropy": lambda: grouped.Entropy(np.full(n, 1.0 / n), weight), "quadratic": lambda: grouped.Quadratic(np.full(n, 1.0 / n), weight), "potential": lambda: grouped.Potential((np.arange(n) + 0.5) / n * weight)}[kind]()
 
 
-def run_chunk(state: DataFrame, energy: str, dt: float, steps: int, tolerance: float, limit: int, backend: str = "pdhg", epsilon: float = 0.1, stride: int = 1, weight: float = 1.0) -> DataFrame:
-    """TRAJECTORY of the problems of a STATE table: slot 0 is where they start, then every stride steps."""
+def initialize(starts: DataFrame) -> DataFrame:
+    """STATE of problems (problem, rho) at time 0: converged, or invalid where a cell is null, not finite or negative, or all are zero."""
+    cells = F.transform("rho", lambda x: F.coalesce(finite(x) & (x >= 0), F.lit(False)))
+    total = F.aggregate("rho", F.lit(0.0), lambda a, x: a + x)
+    fit = F.coalesce(F.forall(cells, lambda x: x) & (total > 0), F.lit(False))
+    return starts.select("problem", F.lit(0.0).alias("time"), "rho", F.when(fit, grouped.OK).otherwise(grouped.INVALID).alias("status"))
+
+
+def resume(trajectory: DataFrame) -> DataFrame:
+    """STATE of each problem's last slot, from which another chunk goes on."""
+    last = F.max_by(F.struct("time", "rho", "status"), "slot").alias("s")
+    return trajectory.groupBy("problem").agg(last).select("problem", "s.*")
+
+
+def run_chunk(state: DataFrame, energy: str | Callable, dt: float, steps: int, tolerance: float, limit: int, backend: str = "pdhg", epsilon: float = 0.1, stride: int = 1, weight: float = 1.0, geometry: Callable[[int], np.ndarray] | None = None) -> DataFrame:
+    """TRAJECTORY of the problems of a STATE table: slot 0 is where they start, then every stride steps.
+
+    geometry makes the cost between n cells, squared distances on the unit
+    interval if none is given. A problem whose state is not converged stays where
+    it is, with its status.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -39,10 +65,10 @@ def run_chunk(state: DataFrame, energy: str, dt: float, steps: int, tolerance: f
             for r in batch.itertuples():
                 rho, time, status = np.array(r.rho, float), float(r.time), int(r.status)
                 out.append((r.problem, 0, time, rho.tolist(), status, 0, 0.0))
-                cost, model = line_cost(len(rho)), energy_of(energy, len(rho), weight)
+                cost, model = (geometry or line_cost)(len(rho)), energy_of(energy, len(rho), weight)
                 got = {"iterations": 0, "error": 0.0}
                 for step in range(1, steps + 1):
-                    if step == 1 or status == grouped.OK:
+                    if status == grouped.OK:
                         got = grouped.pdhg_step(cost, rho, model, dt, tolerance, limit) if backend == "pdhg" else grouped.entropic_step(cost, rho, model, dt, epsilon, tolerance, limit)
                         status = got["status"]
                         if status == grouped.OK:
