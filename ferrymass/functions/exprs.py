@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def neg_inf() -> Column:
     return F.lit(float("-inf"))
 
@@ -101,3 +100,27 @@ def potential_prox(z: Column, alpha: Column, potential: Column) -> Column:
 def operator_norm_squared(n: Column, m: Column) -> Column:
     """Squared norm of the map from an n by m plan and a density to row residuals and column sums."""
     return (m + n + 1 + F.sqrt((m + 1 - n) * (m + 1 - n) + 4 * n * m)) / 2
+
+
+def predicted_speedup(operation: Column, total: Column, factor: Column, overhead: Column | float = 0.0) -> Column:
+    """How much faster a solve of total seconds gets when operation seconds of it run factor times as fast, at some overhead; null outside the domain."""
+    extra = overhead if isinstance(overhead, Column) else F.lit(float(overhead))
+    fit = (operation >= 0) & (total > 0) & (factor > 0) & (extra >= 0) & (operation <= total)
+    return F.when(fit, total / (total - operation + operation / factor + extra))
+
+
+def finite_or_null(x: Column) -> Column:
+    """NaN and the infinities as null, as strict JSON wants them."""
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def softmax_step(rho: Column, gradient: Column, step: float) -> Column:
+    """rho exp(-step gradient) scaled to rho's mass: arrays cell by cell. Cells of no mass stay empty."""
+    z = F.zip_with(rho, gradient, lambda r, g: F.when(r > 0, F.ln(r) - step * g).otherwise(neg_inf()))
+
+    def scaled(pair: Column) -> Column:
+        total = pair["m"] - array_lse(pair["z"])
+        return F.element_at(F.transform(F.array(F.struct(total.alias("t"), pair["z"].alias("z"))), lambda q: F.transform(q["z"], lambda x: F.when(x > neg_inf(), F.exp(x + q["t"])).otherwise(F.lit(0.0)))), 1)
+
+    both = F.transform(F.array(F.struct(F.ln(array_sum(rho)).alias("m"), z.alias("z"))), scaled)
+    return F.element_at(both, 1)
