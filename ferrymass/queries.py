@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ferrymass.checkpoints import persist
 from ferrymass.functions import exprs
-from ferrymass.operators import matrices, measures, plan
+from ferrymass.operators import matrices, measures, plan, projection
 from ferrymass.plans import blocked, fold, grouped, relational
-from ferrymass.sources import archive, generate
+from ferrymass.sources import archive, generate, workloads
 from ferrymass.streaming import flow
 
 EPS, SWEEPS = 0.25, 15
@@ -55,8 +56,8 @@ def _nations(spark, sf, problem=None):
     return _nation_cost(spark, sf, a, b), a, b
 
 
-def _solved(spark, sf, problem=None, sweeps=SWEEPS, regularizer="shannon"):
-    return fold.solve(fold.pack(*_nations(spark, sf, problem)), EPS, sweeps, regularizer)
+def _solved(spark, sf, problem=None, sweeps=SWEEPS, regularizer="shannon", eps=EPS):
+    return fold.solve(fold.pack(*_nations(spark, sf, problem)), eps, sweeps, regularizer)
 
 
 _SQL_BASE = """
@@ -80,6 +81,33 @@ def sweeps_sql(base: str, tail: str, eps: float = EPS, sweeps: int = SWEEPS) ->
     return "WITH " + ",\n".join(parts) + "\n" + tail
 
 
+def _stable_half(side: str, axis: str, other: str, potential: str, mass: str, eps: float) -> str:
+    """One half sweep with the maximum taken out first."""
+    z = f"(g.v - c) / {eps}"
+    return f"""{side} AS MATERIALIZED (SELECT problem, {axis}, {eps} * (ln(any_value({mass}.mass)) - (any_value(top) + ln(sum(exp(z - top))))) AS v
+        FROM (SELECT problem, {axis}, {z} AS z, max({z}) OVER (PARTITION BY problem, {axis}) AS top FROM cost JOIN {potential} g USING (problem, {other})) JOIN {mass} USING (problem, {axis}) GROUP BY problem, {axis})"""
+
+
+def stable_sql(base: str, tail: str, eps: float, sweeps: int) -> str:
+    """As sweeps_sql, for an epsilon at which plain sums of exponentials underflow; potentials are left as they are."""
+    parts = [base.strip(), "g0 AS MATERIALIZED (SELECT problem, j, 0.0::DOUBLE AS v FROM b)"]
+    for k in range(1, sweeps + 1):
+        parts += [_stable_half(f"f{k}", "i", "j", f"g{k - 1}", "a", eps), _stable_half(f"g{k}", "j", "i", f"f{k}", "b", eps)]
+    parts.append(f"plan AS (SELECT problem, i, j, c, exp((f.v + g.v - c) / {eps}) AS mass FROM cost JOIN f{sweeps} f USING (problem, i) JOIN g{sweeps} g USING (problem, j))")
+    return "WITH " + ",\n".join(parts) + "\n" + tail
+
+
+def hard_sql(base: str, tail: str, eps: float, sweeps: int) -> str:
+    """Alternate thresholds of the quadratic regulariser: the least of (eps mass + sum of the n least of cost - other) / n over n."""
+    parts = [base.strip(), "g0 AS MATERIALIZED (SELECT problem, j, 0.0::DOUBLE AS v FROM b)"]
+    half = """{new} AS MATERIALIZED (SELECT problem, {k}, min(({eps} * mass + s) / n) AS v FROM (SELECT problem, {k}, mass, sum(x) OVER w AS s, row_number() OVER w AS n
+        FROM (SELECT problem, {k}, {m}.mass, c - g.v AS x FROM cost JOIN {old} g USING (problem, {o}) JOIN {m} USING (problem, {k})) WINDOW w AS (PARTITION BY problem, {k} ORDER BY x ROWS UNBOUNDED PRECEDING)) GROUP BY problem, {k})"""
+    for n in range(1, sweeps + 1):
+        parts += [half.format(new=f"f{n}", k="i", o="j", m="a", old=f"g{n - 1}", eps=eps), half.format(new=f"g{n}", k="j", o="i", m="b", old=f"f{n}", eps=eps)]
+    parts.append(f"plan AS (SELECT problem, i, j, c, greatest(f.v + g.v - c, 0) / {eps} AS mass FROM cost JOIN f{sweeps} f USING (problem, i) JOIN g{sweeps} g USING (problem, j))")
+    return "WITH " + ",\n".join(parts) + "\n" + tail
+
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -134,25 +162,73 @@ def q_sinkhorn_resume(spark, sf):
 def q_relational_sinkhorn(spark, sf):
     cost, a, b = _nations(spark, sf)
     long = cost.withColumnsRenamed({"i": "i0", "j": "i1"})
-    values, _ = relational.sinkhorn(long, [a.withColumnRenamed("i", "i0"), b.withColumnRenamed("j", "i1")], EPS, 40, 1e-9)
+    values, _ = relational.sinkhorn(long, [a.withColumnRenamed("i", "i0"), b.withColumnRenamed("j", "i1")], EPS, SWEEPS)
     return relational.plan(long, values, EPS).select("problem", F.col("i0").alias("i"), F.col("i1").alias("j"), _r("mass").alias("mass"))
 
 
-ORACLES["q_relational_sinkhorn"] = sweeps_sql(_SQL_BASE, _PLAN_SQL, sweeps=40)
+@_query(stable_sql(_SQL_SEGMENTS, _PLAN_SQL, 0.01, 6))
+def q_relational_small_epsilon(spark, sf):
+    """Every market segment against all suppliers at an epsilon where most terms of a plain sum are zero."""
+    cost, a, b = _nations(spark, sf, "c_mktsegment")
+    long = cost.withColumnsRenamed({"i": "i0", "j": "i1"})
+    values, _ = relational.sinkhorn(long, [a.withColumnRenamed("i", "i0"), b.withColumnRenamed("j", "i1")], 0.01, 6)
+    return relational.plan(long, values, 0.01).select("problem", F.col("i0").alias("i"), F.col("i1").alias("j"), _r("mass").alias("mass"))
+
+
+_THREE = [("i0", "lineitem", "l_returnflag"), ("i1", "lineitem", "l_linestatus"), ("i2", "orders", "o_orderpriority")]
+
 
+def _three_sql(sweeps: int, eps: float) -> str:
+    measure = "{k} AS (SELECT {c} AS {k}, ascii({c}) % 7 / 7.0::DOUBLE AS x, count(*) / (sum(count(*)) OVER ())::DOUBLE AS p FROM {t} GROUP BY {c})"
+    parts = [measure.format(k=f"m{n}", c=c, t=t).replace(f"AS m{n},", f"AS {k},") for n, (k, t, c) in enumerate(_THREE)]
+    parts.append("cost AS (SELECT i0, i1, i2, abs(m0.x - m1.x) + abs(m0.x - m2.x) + abs(m1.x - m2.x) AS c FROM m0, m1, m2)")
+    parts += [f"v0_{k} AS (SELECT i{k}, 0.0::DOUBLE AS v FROM m{k})" for k in range(3)]
+    last = ["v0_0", "v0_1", "v0_2"]
+    for n in range(1, sweeps + 1):
+        for k in range(3):
+            o = [x for x in range(3) if x != k]
+            parts.append(f"v{n}_{k} AS MATERIALIZED (SELECT i{k}, {eps} * (ln(any_value(p)) - ln(sum(exp((x.v + y.v - c) / {eps})))) AS v FROM cost JOIN {last[o[0]]} x USING (i{o[0]}) JOIN {last[o[1]]} y USING (i{o[1]}) JOIN m{k} USING (i{k}) GROUP BY i{k})")
+            last[k] = f"v{n}_{k}"
+    return "WITH " + ",\n".join(parts) + f" SELECT i0, i1, i2, round(exp((x.v + y.v + z.v - c) / {eps}), 6) + 0.0 AS mass FROM cost JOIN {last[0]} x USING (i0) JOIN {last[1]} y USING (i1) JOIN {last[2]} z USING (i2)"
 
-@_query("""WITH a AS (SELECT l_returnflag AS k, count(*) / (sum(count(*)) OVER ())::DOUBLE AS p FROM lineitem GROUP BY 1),
-b AS (SELECT l_linestatus AS k, count(*) / (sum(count(*)) OVER ())::DOUBLE AS p FROM lineitem GROUP BY 1),
-c AS (SELECT o_orderpriority AS k, count(*) / (sum(count(*)) OVER ())::DOUBLE AS p FROM orders GROUP BY 1)
-SELECT a.k AS i0, b.k AS i1, c.k AS i2, round(a.p * b.p * c.p, 6) + 0.0 AS mass FROM a, b, c""")
+
+@_query(_three_sql(8, 0.2))
 def q_sinkhorn_three_marginal(spark, sf):
-    """Of a zero cost the plan is the product of its marginals."""
-    sources = [("lineitem", "l_returnflag"), ("lineitem", "l_linestatus"), ("orders", "o_orderpriority")]
-    ms = [measures.normalise(_read(spark, sf, t).groupBy(F.lit("all").alias("problem"), F.col(c).alias(f"i{k}")).agg(F.count("*").cast("double").alias("mass")), ["problem"]) for k, (t, c) in enumerate(sources)]
+    """Return flags, line statuses and order priorities, coupled at the distance of their codes."""
+    ms = [measures.normalise(_read(spark, sf, t).groupBy(F.lit("all").alias("problem"), F.col(c).alias(k)).agg(F.count("*").cast("double").alias("mass")), ["problem"]) for k, t, c in _THREE]
+    x = [m.select("problem", f"i{k}", (F.ascii(f"i{k}") % 7 / 7.0).alias(f"x{k}")) for k, m in enumerate(ms)]
     # Values of three flag columns: a few rows each.
-    cost = ms[0].drop("mass").join(ms[1].drop("mass"), "problem").join(ms[2].drop("mass"), "problem").withColumn("c", F.lit(0.0))
-    values, _ = relational.sinkhorn(cost, ms, 1.0, 2)
-    return relational.plan(cost, values, 1.0).select("i0", "i1", "i2", _r("mass").alias("mass"))
+    cost = x[0].join(x[1], "problem").join(x[2], "problem").withColumn("c", F.abs(F.col("x0") - F.col("x1")) + F.abs(F.col("x0") - F.col("x2")) + F.abs(F.col("x1") - F.col("x2"))).drop("x0", "x1", "x2")
+    values, _ = relational.sinkhorn(cost, ms, 0.2, 8)
+    return relational.plan(cost, values, 0.2).select("i0", "i1", "i2", _r("mass").alias("mass"))
+
+
+@_query(f"""WITH {_SQL_SEGMENTS}, sums AS (SELECT problem, sum(CASE WHEN problem = 'MACHINERY' THEN mass * 2 ELSE mass END) AS s, bool_or(problem = 'HOUSEHOLD' AND i = 5) AS negative FROM a GROUP BY problem)
+SELECT problem, NOT (abs(s - 1) > 1e-9 OR negative OR EXISTS (SELECT 1 FROM cost c WHERE c.problem = sums.problem AND c.problem = 'BUILDING' AND c.i = 3)) AS valid FROM sums""")
+def q_problem_status(spark, sf):
+    """Market segments, one spoilt by a cost that is no number, one by a negative mass, one by too much mass."""
+    cost, a, b = _nations(spark, sf, "c_mktsegment")
+    cost = cost.withColumn("c", F.when((F.col("problem") == "BUILDING") & (F.col("i") == 3), F.lit(float("nan"))).otherwise(F.col("c")))
+    a = a.withColumn("mass", F.when((F.col("problem") == "HOUSEHOLD") & (F.col("i") == 5), -F.col("mass")).when(F.col("problem") == "MACHINERY", 2 * F.col("mass")).otherwise(F.col("mass")))
+    return measures.problem_status(cost, [a, b], EPS, 1e-8)
+
+
+@_query(f"""WITH {_SQL_SEGMENTS} SELECT problem, CASE WHEN problem = 'BUILDING' THEN 'invalid' ELSE 'converged' END AS status, count(*) AS cells, CASE WHEN problem = 'BUILDING' THEN 0.0 ELSE 1.0 END::DOUBLE AS mass FROM cost GROUP BY problem""")
+def q_solve_status(spark, sf):
+    """solve() over every market segment, one of which has an infinite cost: the others go on to the tolerance."""
+    from ferrymass import api
+
+    cost, a, b = _nations(spark, sf, "c_mktsegment")
+    cost = cost.withColumn("c", F.when((F.col("problem") == "BUILDING") & (F.col("i") % 2 == 1), F.lit(float("inf"))).otherwise(F.col("c")))
+    out = api.solve(cost, [a, b], api.SolverConfig(1.0, 1e-6, 200))
+    return out.groupBy("problem", "status").agg(F.count("*").alias("cells"), _r(F.sum("mass")).alias("mass"))
+
+
+@_query(sweeps_sql(_SQL_BASE, "SELECT problem, bool_and(abs(v) < 1e300) AS valid FROM f GROUP BY problem"))
+def q_resume_status(spark, sf):
+    """Potentials of a solve can be resumed from."""
+    solved = fold.potentials(_solved(spark, sf)).filter("axis = 0").select("problem", F.col("idx").alias("i"), F.col("value").alias("v"))
+    return relational.resumable(solved, _demand(spark, sf), "i", "v")
 
 
 @_query("SELECT 'all' AS problem, c_nationkey AS i, round(count(*) / (sum(count(*)) OVER ())::DOUBLE, 6) + 0.0 AS mass FROM customer GROUP BY c_nationkey")
@@ -160,11 +236,12 @@ def q_measure_histogram(spark, sf):
     return _demand(spark, sf).select("problem", "i", _r("mass").alias("mass"))
 
 
-@_query("SELECT 'all' AS problem, 2::BIGINT AS axes, true AS valid")
+@_query("""WITH a AS (SELECT c_mktsegment AS problem, c_nationkey AS i, sum(c_acctbal) AS mass FROM customer GROUP BY 1, 2)
+SELECT problem, 2::BIGINT AS axes, (min(mass) >= 0 AND sum(mass) > 0) AS valid FROM a GROUP BY problem""")
 def q_measure_validate(spark, sf):
-    _, a, b = _nations(spark, sf)
-    both = a.select("problem", F.lit(0).alias("axis"), "mass").unionByName(b.select("problem", F.lit(1).alias("axis"), "mass"))
-    return measures.check(both)
+    """Account balances of each segment by nation, which may be negative, against the same mass spread by nation."""
+    a = _read(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("problem"), F.col("c_nationkey").alias("i")).agg(F.sum("c_acctbal").alias("mass"))
+    return measures.check(a.select("problem", F.lit(0).alias("axis"), "mass").unionByName(a.select("problem", F.lit(1).alias("axis"), "mass")))
 
 
 def _cost_sql(body: str, n: int = 12) -> str:
@@ -197,32 +274,54 @@ def q_gaussian_marginal(spark, sf):
     return generate.gaussian_marginal(spark, 64, [-1.0, 1.0], [1.0, 0.5]).withColumn("mass", _r("mass", 8))
 
 
-def _cloud(spark, sf, label: int, name: str) -> DataFrame:
-    return _read(spark, sf, "embeddings").filter(F.col("label") == label).select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias(name))
+def _cloud(spark, sf) -> DataFrame:
+    return _read(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
 
 
 _DIST = "list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))"
 
 
-@_query(f"SELECT x.vec_id AS i, y.vec_id AS j, round({_DIST}, 5) + 0.0 AS c FROM embeddings x, embeddings y WHERE x.label = 0 AND y.label = 1")
+@_query(f"SELECT x.vec_id AS i, y.vec_id AS j, round({_DIST}, 5) + 0.0 AS c FROM embeddings x, embeddings y WHERE x.label < 5 AND y.label >= 5")
 def q_pointcloud_cost(spark, sf):
-    x, y = _cloud(spark, sf, 0, "x"), _cloud(spark, sf, 1, "y")
-    pairs = x.withColumnRenamed("id", "i").withColumn("k", F.lit(0)).join(y.withColumnRenamed("id", "j").withColumn("k", F.lit(0)), "k")
-    return pairs.select("i", "j", _r(generate.squared_distance(F.col("x"), F.col("y")), 5).alias("c"))
+    """Every vector of the lower half of labels against every one of the upper half."""
+    cloud = _cloud(spark, sf)
+    return blocked.tiles(cloud.filter("label < 5").select(F.col("idx").alias("i"), "x"), cloud.filter("label >= 5").select(F.col("idx").alias("j"), F.col("x").alias("y"))).withColumn("c", _r("c", 5))
 
 
-_POINT_BASE = f"""
-a AS (SELECT 'all' AS problem, vec_id AS i, 1.0::DOUBLE / count(*) OVER () AS mass FROM embeddings WHERE label = 0),
-b AS (SELECT 'all' AS problem, vec_id AS j, 1.0::DOUBLE / count(*) OVER () AS mass FROM embeddings WHERE label = 1),
-cost AS (SELECT 'all' AS problem, x.vec_id AS i, y.vec_id AS j, {_DIST} AS c FROM embeddings x, embeddings y WHERE x.label = 0 AND y.label = 1)"""
+_PAIRS_BASE = f"""
+e AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY label) AS p FROM embeddings),
+pairs AS (SELECT DISTINCT x.label AS lx, y.label AS ly FROM e x, e y WHERE x.label < y.label),
+a AS (SELECT lx || '-' || ly AS problem, vec_id AS i, p AS mass FROM pairs JOIN e ON label = lx),
+b AS (SELECT lx || '-' || ly AS problem, vec_id AS j, p AS mass FROM pairs JOIN e ON label = ly),
+cost AS (SELECT x.label || '-' || y.label AS problem, x.vec_id AS i, y.vec_id AS j, {_DIST} AS c FROM e x JOIN e y ON x.label < y.label)"""
 
 
-@_query(sweeps_sql(_POINT_BASE, "SELECT i AS idx, round(v, 5) + 0.0 AS f FROM f", eps=0.3, sweeps=5))
+@_query(sweeps_sql(_PAIRS_BASE, "SELECT problem, 0 AS axis, i AS idx, round(v, 5) + 0.0 AS value FROM f UNION ALL SELECT problem, 1, j, round(v, 5) + 0.0 FROM g", eps=0.3, sweeps=5))
 def q_blocked_sinkhorn(spark, sf):
-    x, y = _cloud(spark, sf, 0, "x"), _cloud(spark, sf, 1, "y")
+    """Every pair of labels as a problem of its own, evenly weighted."""
+    e = _cloud(spark, sf).withColumn("mass", 1.0 / F.count("*").over(Window.partitionBy("label")))
+    labels = e.select("label").distinct()
+    pairs = labels.withColumnRenamed("label", "lx").join(F.broadcast(labels.withColumnRenamed("label", "ly")), F.col("lx") < F.col("ly"))  # ten labels
+    named = pairs.select("lx", "ly", F.concat_ws("-", "lx", "ly").alias("problem"))
+    x = e.join(F.broadcast(named), F.col("label") == F.col("lx")).select("problem", "idx", "x", "mass")
+    y = e.join(F.broadcast(named), F.col("label") == F.col("ly")).select("problem", "idx", F.col("x").alias("y"), "mass")
+    return blocked.solve_each(x, y, 0.3, 5).select("problem", "axis", "idx", _r("value", 5).alias("value"))
+
+
+_HALVES_BASE = f"""
+a AS (SELECT 'all' AS problem, vec_id AS i, 1.0::DOUBLE / count(*) OVER () AS mass FROM embeddings WHERE label < 5),
+b AS (SELECT 'all' AS problem, vec_id AS j, 1.0::DOUBLE / count(*) OVER () AS mass FROM embeddings WHERE label >= 5),
+cost AS (SELECT 'all' AS problem, x.vec_id AS i, y.vec_id AS j, {_DIST} AS c FROM embeddings x, embeddings y WHERE x.label < 5 AND y.label >= 5)"""
+
+
+@_query(sweeps_sql(_HALVES_BASE, "SELECT 0 AS axis, i AS idx, round(v, 5) + 0.0 AS value FROM f UNION ALL SELECT 1, j, round(v, 5) + 0.0 FROM g", eps=0.3, sweeps=3))
+def q_blocked_halves(spark, sf):
+    """The lower half of labels against the upper one as a single problem, by blocks of 100 points."""
+    cloud = _cloud(spark, sf)
+    x, y = cloud.filter("label < 5"), cloud.filter("label >= 5")
     n, m = max(x.count(), 1), max(y.count(), 1)
-    f, _, _, _ = blocked.solve(x.select(F.col("id").alias("idx"), "x", F.lit(1.0 / n).alias("mass")), y.select(F.col("id").alias("idx"), "y", F.lit(1.0 / m).alias("mass")), 0.3, 5)
-    return f.select("idx", _r("f", 5).alias("f"))
+    f, g, _, _ = blocked.solve(x.select("idx", "x", F.lit(1.0 / n).alias("mass")), y.select("idx", F.col("x").alias("y"), F.lit(1.0 / m).alias("mass")), 0.3, 3, block=100)
+    return f.select(F.lit(0).alias("axis"), "idx", _r("f", 5).alias("value")).unionByName(g.select(F.lit(1).alias("axis"), "idx", _r("g", 5).alias("value")))
 
 
 @_query(f"WITH {_SQL_BASE} SELECT problem, i, j, round(c, 6) + 0.0 AS c FROM cost WHERE i BETWEEN 4 AND 11 AND j BETWEEN 8 AND 15")
@@ -243,11 +342,9 @@ def q_row_lse(spark, sf):
 
 @_query(f"WITH {_SQL_BASE} SELECT problem, j, round(ln(sum(exp(-c / {EPS}))), 6) + 0.0 AS lse FROM cost GROUP BY problem, j")
 def q_lse_partial_final(spark, sf):
-    """Partial (m, s) by parts of the rows, then merged: what a shuffle carries is one row for each part."""
-    cost = _nations(spark, sf)[0].withColumn("z", -F.col("c") / EPS).withColumn("part", F.col("i") % 4)
-    parts = cost.groupBy("problem", "j", "part").agg(F.max("z").alias("m"), F.collect_list("z").alias("zs")).select("problem", "j", "m", F.aggregate("zs", F.lit(0.0), lambda a, z: a + F.exp(z - F.col("m"))).alias("s"))
-    top = parts.groupBy("problem", "j").agg(F.max("m").alias("m"), F.collect_list(F.struct("m", "s")).alias("p"))
-    return top.select("problem", "j", _r(F.col("m") + F.ln(F.aggregate("p", F.lit(0.0), lambda a, q: a + q["s"] * F.exp(q["m"] - F.col("m"))))).alias("lse"))
+    """Partial maxima and then partial shifted sums, each merged by a shuffle of one row a key and task."""
+    cost = _nations(spark, sf)[0].withColumn("z", -F.col("c") / EPS)
+    return relational.log_sums(cost, ["problem", "j"], "z").select("problem", "j", _r("lse").alias("lse"))
 
 
 @_query(sweeps_sql(_SQL_BASE, "SELECT problem, i, round(sum(mass * (j / 25.0::DOUBLE)), 6) + 0.0 AS position, round(sum(mass * n_regionkey), 6) + 0.0 AS region FROM plan JOIN nation ON n_nationkey = j GROUP BY problem, i"))
@@ -267,8 +364,8 @@ def q_barycentric_projection(spark, sf):
 r AS (SELECT k, z, row_number() OVER w AS n, sum(z) OVER (w ROWS UNBOUNDED PRECEDING) AS s FROM z WINDOW w AS (PARTITION BY k ORDER BY z, id))
 SELECT k, round(max_by((2.5 + s) / n, n), 6) + 0.0 AS t FROM r WHERE (2.5 + s) / n >= z GROUP BY k""")
 def q_quadratic_threshold(spark, sf):
-    z = _read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("k")).agg(F.collect_list(F.col("o_totalprice") / 1e5).alias("z"))
-    return z.select("k", _r(exprs.threshold(F.col("z"), F.lit(2.5))).alias("t"))
+    found = projection.thresholds(_read(spark, sf, "orders"), "o_orderpriority", F.col("o_totalprice") / 1e5, 2.5)
+    return found.select(F.col("o_orderpriority").alias("k"), _r("t").alias("t"))
 
 
 @_query("""WITH v AS (SELECT s_nationkey AS k, s_suppkey AS id, s_acctbal / 1e4 AS v FROM supplier),
@@ -276,15 +373,20 @@ r AS (SELECT k, v, row_number() OVER w AS n, sum(v) OVER (w ROWS UNBOUNDED PRECE
 t AS (SELECT k, max_by((s - 1) / n, n) AS t FROM r WHERE v > (s - 1) / n GROUP BY k)
 SELECT v.id, round(greatest(v - t, 0.0), 6) + 0.0 AS x FROM v JOIN t USING (k)""")
 def q_simplex_projection(spark, sf):
-    s = _read(spark, sf, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", (F.col("s_acctbal") / 1e4).alias("v")))).alias("e"))
-    done = s.select(F.transform("e", lambda x: x["s_suppkey"]).alias("id"), exprs.simplex(F.transform("e", lambda x: x["v"]), F.lit(1.0)).alias("x"))
-    return done.select(F.explode(F.arrays_zip("id", "x")).alias("z")).select("z.id", _r("z.x").alias("x"))
+    v = _read(spark, sf, "supplier").select("s_nationkey", F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 1e4).alias("v"))
+    return projection.simplex(v, "s_nationkey", "v").select("id", _r("x").alias("x"))
 
 
-@_query("""SELECT 0 AS i, 0 AS j, 0.4::DOUBLE AS mass UNION ALL SELECT 0, 1, 0.0 UNION ALL SELECT 1, 0, 0.1 UNION ALL SELECT 1, 1, 0.5""")
+@_query(hard_sql(_SQL_BASE, _PLAN_SQL, 0.5, 6))
 def q_quadratic_plan(spark, sf):
-    row = spark.createDataFrame([("all", [0, 1], [0, 1], [0.4, 0.6], [0.5, 0.5], [[0.0, 1.0], [1.0, 0.0]], [[0.0, 1.0], [1.0, 0.0]])], "problem string, i_of array<int>, j_of array<int>, a array<double>, b array<double>, cost array<array<double>>, back array<array<double>>")
-    return fold.plan(fold.solve(row, 0.5, 60, "quadratic"), 0.5, "quadratic").select("i", "j", _r("mass").alias("mass"))
+    return fold.plan(_solved(spark, sf, sweeps=6, regularizer="quadratic", eps=0.5), 0.5, "quadratic").select("problem", "i", "j", _r("mass").alias("mass"))
+
+
+@_query(hard_sql(_SQL_SEGMENTS, _PLAN_SQL, 0.5, 3))
+def q_quadratic_by_joins(spark, sf):
+    """Every market segment by sorted running sums, as problems too large for a row are solved."""
+    found, _ = relational.quadratic(*_nations(spark, sf, "c_mktsegment"), 0.5, 3, None)
+    return found.select("problem", "i", "j", _r("mass").alias("mass"))
 
 
 _DENSITY = "WITH r AS (SELECT c_nationkey AS i, count(*) / (sum(count(*)) OVER ())::DOUBLE AS p FROM customer GROUP BY 1)"
@@ -302,12 +404,27 @@ def q_gradient_and_prox(spark, sf):
     return _demand(spark, sf).select("i", _r(exprs.entropy_gradient(p, F.lit(0.04), 2.0)).alias("entropy"), _r(exprs.quadratic_prox(p, F.lit(0.3), F.lit(0.04), 3.0)).alias("quadratic"), _r(exprs.potential_prox(p, F.lit(0.001), F.col("i"))).alias("potential"))
 
 
-@_query(f"{_DENSITY} SELECT i, true AS root FROM r")
+@_query(f"{_DENSITY} SELECT i, round(p * 50 + 0.7 * ln(p * 50 / 0.04), 6) + 0.0 AS z, round(p * 50, 6) + 0.0 AS x FROM r")
 def q_entropy_prox(spark, sf):
-    """x + alpha ln(x / w) = z for the x found."""
-    z = F.col("mass") * 50 - 1
-    x = exprs.entropy_prox(z, F.lit(0.7), F.lit(0.04))
-    return _demand(spark, sf).select("i", (F.abs(x + 0.7 * F.ln(x / 0.04) - z) < 1e-9).alias("root"))
+    """Of z = x + alpha ln(x / w), made from known x, the x again."""
+    z = F.col("mass") * 50 + 0.7 * F.ln(F.col("mass") * 50 / 0.04)
+    return _demand(spark, sf).select("i", _r(z).alias("z"), _r(exprs.entropy_prox(z, F.lit(0.7), F.lit(0.04))).alias("x"))
+
+
+@_query(f"{_DENSITY} SELECT i, round(CASE WHEN p > 0.04 THEN p * ln(p) ELSE 0 END, 6) + 0.0 AS entropy, round(ln(exp(p * 9) + exp(i / 5.0::DOUBLE)), 6) + 0.0 AS either FROM r")
+def q_log_terms(spark, sf):
+    """x ln x with zeros, and the log of a sum of two exponentials."""
+    p = F.col("mass")
+    return _demand(spark, sf).select("i", _r(exprs.xlogy(F.when(p > 0.04, p).otherwise(0.0))).alias("entropy"), _r(exprs.log_add_exp(p * 9, F.col("i") / 5.0)).alias("either"))
+
+
+@_query(f"{_DENSITY}, e AS (SELECT i, p * exp(-0.5 * (i / 25.0::DOUBLE)) AS e FROM r) SELECT i, round(e / sum(e) OVER (), 6) + 0.0 AS mass FROM e")
+def q_mirror_step(spark, sf):
+    """A mass-preserving mirror step down the gradient i / 25."""
+    packed = _demand(spark, sf).groupBy("problem").agg(F.array_sort(F.collect_list(F.struct("i", "mass"))).alias("d"))  # 25 nations
+    rho, grad = F.transform("d", lambda x: x["mass"]), F.transform("d", lambda x: x["i"] / 25.0)
+    done = packed.select(F.arrays_zip(F.transform("d", lambda x: x["i"]).alias("i"), exprs.softmax_step(rho, grad, 0.5).alias("mass")).alias("z"))
+    return done.select(F.explode("z").alias("z")).select("z.i", _r("z.mass").alias("mass"))
 
 
 @_query("SELECT n::INT AS n, m::INT AS m, round((m + n + 1 + sqrt((m + 1 - n) * (m + 1 - n) + 4 * n * m)) / 2.0, 6) + 0.0 AS norm2 FROM range(1, 9) t(n), range(1, 9) u(m)")
@@ -369,38 +486,191 @@ def q_partial_trace_adjoint(spark, sf):
     return matrices.lift_sum(square(2), square(3), 2, 3).withColumn("im", F.col("im") + 0.0)
 
 
-def _quantum(spark, method: str, a: np.ndarray, b: np.ndarray, eps: float) -> DataFrame:
-    n, m = len(a), len(b)
-    zeros = [0.0] * (n * m) ** 2
-    row = ("all", n, m, zeros, zeros, a.ravel().tolist(), [0.0] * n * n, b.ravel().tolist(), [0.0] * m * m)
-    problems = spark.createDataFrame([row], "problem string, n int, m int, cost_re array<double>, cost_im array<double>, a_re array<double>, a_im array<double>, b_re array<double>, b_im array<double>")
-    return grouped.solve(problems, method, eps).select("problem", "status", F.posexplode("coupling_re").alias("cell", "re")).withColumn("re", _r("re"))
+_REGION_BASE = """
+n AS (SELECT n_nationkey, n_regionkey AS r FROM nation),
+ca AS (SELECT c_mktsegment AS problem, r AS i, count(*)::DOUBLE AS k FROM customer JOIN n ON c_nationkey = n_nationkey GROUP BY 1, 2),
+a AS (SELECT problem, i, k / sum(k) OVER (PARTITION BY problem) AS mass FROM ca),
+sb AS (SELECT r AS j, count(*)::DOUBLE AS k FROM supplier JOIN n ON s_nationkey = n_nationkey GROUP BY 1),
+b AS (SELECT problem, j, k / (SELECT sum(k) FROM sb) AS mass FROM (SELECT DISTINCT problem FROM a) p, sb),
+cost AS (SELECT problem, i, j, abs(i - j) / 5.0::DOUBLE + CASE WHEN i <> j THEN 0.3 ELSE 0.0 END::DOUBLE AS c FROM a JOIN b USING (problem))"""
+
+
+def _turned(n: int, seed: int) -> np.ndarray:
+    """A fixed unitary matrix."""
+    rng = np.random.default_rng(seed)
+    return np.linalg.qr(rng.normal(size=(n, n)) + 1j * rng.normal(size=(n, n)))[0]
+
+
+def _quantum_regions(spark, sf, method: str, eps: float, tolerance: float) -> DataFrame:
+    """Market segments' customers by region against suppliers by region, as density matrices in turned bases.
+
+    Turned back, the coupling is the diagonal one of the classical problem.
+    """
+    n = _read(spark, sf, "nation").select("n_nationkey", F.col("n_regionkey").alias("r"))
+    count = lambda t, key, by: t.join(F.broadcast(n), F.col(key) == F.col("n_nationkey")).withColumnsRenamed({"c_mktsegment": "problem"}).groupBy(*by, "r").agg(F.count("*").cast("double").alias("k")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("r", "k"))).alias("d"))
+    a = count(_read(spark, sf, "customer"), "c_nationkey", ["problem"])
+    b = count(_read(spark, sf, "supplier"), "s_nationkey", [])
+    u, v = _turned(5, 1), _turned(5, 2)
+    both = np.kron(u, v)
+
+    def packed(batches):
+        for t in batches:
+            rows = []
+            for r in t.itertuples():
+                p, q = (np.bincount([int(x["r"]) for x in d], [x["k"] for x in d], 5) for d in (r.a, r.b))
+                i, j = np.divmod(np.arange(25), 5)
+                c = np.diag(np.abs(i - j) / 5.0 + np.where(i != j, 0.3, 0.0))
+                full = [w @ m @ w.conj().T for w, m in ((both, c), (u, np.diag(p / p.sum())), (v, np.diag(q / q.sum())))]
+                rows.append((r.problem, 5, 5, *[x.ravel().tolist() for m in full for x in (m.real, m.imag)]))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in workloads.QUANTUM.split(", ")])
+
+    problems = a.withColumnRenamed("d", "a").join(F.broadcast(b.withColumnRenamed("d", "b"))).mapInPandas(packed, workloads.QUANTUM)  # b is one row
 
+    def back(batches):
+        for t in batches:
+            for r in t.itertuples():
+                x = both.conj().T @ (np.array(r.coupling_re) + 1j * np.array(r.coupling_im)).reshape(25, 25) @ both
+                d = np.real(np.diag(x))
+                yield pd.DataFrame({"problem": r.problem, "status": r.status, "i": np.repeat(np.arange(5), 5), "j": np.tile(np.arange(5), 5), "mass": d, "off": np.abs(x - np.diag(np.diag(x))).max()})
 
-@_query("SELECT 'all' AS problem, 0 AS status, k::INT AS cell, round(CASE WHEN k // 6 = k % 6 THEN 1 / 6.0 ELSE 0 END, 6) + 0.0::DOUBLE AS re FROM range(36) t(k)")
-def q_quantum_quadratic_uniform(spark, sf):
-    return _quantum(spark, "quadratic", np.eye(2) / 2, np.eye(3) / 3, 0.75)
+    return grouped.solve(problems, method, eps, tolerance).mapInPandas(back, "problem string, status int, i int, j int, mass double, off double")
 
 
-@_query("WITH p AS (SELECT unnest([0.12, 0.18, 0.3, 0.08, 0.12, 0.2]) AS v, generate_subscripts([1, 2, 3, 4, 5, 6], 1) AS i) SELECT 'all' AS problem, 0 AS status, k::INT AS cell, CASE WHEN k // 6 = k % 6 THEN v ELSE 0 END::DOUBLE AS re FROM range(36) t(k) JOIN p ON p.i = k // 6 + 1")
-def q_quantum_entropy_product(spark, sf):
-    return _quantum(spark, "von_neumann", np.diag([0.6, 0.4]), np.diag([0.2, 0.3, 0.5]), 0.4)
+def _region_result(found: DataFrame) -> DataFrame:
+    return found.select("problem", "status", "i", "j", _r("mass", 4).alias("mass"), _r("off", 4).alias("off"))
+
+
+_REGION_SQL = "SELECT problem, 0 AS status, i::INT AS i, j::INT AS j, round(mass, 4) + 0.0 AS mass, 0.0::DOUBLE AS off FROM plan"
+
+
+@_query(hard_sql(_REGION_BASE, _REGION_SQL, 1.5, 60))
+def q_quantum_quadratic(spark, sf):
+    return _region_result(_quantum_regions(spark, sf, "quadratic", 1.5, 1e-7))
+
+
+@_query(stable_sql(_REGION_BASE, _REGION_SQL, 0.3, 60))
+def q_quantum_entropy(spark, sf):
+    return _region_result(_quantum_regions(spark, sf, "von_neumann", 0.3, 1e-8))
+
+
+@_query(f"WITH {_REGION_BASE} SELECT problem, CASE WHEN problem = 'BUILDING' THEN 2 ELSE 0 END AS status FROM a GROUP BY problem")
+def q_quantum_status(spark, sf):
+    """A density matrix of trace other than one, and its segment's status beside those of the others."""
+    return _spoilt(spark, sf)
+
+
+def _spoilt(spark, sf) -> DataFrame:
+    a = _read(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("problem")).agg(*[F.count_if(F.col("c_nationkey") % 2 == k).cast("double").alias(f"k{k}") for k in (0, 1)])
+    total = F.when(F.col("problem") == "BUILDING", 2.0).otherwise(1.0) * (F.col("k0") + F.col("k1"))
+    zeros = F.array_repeat(F.lit(0.0), 4)
+    diag = lambda p, q: F.array(p, F.lit(0.0), F.lit(0.0), q)
+    cost = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda r: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: F.when(r == c, r / 4.0).otherwise(0.0))))
+    half = diag(F.lit(0.5), F.lit(0.5))
+    rows = a.select("problem", F.lit(2).alias("n"), F.lit(2).alias("m"), cost.alias("cost_re"), F.array_repeat(F.lit(0.0), 16).alias("cost_im"), diag(F.col("k0") / total, F.col("k1") / total).alias("a_re"), zeros.alias("a_im"), half.alias("b_re"), zeros.alias("b_im"))
+    return grouped.solve(rows, "von_neumann", 0.5, 1e-6).select("problem", "status")
+
+
+_SIGNED = "SELECT o_orderpriority AS problem, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END) / 1e6 AS p, sum(o_totalprice) / 1e6 AS q, sum(o_totalprice * (o_orderkey % 3 - 1)) / 1e6 AS r FROM orders GROUP BY 1"
+
+
+@_query(f"WITH m AS ({_SIGNED}), e AS (SELECT problem, p, q, r, (p + q) / 2 AS mid, sqrt(pow((p - q) / 2, 2) + r * r) AS rad FROM m), w AS (SELECT *, greatest(mid + rad, 0) AS hi, greatest(mid - rad, 0) AS lo FROM e) SELECT problem, round(lo + hi, 3) + 0.0 AS trace, round(sqrt(lo * lo + hi * hi), 3) + 0.0 AS size FROM w")
+def q_psd_projection(spark, sf):
+    """The nearest positive semidefinite matrix of a symmetric one for each priority, told by its trace and norm."""
+    o = _read(spark, sf, "orders")
+    price = F.col("o_totalprice")
+    m = o.groupBy(F.col("o_orderpriority").alias("problem")).agg((F.sum(F.when(F.col("o_orderstatus") == "F", price).otherwise(-price)) / 1e6).alias("p"), (F.sum(price) / 1e6).alias("q"), (F.sum(price * (F.col("o_orderkey") % 3 - 1)) / 1e6).alias("r"))
+    packed = m.select("problem", F.lit(2).alias("n"), F.array("p", "r", "r", "q").alias("re"), F.array_repeat(F.lit(0.0), 4).alias("im"))
+    near = grouped.nearest_psd(packed)
+    square = F.aggregate("re", F.lit(0.0), lambda s, x: s + x * x)
+    return near.select("problem", _r(F.element_at("re", 1) + F.element_at("re", 4), 3).alias("trace"), _r(F.sqrt(square), 3).alias("size"))
 
 
 def _starts(spark, sf) -> DataFrame:
-    """An hour-of-day density of 8 cells for each event type."""
+    """An hour-of-day density of 8 cells for each event type, at time 0."""
     e = _read(spark, sf, "events").groupBy("event_type", F.floor(F.hour("ts") / 3).cast("int").alias("cell")).agg(F.count("*").alias("n"))
-    return e.groupBy(F.col("event_type").alias("problem")).agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("m"), F.sum("n").alias("t")).select("problem", F.lit(0.0).alias("time"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0)) / F.col("t")).alias("rho"), F.lit(0).alias("status"))
+    rows = e.groupBy(F.col("event_type").alias("problem")).agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("m"), F.sum("n").alias("t"))
+    return flow.initialize(rows.select("problem", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0)) / F.col("t")).alias("rho")))
+
+
+_CELLS = """c AS (SELECT event_type AS problem, cell, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY event_type)::DOUBLE AS p
+FROM (SELECT DISTINCT event_type FROM events) CROSS JOIN (SELECT range AS cell FROM range(8)) LEFT JOIN (SELECT event_type, hour(ts) // 3 AS cell, count(*) AS n FROM events GROUP BY 1, 2) USING (event_type, cell))"""
+
+
+def _flow_result(found: DataFrame) -> DataFrame:
+    return found.select("problem", "slot", _r("time", 4).alias("time"), "status", F.posexplode("rho").alias("cell", "mass")).withColumn("mass", _r("mass", 3))
 
 
-@_query()
+def _flow_sql(steps: list[str], dt: float) -> str:
+    parts, slots = [_CELLS, "s0 AS (SELECT problem, cell, p FROM c)"], len(steps)
+    parts += [f"s{k + 1} AS ({body.format(old=f's{k}')})" for k, body in enumerate(steps)]
+    return "WITH " + ",\n".join(parts) + " " + " UNION ALL ".join(f"SELECT problem, {k} AS slot, round(({k} * {dt})::DOUBLE, 4) + 0.0 AS time, 0 AS status, cell::INT AS cell, round(p, 3) + 0.0 AS mass FROM s{k}" for k in range(slots + 1))
+
+
+#: Each cell's mass moves to where the potential's share of the step and half the squared distance are least.
+_DOWNHILL = """SELECT g.problem, g.cell, coalesce(sum(m.p), 0) AS p FROM {old} g LEFT JOIN (
+    SELECT x.problem, x.p, arg_min(y.cell, 0.25 * (y.cell + 0.5) / 8 + pow((x.cell - y.cell) / 8.0, 2) / 2) AS t FROM {old} x JOIN {old} y USING (problem) GROUP BY x.problem, x.cell, x.p
+) m ON m.problem = g.problem AND m.t = g.cell GROUP BY 1, 2"""
+
+
+@_query(_flow_sql([_DOWNHILL, _DOWNHILL], 0.25))
 def q_pdhg_flow(spark, sf):
-    return flow.run_chunk(_starts(spark, sf), "quadratic", 0.3, 2, 1e-6, 20_000).select("problem", "slot", "time", "status", F.posexplode("rho").alias("cell", "mass")).withColumn("mass", _r("mass", 4))
+    """Two steps down a linear potential, by the first-order method."""
+    return _flow_result(flow.run_chunk(_starts(spark, sf), "potential", 0.25, 2, 1e-7, 200_000))
+
 
+@_query(_flow_sql([_DOWNHILL, _DOWNHILL], 0.25))
+def q_pdhg_flow_resumed(spark, sf):
+    """The same two steps, the second from where the first was written."""
+    first = persist(flow.run_chunk(_starts(spark, sf), "potential", 0.25, 1, 1e-7, 200_000), "flow-first")
+    second = flow.run_chunk(flow.resume(first), "potential", 0.25, 1, 1e-7, 200_000).filter("slot = 1").withColumn("slot", F.lit(2))
+    return _flow_result(first.unionByName(second))
 
-@_query()
+
+#: Each cell's mass is dealt by a softmax of the same two terms.
+_SOFT = """SELECT problem, cell, sum(p) AS p FROM (
+    SELECT x.problem, y.cell, x.p * exp(-(pow((x.cell - y.cell) / 8.0, 2) + 2 * 0.1 * (y.cell + 0.5) / 8) / 0.1) / sum(exp(-(pow((x.cell - y.cell) / 8.0, 2) + 2 * 0.1 * (y.cell + 0.5) / 8) / 0.1)) OVER (PARTITION BY x.problem, x.cell) AS p
+    FROM {old} x JOIN {old} y USING (problem)) GROUP BY 1, 2"""
+
+
+@_query(_flow_sql([_SOFT, _SOFT], 0.1))
 def q_entropic_flow(spark, sf):
-    return flow.run_chunk(_starts(spark, sf), "entropy", 0.1, 1, 1e-5, 500, "sinkhorn", 0.1).select("problem", "slot", "time", "status", F.posexplode("rho").alias("cell", "mass")).withColumn("mass", _r("mass", 4))
+    """Two steps down a linear potential with an entropic transport term."""
+    return _flow_result(flow.run_chunk(_starts(spark, sf), "potential", 0.1, 2, 1e-6, 5000, "sinkhorn", 0.1))
+
+
+@_query(f"""WITH {_CELLS} SELECT problem, CASE WHEN problem = 'error' THEN 2 ELSE 0 END AS status, count(*) AS slots FROM (SELECT DISTINCT problem FROM c), range(2) GROUP BY 1""")
+def q_flow_status(spark, sf):
+    """A density with a negative cell is invalid and stays where it is; the others go on."""
+    bad = F.when(F.col("problem") == "error", F.transform("rho", lambda x: x - 0.2)).otherwise(F.col("rho"))
+    found = flow.run_chunk(flow.initialize(_starts(spark, sf).select("problem", bad.alias("rho"))), "potential", 0.25, 1, 1e-6, 100_000)
+    return found.groupBy("problem").agg(F.max("status").alias("status"), F.count("*").alias("slots"))
+
+
+@_query("SELECT event_type, round(median(value), 4) + 0.0 AS median, round(min(value), 4) + 0.0 AS least, round(max(value), 4) + 0.0 AS most, min(value) > 0 AS valid FROM events GROUP BY 1")
+def q_sample_summary(spark, sf):
+    out = archive.sample_summary(_read(spark, sf, "events"), "event_type", "value")
+    return out.select("event_type", _r("median", 4).alias("median"), _r("least", 4).alias("least"), _r("most", 4).alias("most"), "valid")
+
+
+@_query("SELECT count(*) FILTER (event_type <> 'error' AND user_id % 2 = 0) AS completed, count(*) FILTER (event_type = 'error') AS failed, round(count(*) FILTER (event_type <> 'error' AND user_id % 2 = 0) / 12.5, 6) + 0.0 AS runs_per_second FROM events")
+def q_batch_counts(spark, sf):
+    runs = _read(spark, sf, "events").select(F.when(F.col("event_type") == "error", "failed").when(F.col("user_id") % 2 == 0, "completed").otherwise("running").alias("status"))
+    return archive.batch_counts(runs, 12.5).withColumn("runs_per_second", _r("runs_per_second"))
+
+
+@_query("SELECT event_id, round(value, 4) + 0.0 AS seconds FROM events WHERE event_type <> 'error' AND value > 0 AND value / 1000 <= 0.2")
+def q_comparable_timings(spark, sf):
+    """Timings of runs that converged within their tolerance; the others are left out of comparisons."""
+    records = _read(spark, sf, "events").select("event_id", (F.col("event_type") != "error").alias("converged"), (F.col("value") / 1000).alias("error"), F.lit(0.2).alias("tolerance"), F.col("value").alias("seconds"))
+    return archive.comparable(records).select("event_id", _r("seconds", 4).alias("seconds"))
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE round(10 / (10 - (o_orderkey % 11) + (o_orderkey % 11) / 4.0 + 0.5), 6) END::DOUBLE AS gain FROM orders WHERE o_orderkey % 11 <= 10")
+def q_predicted_speedup(spark, sf):
+    """What running a part of ten seconds four times as fast would gain; an infinite part, which has no answer, gives null."""
+    part = F.when(F.col("o_orderkey") % 5 == 0, F.lit(float("inf"))).otherwise((F.col("o_orderkey") % 11).cast("double"))
+    gain = exprs.predicted_speedup(exprs.finite_or_null(part), F.lit(10.0), F.lit(4.0), 0.5)
+    return _read(spark, sf, "orders").select("o_orderkey", F.round(gain, 6).alias("gain"))
 
 
 @_query("SELECT event_type AS phase, round(sum(value), 4) + 0.0 AS seconds, (count(*) = 100 AND count(DISTINCT event_id % 1000) = 100) AS complete FROM events GROUP BY 1")
