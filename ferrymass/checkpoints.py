@@ -19,25 +19,76 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def persist(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: what follows starts from files that every executor can reach."""
+def persist(df: DataFrame, name: str, gather: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: what follows starts from files that every executor can reach.
+
+    With gather, what many tasks make a little of is first dealt into as few parts
+    as its size asks for, so that it isn't left in as many small files.
+    """
     spark = df.sparkSession
+    df = df.hint("rebalance") if gather else df
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession, keep: DataFrame | None = None) -> int:
-    """Delete the tables that persist has written in this process, but for those that keep reads; how many went.
+def written() -> int:
+    """How many tables persist has written so far: a mark for sweep."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, keep: DataFrame | None = None, since: int = 0) -> int:
+    """Delete the tables that persist has written in this process since a mark, but for those that keep reads; how many went.
 
     Results that are still to be read depend on these tables: write them first.
     """
     held = set() if keep is None else {f.rsplit("/", 1)[0].removeprefix("file:").lstrip("/") for f in keep.inputFiles()}
     jvm = spark.sparkContext._jvm
-    gone = [p for p in _written if p.removeprefix("file:").lstrip("/") not in held]
+    gone = [p for p in _written[since:] if p.removeprefix("file:").lstrip("/") not in held]
     for p in gone:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        _written.remove(p)
+    _written[since:] = [p for p in _written[since:] if p not in gone]
     return len(gone)
+
+
+MANIFEST = "generation long, identity string, columns string, rows long"
+
+
+def save_state(state: DataFrame, path: str, identity: str) -> int:
+    """Write a solver's state as the next generation under path and return its number.
+
+    Its line in the manifest is written last, so a generation that a lost driver
+    left half written is never read. identity says what problem and settings the
+    state belongs to.
+    """
+    spark = state.sparkSession
+    generation = max((r["generation"] for r in _manifest(spark, path)), default=-1) + 1
+    target = f"{path}/generation-{generation}"
+    state.write.mode("overwrite").parquet(target)
+    line = [(generation, identity, state.schema.simpleString(), spark.read.parquet(target).count())]
+    spark.createDataFrame(line, MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return generation
+
+
+def load_state(spark: SparkSession, path: str, identity: str, generation: int | None = None) -> DataFrame:
+    """The state of a generation, the last one by default; an error where it is absent, of another identity, or not as it was written."""
+    lines = {r["generation"]: r for r in _manifest(spark, path)}
+    if not lines or (generation is not None and generation not in lines):
+        raise ValueError("no such state has been written")
+    line = lines[max(lines) if generation is None else generation]
+    if line["identity"] != identity:
+        raise ValueError("the state belongs to another problem or other settings")
+    state = spark.read.parquet(f"{path}/generation-{line['generation']}")
+    if state.schema.simpleString() != line["columns"] or state.count() != line["rows"]:
+        raise ValueError("the state is not as it was written")
+    return state
+
+
+def _manifest(spark: SparkSession, path: str) -> list:
+    """Lines of the manifest: one for each generation."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return []
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest").collect()

@@ -67,6 +67,20 @@ def test_tables_of_our_own_are_swept(spark):
         gone.count()
 
 
+def test_states_are_read_by_those_they_belong_to(spark, tmp_path):
+    path = f"file://{tmp_path / 'state'}"
+    with pytest.raises(ValueError, match="no such"):
+        checkpoints.load_state(spark, path, "a")
+    for n in (0, 1):
+        assert checkpoints.save_state(spark.range(n + 2), path, "a") == n
+    assert checkpoints.load_state(spark, path, "a").count() == 3 and checkpoints.load_state(spark, path, "a", 0).count() == 2
+    with pytest.raises(ValueError, match="another problem"):
+        checkpoints.load_state(spark, path, "b")
+    spark.range(9).write.mode("overwrite").parquet(f"{path}/generation-1")
+    with pytest.raises(ValueError, match="as it was written"):
+        checkpoints.load_state(spark, path, "a")
+
+
 def test_command_line(spark, tmp_path, capsys):
     cost, marginal, out = (str(tmp_path / n) for n in ("cost", "marginal", "out"))
     assert cli.main(["generate", "cost", "--n", "4", "--kind", "weak-coulomb", "--output", cost])["rows"] == 16
