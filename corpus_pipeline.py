@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ferrymass.checkpoints import sweep, written
 from ferrymass.llm import byte_bpe, decontam, exact_dedup, ngram_join, quality
 from ferrymass.llm.store import persist
 
@@ -43,8 +44,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's output is written and reread as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each one's output is written and reread as the next one's input, and the tables in between go."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for k, (_, stage) in enumerate(STAGES):
         docs = persist(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        sweep(spark, docs, before)
     return docs
