@@ -618,6 +618,14 @@ def q_pdhg_flow(spark, sf):
     return _flow_result(flow.run_chunk(_starts(spark, sf), "potential", 0.25, 2, 1e-7, 200_000))
 
 
+@_query(f"""WITH {_CELLS}, best AS (SELECT x.problem, x.cell, x.p, min(0.25 * (y.cell + 0.5) / 8 + pow((x.cell - y.cell) / 8.0, 2) / 2) AS least FROM c x JOIN c y USING (problem) GROUP BY 1, 2, 3)
+SELECT problem, 0 AS status, round(sum(p * least), 5) + 0.0 AS objective FROM best GROUP BY problem""")
+def q_flow_objective(spark, sf):
+    """What the first step of the flow minimises, at its end."""
+    found = flow.run_chunk(_starts(spark, sf), "potential", 0.25, 1, 1e-7, 200_000).filter("slot = 1")
+    return found.select("problem", "status", _r("objective", 5).alias("objective"))
+
+
 @_query(_flow_sql([_DOWNHILL, _DOWNHILL], 0.25))
 def q_pdhg_flow_resumed(spark, sf):
     """The same two steps, the second from where the first was written."""

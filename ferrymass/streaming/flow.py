@@ -19,7 +19,7 @@ from ferrymass.operators.measures import finite
 from ferrymass.plans import grouped
 
 STATE = "problem string, time double, rho array<double>, status int"
-TRAJECTORY = "problem string, slot int, time double, rho array<double>, status int, iterations int, error double"
+TRAJECTORY = "problem string, slot int, time double, rho array<double>, status int, iterations int, error double, objective double"
 
 
 def line_cost(n: int) -> np.ndarray:
@@ -54,6 +54,7 @@ def resume(trajectory: DataFrame) -> DataFrame:
 def run_chunk(state: DataFrame, energy: str | Callable, dt: float, steps: int, tolerance: float, limit: int, backend: str = "pdhg", epsilon: float = 0.1, stride: int = 1, weight: float = 1.0, geometry: Callable[[int], np.ndarray] | None = None) -> DataFrame:
     """TRAJECTORY of the problems of a STATE table: slot 0 is where they start, then every stride steps.
 
+    objective is what the slot's last step minimised, null where no step ended.
     geometry makes the cost between n cells, squared distances on the unit
     interval if none is given. A problem whose state is not converged stays where
     it is, with its status.
@@ -64,7 +65,7 @@ def run_chunk(state: DataFrame, energy: str | Callable, dt: float, steps: int, t
             out = []
             for r in batch.itertuples():
                 rho, time, status = np.array(r.rho, float), float(r.time), int(r.status)
-                out.append((r.problem, 0, time, rho.tolist(), status, 0, 0.0))
+                out.append((r.problem, 0, time, rho.tolist(), status, 0, 0.0, None))
                 cost, model = (geometry or line_cost)(len(rho)), energy_of(energy, len(rho), weight)
                 got = {"iterations": 0, "error": 0.0}
                 for step in range(1, steps + 1):
@@ -74,7 +75,7 @@ def run_chunk(state: DataFrame, energy: str | Callable, dt: float, steps: int, t
                         if status == grouped.OK:
                             rho, time = got["rho"], time + dt
                     if step % stride == 0:
-                        out.append((r.problem, step // stride, time, rho.tolist(), status, got["iterations"], got["error"]))
+                        out.append((r.problem, step // stride, time, rho.tolist(), status, got["iterations"], got["error"], got.get("objective")))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in TRAJECTORY.split(", ")])
 
     return state.mapInPandas(run, TRAJECTORY)
