@@ -1,7 +1,7 @@
 """Vectorised text helpers that run inside Arrow tasks.
 
 Words are runs of bytes outside ASCII white space with A-Z lower-cased. A batch
-of texts is laid end to end and hashed with numpy in slices of a few MB, so the
+of texts is laid end to end and hashed with numpy in slices of half a MB, so the
 memory a task needs follows the longest single text, not the batch.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SLICE = 2 << 20
+SLICE = 1 << 19
 SHINGLE = 5
 
 _U = np.uint64
@@ -98,6 +98,19 @@ def word_hashes(texts, fold: bool = True):
         yield flush()
 
 
+def windows(words: np.ndarray) -> np.ndarray:
+    """Hash of each run of five words, in order."""
+    k = SHINGLE
+    if len(words) < k:
+        return np.empty(0, _U)
+    lanes = mix(np.arange(11, 11 + k, dtype=_U)) | _U(1)
+    n = len(words) - k + 1
+    run = np.zeros(n, _U)
+    for j in range(k):
+        run += words[j : n + j] * lanes[j]
+    return mix(run)
+
+
 def shingles(counts: np.ndarray, words: np.ndarray):
     """Yield for each text the sorted distinct hashes of its runs of five words.
 
@@ -106,14 +119,7 @@ def shingles(counts: np.ndarray, words: np.ndarray):
     """
     k = SHINGLE
     lanes = mix(np.arange(11, 11 + k, dtype=_U)) | _U(1)
-    if len(words) >= k:
-        n = len(words) - k + 1
-        run = np.zeros(n, _U)
-        for j in range(k):
-            run += words[j : n + j] * lanes[j]
-        run = mix(run)
-    else:
-        run = np.empty(0, _U)
+    run = windows(words)
     at = 0
     for c in counts.tolist():
         if c >= k:

@@ -2,31 +2,50 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrymass.checkpoints import persist
+
+__all__ = ["bit_is_set", "bit_pages", "drop_members", "filter_bits", "give_back", "join_counted", "join_spread", "keep_members", "persist", "small_batches", "tidy"]
+
 #: A key counts as heavy when it holds over one part in so many of the rows, so there are fewer heavy keys than this.
 HEAVY_SHARE = 1000
+#: Spark's own limit of an Arrow batch, 64 MB, is several times that as Python strings.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches that tasks hand to Python are of at most 4 MB, or one row, unless the session says otherwise."""
+    if spark.conf.get(BATCH).rstrip("bB") == str(64 << 20):
+        spark.conf.set(BATCH, str(4 << 20))
+
+
+def give_back() -> None:
+    """Returns a Python worker's free memory to the system at the end of a task, as workers live on and would keep it."""
+    import ctypes
+    import gc
 
+    import pyarrow
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a new one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="ferrymass-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass
 
 
-def persist(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: what follows starts from files that every executor can reach."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def tidy(run):
+    """A task function over batches that gives back its memory when the batches are done."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
 
 
 def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
@@ -61,9 +80,14 @@ def join_spread(rows: DataFrame, groups: DataFrame, keys: list[str], count: str,
     return joined.select(*rows.columns, *[found[c].alias(c) for c in groups.columns if c not in keys])
 
 
-#: Bits of the membership filter that keep_members sends to every task: 16 MB, whatever the input.
-MEMBER_BITS = 1 << 27
 PAGE_BITS = 32768
+#: Bits of a filter that goes to every task, at most: 128 MB. Beyond some 10^8 members more rows pass by chance, which costs shuffling and never changes a result.
+FILTER_BITS = 1 << 30
+
+
+def filter_bits(members: int) -> int:
+    """Bits of a filter for so many members: 16 each, rounded up to a power of two, from 2^20 up to FILTER_BITS."""
+    return min(max(1 << 20, 1 << (16 * max(members, 1) - 1).bit_length()), FILTER_BITS)
 
 
 def bit_pages(positions: DataFrame, at: str) -> DataFrame:
@@ -79,12 +103,19 @@ def bit_is_set(position, bits):
 
 
 def keep_members(rows: DataFrame, members: DataFrame, key: str, inside: bool = True) -> DataFrame:
-    """The rows whose key may be among members: all that are, and some by chance, told by a filter of fixed size. Rows don't shuffle.
+    """The rows whose key may be among members: all that are, and some by chance, told by a filter of bounded size. Rows don't shuffle.
 
-    Without inside, the other rows.
+    Without inside, the other rows. members is a written table, as it is read twice.
     """
-    pages = bit_pages(members.select(F.pmod(F.xxhash64(key), F.lit(MEMBER_BITS)).alias("at")), "at")
-    spot = F.pmod(F.xxhash64(key), F.lit(MEMBER_BITS))
+    bits = filter_bits(members.count())
+    pages = bit_pages(members.select(F.pmod(F.xxhash64(key), F.lit(bits)).alias("at")), "at")
+    spot = F.pmod(F.xxhash64(key), F.lit(bits))
     marked = rows.withColumn("page", F.floor(spot / PAGE_BITS).cast("long")).join(F.broadcast(pages), "page", "left")
     hit = bit_is_set(spot, F.col("bits"))
     return marked.filter(hit if inside else ~hit).drop("page", "bits")
+
+
+def drop_members(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """rows without those whose key is in the written table gone. Only rows that the filter lets through are shuffled."""
+    kept = keep_members(rows, gone, key, inside=False)
+    return kept.unionByName(keep_members(rows, gone, key).join(gone.select(key).distinct(), key, "left_anti").select(*kept.columns))
