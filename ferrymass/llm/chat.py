@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferrymass.llm.store import persist
+from ferrymass.llm.store import join_counted, persist
 
 PREFIX = ["k", "s1", "s2"]
 
@@ -35,15 +35,25 @@ def _prefixes(numbered: DataFrame) -> DataFrame:
 
 
 def maximal(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, n_turns, n_logged of the conversations that are no prefix of another; n_logged counts equal ones."""
+    """conv_id, n_turns, n_logged, n_absorbed of the conversations that are no prefix of another.
+
+    n_logged counts equal ones, itself included, and n_absorbed the logged ones
+    that are its earlier snapshots; a snapshot of several counts with each.
+    """
     prefixes = persist(_prefixes(_numbered(turns, conv, turn, role, text)), "chat-prefixes")
-    whole = prefixes.filter("NOT more").groupBy(*PREFIX).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_logged"))
-    proper = prefixes.filter("more").select(*PREFIX).distinct()
-    return whole.join(proper, PREFIX, "left_anti").select("conv_id", F.col("k").alias("n_turns"), "n_logged")
+    whole = persist(prefixes.filter("NOT more").groupBy(*PREFIX).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_logged")), "chat-whole")
+    part = prefixes.filter("more").groupBy(*PREFIX).agg(F.count("*").alias("rows"))
+    seen = persist(whole.join(part, PREFIX, "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("long"))), "chat-seen")
+    kept = persist(seen.filter("rows = 0").select("conv_id", F.col("k").alias("n_turns"), "n_logged"), "chat-maximal")
+    # A snapshot that very many conversations begin with meets their prefixes without a shuffle.
+    snapshots = seen.filter("rows > 0").select(*PREFIX, F.col("n_logged").alias("n"), "rows")
+    own = prefixes.filter("more").select("conv_id", *PREFIX).join(kept.select("conv_id"), "conv_id", "left_semi")
+    met = join_counted(own, snapshots, PREFIX, "rows", prefixes.count()).filter("n IS NOT NULL").groupBy("conv_id").agg(F.sum("n").alias("n_absorbed"))
+    return kept.join(met, "conv_id", "left").withColumn("n_absorbed", F.coalesce("n_absorbed", F.lit(0).cast("long")))
 
 
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, n_turns, n_logged, rendered for every maximal conversation.
+    """conv_id, n_turns, n_logged, n_absorbed, rendered for every maximal conversation.
 
     Turns are taken in the order of turn (null first), role, text; rows that
     repeat count once; null roles and texts are empty; rows without a
@@ -54,7 +64,7 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     kept = persist(maximal(turns, conv, turn, role, text), "chat-kept")
     numbered = _numbered(turns, conv, turn, role, text).join(kept.select("conv_id"), "conv_id", "left_semi")
     line = F.transform(F.sort_array(F.collect_list(F.struct("k", "role", "text"))), lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit("\n<|end|>\n")))
-    return numbered.groupBy("conv_id").agg(F.array_join(line, "").alias("rendered")).join(kept, "conv_id").select("conv_id", "n_turns", "n_logged", "rendered")
+    return numbered.groupBy("conv_id").agg(F.array_join(line, "").alias("rendered")).join(kept, "conv_id").select("conv_id", "n_turns", "n_logged", "n_absorbed", "rendered")
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +83,9 @@ WITH rows AS (
            count(*) OVER (PARTITION BY conv_id) AS n FROM lines
 ), whole AS (
     SELECT min(conv_id) AS conv_id, k AS n_turns, count(*) AS n_logged, rendered FROM prefixes WHERE k = n GROUP BY k, rendered
+), absorbed AS (
+    SELECT p.conv_id, sum(w.n_logged)::BIGINT AS n_absorbed FROM prefixes p JOIN whole w ON w.n_turns = p.k AND w.rendered = p.rendered WHERE p.k < p.n GROUP BY p.conv_id
 )
-SELECT conv_id, n_turns, n_logged, rendered FROM whole w
+SELECT conv_id, n_turns, n_logged, coalesce(n_absorbed, 0)::BIGINT AS n_absorbed, rendered FROM whole w LEFT JOIN absorbed USING (conv_id)
 WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.k < p.n AND p.k = w.n_turns AND p.rendered = w.rendered)
 """
