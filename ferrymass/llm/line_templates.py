@@ -40,8 +40,11 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Lines end at line feeds; what stays is joined by them again. Rows with the
     same id are one document, each with a null id one of its own; a line that
     repeats within one counts once. Lines without a token, or whose tokens all
-    hold digits, stay. A null text is empty: one empty line. An empty table
-    gives no rows; other columns play no part.
+    hold digits, stay. A template goes from DOCUMENTS documents on where CONSTANT
+    of its tokens are constant; each field beyond that doubles the number. Texts
+    of any length are split once; rows that repeat lose the same lines. A null
+    text is empty: one empty line. An empty table gives no rows; other columns
+    play no part.
     """
     uid, own_id = F.monotonically_increasing_id(), F.col(id_col)
     base = docs.select(uid.alias("uid"), own_id.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -52,9 +55,11 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     common = persist(common, "lines-common")
     total = leaves.count()
     marked = persist(join_spread(leaves, common.select("leaf", "size"), ["leaf"], "size", total).filter("size IS NOT NULL").select("uid", "line", "leaf"), "lines-marked")
-    wanted = marked.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("line", "leaf"))).alias("leaf_of"))
-    chosen = base.join(wanted, "uid").select("uid", "who", "leaf_of", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(F.map_contains_key("leaf_of", F.col("line")))
-    chosen = chosen.select("uid", "who", "line", F.element_at("leaf_of", F.col("line")).alias("leaf"), _tokens(F.col("text")).alias("t"))
+    wanted = marked.groupBy("uid").agg(F.collect_list(F.struct("line", "leaf")).alias("at"))
+    # A text is split once and its lines are picked by number, however many there are.
+    pick = lambda lines: F.transform("at", lambda e: F.struct(e["line"].alias("line"), e["leaf"].alias("leaf"), F.element_at(lines, e["line"] + 1).alias("text")))
+    chosen = base.join(wanted, "uid").select("uid", "who", F.explode(F.element_at(F.transform(F.array(F.split("text", "\n")), pick), 1)).alias("e"))
+    chosen = chosen.select("uid", "who", "e.line", "e.leaf", _tokens(F.col("e.text")).alias("t"))
     chosen = persist(chosen.withColumn("kind", F.xxhash64("leaf", "t")), "lines-chosen")
     lines_left = chosen.count()
     # A leaf's distinct lines first, so that copies are met once each. Of each one's documents as many
@@ -82,8 +87,10 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = gone.groupBy("uid").agg(F.collect_set("line").alias("gone"))
     lines = F.split("text", "\n")
     drop = F.coalesce("gone", F.array().cast("array<int>"))
-    kept_lines = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains(drop, s["i"]))
-    return base.join(gone, "uid", "left").select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(drop).cast("long").alias("n_dropped"), F.array_join(F.transform(kept_lines, lambda s: s["x"]), "\n").alias("kept_text"))
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
+    kept = F.element_at(F.transform(F.array(lines), lambda own: F.transform(numbers, lambda i: F.element_at(own, i + 1))), 1)
+    text = F.when(F.size(drop) > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
+    return base.join(gone, "uid", "left").select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(drop).cast("long").alias("n_dropped"), text.alias("kept_text"))
 
 
 def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
