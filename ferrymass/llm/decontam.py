@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrymass.llm import kernels
+from ferrymass.llm.store import small_batches
 
 OVERLAP = 0.75
 PART = 0.5
@@ -66,9 +67,8 @@ class Index:
                 self.short.setdefault(words.tobytes(), []).append(item_id)
                 continue
             k = kernels.SHINGLE
-            run = [next(kernels.shingles(np.array([k]), words[i : i + k]))[0] for i in range(n - k + 1)]
             answer = np.arange(n - k + 1) + k > question_words(text)
-            self.items.append((item_id, np.array(run, np.uint64), answer))
+            self.items.append((item_id, kernels.windows(words), answer))
             entries += [(len(self.items) - 1, words[a : a + ENTRY]) for a in range(0, n, ENTRY)]
         self.owner = np.array([o for o, _ in entries], np.int64)
         kinds = [np.unique(w, return_counts=True) for _, w in entries]
@@ -210,6 +210,7 @@ def _shards(bench: DataFrame, item_col: str, text_col: str) -> Iterator[list[tup
 
 
 def _hits(spark: SparkSession, items: list[tuple[int, str]], text_col: str) -> Column:
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(Index(items))
 
     @F.pandas_udf(_HITS)
@@ -235,7 +236,12 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no test item, columns as they were. Nothing shuffles."""
+    """The rows of docs that hold no test item, columns as they were. Nothing shuffles.
+
+    A row goes by its own text: null and empty texts stay, repeated rows stay or
+    go together, and ids, null or shared, have no part. Without test items, or
+    for an empty table, docs is as it was.
+    """
     for items in _shards(bench, item_col, item_text_col):
         docs = docs.filter(F.size(_hits(docs.sparkSession, items, text_col)) == 0)
     return docs

@@ -7,8 +7,9 @@ models grow with the input. A model holds sorted arrays of packed strings; looki
 a string up is a binary search. Models go to the tasks whole up to HELD strings;
 larger ones are dealt by a string's last character but one into shards of at most
 that many, and a text's cross-entropy is the sum over the shards. The language with the lowest cross-entropy per character wins; a
-temperature fitted on a bounded sample turns entropies into a score, and texts
-whose best entropy lies above a calibrated bar can be rejected.
+temperature fitted on a bounded sample of texts that the counts leave out turns
+entropies into a score, and texts whose best entropy lies above a calibrated bar
+can be rejected.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrymass.llm.folds import held_out
-from ferrymass.llm.store import persist
+from ferrymass.llm.store import persist, small_batches
 
 ORDER = 4
 #: Strings in a shard of the models, all languages together: about 64 MB in a task. More make more shards; only one character's own strings can exceed it.
 HELD = 2_000_000
-#: Learned texts that the temperature and the bar are fitted on, at most.
+#: One id in so many is left out of the counts and calibrates, and texts that do, at most: those of the least hash of id and text.
+LEFT_OUT = 32
 CALIBRATION = 1000
 DISCOUNT = 0.75
 UNKNOWN = "und"
@@ -171,7 +173,7 @@ class Choice:
 
     def calibrate(self, chars: np.ndarray, nats: np.ndarray, langs: list[str]) -> Choice:
         """Temperature of the best likelihood, and a bar one deviation over the highest entropy of a text told right."""
-        some = np.flatnonzero(chars)
+        some = np.array([i for i in np.flatnonzero(chars) if langs[i] in self.names], np.int64)
         if len(some):
             h = nats[some] / chars[some, None]
             own = np.array([self.names.index(langs[i]) for i in some])
@@ -205,16 +207,18 @@ def _middle() -> Column:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held: int = HELD) -> tuple[Choice, list[Broadcast]]:
     """Models of every language that the rows outside the held-out fold name, a shard at a time. Rows without text or language teach nothing."""
-    rows = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = rows.select("lang", "text").mapInPandas(_count, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times"))
+    rows = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("own"))
+    apart = (F.pmod("own", F.lit(LEFT_OUT)) == 0)
+    counts = rows.filter(~apart).select("lang", "text").mapInPandas(_count, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times"))
     counts = persist(counts, "langid-counts")
     pairs = counts.select("lang", F.col("gram").bitwiseAND(0xFFFFFFFF).alias("gram")).distinct()
     single = pairs.groupBy("lang", F.col("gram").bitwiseAND(0xFFFF).alias("gram")).agg(F.count("*").alias("times")).toPandas()
     names = sorted(single["lang"].unique().tolist())
-    # Ids first: a sort of texts would send the driver each task's own first ones.
-    chosen = rows.select("id").filter("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(CALIBRATION)
-    sample = rows.join(F.broadcast(chosen), "id", "left_semi").dropDuplicates(["id"]).toPandas().sort_values("id")
-    chars, nats = np.zeros(len(sample)), np.zeros((len(sample), len(names)))
+    # Hashes first, so that a sort carries no texts; the texts then stay with the tasks, which send sums.
+    marked = rows.filter(apart).withColumn("row", F.xxhash64("own", "lang", "text"))
+    chosen = marked.select("row").distinct().orderBy("row").limit(CALIBRATION)
+    sample = persist(marked.join(F.broadcast(chosen), "row", "left_semi").select("row", "lang", "text"), "langid-sample")
+    chars, nats, langs = {}, {}, {}
     shards = []
     for lo, hi in _ranges(counts, held):
         own = counts.filter((_middle() >= lo) & (_middle() < hi)).toPandas()
@@ -222,21 +226,24 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for lang in names:
             many, one = own[own["lang"] == lang], single[single["lang"] == lang]
             models[lang] = KneserNey(many["gram"].to_numpy(np.int64).astype(_U), many["times"].to_numpy(np.int64), one["gram"].to_numpy(np.int64).astype(_U), one["times"].to_numpy(np.int64))
-        shard = Shard(models, lo, hi)
-        for k, (c, s) in enumerate(shard.sums(sample["text"].tolist())):
-            chars[k] = c
-            nats[k] += s
-        shards.append(docs.sparkSession.sparkContext.broadcast(shard))
-    return Choice(names).calibrate(chars, nats, sample["lang"].tolist()), shards
+        shard = docs.sparkSession.sparkContext.broadcast(Shard(models, lo, hi))
+        told = sample.select("row", "lang", "text").mapInPandas(_partial(shard, ["row", "lang"]), "row long, lang string, chars long, nats array<double>")
+        for r in told.dropDuplicates(["row"]).collect():  # at most CALIBRATION rows of sums
+            chars[r["row"]], langs[r["row"]] = r["chars"], r["lang"]
+            nats[r["row"]] = nats.get(r["row"], 0.0) + np.array(r["nats"], float)
+        shards.append(shard)
+    order = sorted(chars)
+    table = np.array([nats[k] for k in order]).reshape(len(order), len(names))
+    return Choice(names).calibrate(np.array([chars[k] for k in order], np.int64), table, [langs[k] for k in order]), shards
 
 
-def _partial(shard: Broadcast):
-    """Characters and nats of each row, as far as one shard tells."""
+def _partial(shard: Broadcast, keys: list[str]):
+    """Characters and nats of each row, as far as one shard tells, beside its keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             told = list(shard.value.sums(b["text"].tolist()))
-            yield pd.DataFrame({"row": b["row"], "chars": [c for c, _ in told], "nats": [s.tolist() for _, s in told]})
+            yield b[keys].assign(chars=[c for c, _ in told], nats=[s.tolist() for _, s in told])
 
     return run
 
@@ -251,6 +258,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     strings are sent out in shards, whose sums for a row are added up; that
     changes no result.
     """
+    small_batches(docs.sparkSession)
     choice, shards = learn(docs, id_col, text_col, lang_col, held)
     rows = docs.select(F.col(id_col).alias("_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     answer = "struct<lang_pred:string,score:double>"
@@ -270,7 +278,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             return pd.DataFrame([choice.pick(c, np.asarray(s, float), reject) for c, s in zip(chars, nats, strict=True)], columns=["lang_pred", "score"])
 
         rows = persist(rows.withColumn("row", F.expr("uuid()")), "langid-rows")
-        parts = [rows.select("row", "text").mapInPandas(_partial(s), "row string, chars long, nats array<double>") for s in shards]
+        parts = [rows.select("row", "text").mapInPandas(_partial(s, ["row"]), "row string, chars long, nats array<double>") for s in shards]
         sums = [F.sum(F.element_at("nats", k + 1)) for k in range(len(choice.names))]
         added = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.max("chars").alias("chars"), F.array(*sums).alias("nats"))
         told = rows.join(added, "row").select("_id", "held_out", decide("chars", "nats").alias("p"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ferrymass.llm import kernels
 from ferrymass.llm.folds import held_out
+from ferrymass.llm.store import small_batches
 
 #: Most labelled rows that a model is fitted on; those with the smallest hash of their id.
 SAMPLE = 4000
@@ -128,6 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     labels that disagree on an id the smaller counts. Without labels of both
     kinds the machine knows only their share, or 0.5 for none.
     """
+    small_batches(docs.sparkSession)
     marked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
     chosen = marked.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -137,7 +139,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             rows = list(features(b["_text"].tolist()))
             yield pd.DataFrame({"_id": b["_id"], "label": b["_label"], "index": [i.astype("<i4").tobytes() for i, _ in rows], "value": [v.astype("<f4").tobytes() for _, v in rows]})
 
-    found = texts.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).mapInPandas(prepare, "_id long, label int, index binary, value binary").toPandas().sort_values("_id")
+    # Of an id with several texts the one of the least hash teaches, so a fit is the same each time.
+    one = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    found = one.mapInPandas(prepare, "_id long, label int, index binary, value binary").toPandas().sort_values("_id")
     label = found["label"].to_numpy(float)
     share = float(np.clip((label.sum() + 1) / (len(label) + 2), 0.01, 0.99))
     model = Machine(float(np.log(share / (1 - share))))
@@ -168,7 +172,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the classifier accepts, with their columns as they were."""
+    """The rows of docs that the classifier accepts, with their columns as they were.
+
+    A row goes by its own text, null counting as empty, so repeated rows stay or
+    go together and ids have no part in the decision; a score at the threshold
+    stays. Without labels of both kinds all rows have one score. An empty table
+    stays empty.
+    """
     model = fit(docs, labels, id_col, text_col)
     return docs.filter(score_column(model, text_col, docs.sparkSession) >= threshold)
 
