@@ -30,15 +30,29 @@ from pyspark.sql import functions as F
 
 from ferrymass.llm import kernels
 from ferrymass.llm.components import components
-from ferrymass.llm.store import join_counted, keep_members, persist
+from ferrymass.llm.store import drop_members, join_counted, keep_members, persist, small_batches, tidy
 
 #: Sets that share a key before it counts as hot.
 HOT = 16
 #: Index entries that one slot of the index holds on average, and that a task packs at a time.
-PER_SLOT = 20_000
-FLUSH = 500_000
+PER_SLOT = 200_000
+FLUSH = 200_000
+#: Cells by which elements are counted to tell rare ones: 1 MB in a task. With more elements than cells the order is less telling and as right.
+CELLS = 1 << 18
+#: Entries of 12 bytes that a task of the index reads.
+PER_TASK = 1_300_000
+#: A key of over this part of all entries, and of PER_SLOT, is kept out of its slot, so there are fewer such keys than this.
+HEAVY_KEYS = 100_000
+#: Of sets, one in so many tells which keys are that heavy.
+PROBE = 64
+#: Sets of one element that meet in one task.
+PER_ELEMENT = 500
+#: Fingerprints that a task remembers to spare repeats, at most; the slots drop the others.
+SEEN = 50_000
 
 _U = np.uint64
+_ENTRY = np.dtype([("key", "<u4"), ("set", "<i8")])
+_HEAVY = np.dtype([("key", "<i8"), ("set", "<i8")])
 
 
 def _limits() -> np.ndarray:
@@ -107,48 +121,86 @@ def _sets(texts) -> Iterator[np.ndarray]:
         yield from kernels.shingles(counts, words)
 
 
+ROWS = "doc_id long, no_id boolean, mark long, set long, n long, band long, up long, low long, keys binary"
+
+
 def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """ROWS: of each text its set's fingerprint, size and segments, and the set's index keys where the task meets it first."""
+    seen: set[int] = set()
     for b in batches:
-        # An empty set's fingerprint is 0, not null: a null would make the column float and round the others.
-        rows = [(_set_id(u), *index_keys(u)[1]) if len(u) else (0, 0, 0, 0, 0) for u in _sets(b["text"].tolist())]
-        out = pd.DataFrame(rows, columns=["set", "n", "band", "up", "low"], dtype="int64")
-        out.insert(0, "doc_id", b["doc_id"].to_numpy())
-        yield out
+        rows = []
+        for u in _sets(b["text"].tolist()):
+            if not len(u):
+                # An empty set's fingerprint is 0, not null: a null would make the column float and round the others.
+                rows.append((0, 0, 0, 0, 0, b""))
+                continue
+            own = _set_id(u)
+            keys, facts = index_keys(u)
+            rows.append((own, *facts, b"" if own in seen else keys.astype("<u8").tobytes()))
+            if len(seen) < SEEN:
+                seen.add(own)
+        out = pd.DataFrame(rows, columns=["set", "n", "band", "up", "low", "keys"]).astype(dict.fromkeys(["set", "n", "band", "up", "low"], "int64"))
+        yield pd.concat([b[["doc_id", "no_id", "mark"]].reset_index(drop=True), out], axis=1)
+
+
+def _slot_of(key: np.ndarray, slots: int) -> np.ndarray:
+    return ((key & _U(0xFFFFFFFF)) % _U(slots)).astype(np.int64)
 
 
-def _pack(slots: int):
-    """Index entries of distinct sets, packed by slot: (key: 4 bytes, set: 8 bytes)."""
+def _name(key: np.ndarray, slots: int) -> np.ndarray:
+    """What a key is told by: its slot and its upper half."""
+    return (_slot_of(key, slots) << 32) + (key >> _U(32)).astype(np.int64)
+
+
+def _names(slots: int):
+    """Names of the keys of the probed sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        keys, owners, held = [], [], 0
-
-        def flush() -> pd.DataFrame:
-            key, owner = np.concatenate(keys), np.concatenate(owners)
-            slot = ((key & _U(0xFFFFFFFF)) % _U(slots)).astype(np.int64)
-            order = np.argsort(slot, kind="stable")
-            entry = np.empty(len(key), [("key", "<u4"), ("set", "<i8")])
-            entry["key"], entry["set"] = (key >> _U(32))[order].astype("<u4"), owner[order]
-            slot = slot[order]
-            first = np.flatnonzero(np.diff(slot, prepend=-1))
-            ends = np.append(first[1:], len(slot))
-            return pd.DataFrame({"slot": slot[first], "entries": [entry[a:z].tobytes() for a, z in zip(first, ends, strict=True)]})
+        for b in batches:
+            for at in range(0, len(b), 100):
+                yield pd.DataFrame({"key": _name(np.frombuffer(b"".join(b["keys"].iloc[at : at + 100]), "<u8"), slots)})
+
+    return run
+
 
+def _entries(slots: int, heavy: np.ndarray):
+    """Index entries of distinct sets, packed by slot: (key: 4 bytes, set: 8 bytes); those of heavy keys, as (key: 8, set: 8), by set in slots below 0."""
+
+    def deal(slot: np.ndarray, entry: np.ndarray) -> pd.DataFrame:
+        order = np.argsort(slot, kind="stable")
+        slot, entry = slot[order], entry[order]
+        first = np.flatnonzero(np.diff(slot, prepend=slot[0] - 1)) if len(slot) else np.empty(0, np.int64)
+        ends = np.append(first[1:], len(slot))
+        return pd.DataFrame({"slot": slot[first], "entries": [entry[a:z].tobytes() for a, z in zip(first, ends, strict=True)]})
+
+    def flush(keys: list[bytes], sets: list[int]) -> Iterator[pd.DataFrame]:
+        key = np.frombuffer(b"".join(keys), "<u8")
+        own = np.repeat(np.array(sets, np.int64), [len(k) // 8 for k in keys])
+        if len(heavy):
+            name = _name(key, slots)
+            apart = heavy[np.minimum(np.searchsorted(heavy, name), len(heavy) - 1)] == name
+            out = np.empty(int(apart.sum()), _HEAVY)
+            out["key"], out["set"] = name[apart], own[apart]
+            if len(out):
+                yield deal(-1 - (out["set"] & 0xFFFFF), out)
+            key, own = key[~apart], own[~apart]
+        entry = np.empty(len(key), _ENTRY)
+        entry["key"], entry["set"] = (key >> _U(32)).astype("<u4"), own
+        if len(entry):
+            yield deal(_slot_of(key, slots), entry)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, sets, held = [], [], 0
         for b in batches:
-            for u in _sets(b["text"].tolist()):
-                if not len(u) or (own := _set_id(u)) in seen:
-                    continue
-                if len(seen) < 1_000_000:  # only spares repeats; the slots drop the others
-                    seen.add(own)
-                k, _ = index_keys(u)
+            for k, own in zip(b["keys"], b["set"].tolist(), strict=True):
                 keys.append(k)
-                owners.append(np.full(len(k), own, np.int64))
-                held += len(k)
+                sets.append(own)
+                held += len(k) // 8
                 if held >= FLUSH:
-                    yield flush()
-                    keys, owners, held = [], [], 0
+                    yield from flush(keys, sets)
+                    keys, sets, held = [], [], 0
         if held:
-            yield flush()
+            yield from flush(keys, sets)
 
     return run
 
@@ -168,7 +220,10 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _slot(slot: int, parts: list[bytes]) -> pd.DataFrame:
-    entry = np.frombuffer(b"".join(parts), [("key", "<u4"), ("set", "<i8")])
+    if slot < 0:
+        entry = np.unique(np.frombuffer(b"".join(parts), _HEAVY))
+        return pd.DataFrame({"a": entry["set"].astype(np.int64), "b": np.int64(0), "shared": np.int64(0), "key": entry["key"].astype(np.int64)})
+    entry = np.frombuffer(b"".join(parts), _ENTRY)
     key, own = entry["key"], entry["set"]
     order = np.lexsort((own, key))
     key, own = key[order], own[order]
@@ -197,44 +252,30 @@ def _slot(slot: int, parts: list[bytes]) -> pd.DataFrame:
 
 def _arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        sets = [u.astype("<u8").tobytes() for u in _sets(b["text"].tolist())]
-        yield pd.DataFrame({"doc_id": b["doc_id"], "elements": sets})
+        sets = list(_sets(b["text"].tolist()))
+        yield pd.DataFrame({"mark": b["mark"].to_numpy(), "set": [_set_id(u) if len(u) else 0 for u in sets], "elements": [u.view(np.int64) for u in sets]})
 
 
-def _links(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Whether two whole sets link: 100 * intersection >= 75 * union, in integers."""
-    out = []
-    for x, y in zip(left, right, strict=True):
-        x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(100 * both >= 75 * (len(x) + len(y) - both))
-    return pd.Series(out, dtype=bool)
-
-
-def _elements(named: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """set, elements (8 bytes each) of the named sets."""
-    wanted = persist(reps.join(named, "set").select("set", F.col("rep").alias("doc_id")), "near-wanted")
-    made = keep_members(docs, wanted, "doc_id").mapInPandas(_arrays, "doc_id long, elements binary")
-    return persist(wanted.join(made, "doc_id").select("set", "elements"), "near-sets")
-
-
-def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for at in range(0, len(b), 200):
-            own = [np.frombuffer(e, "<i8") for e in b["elements"].iloc[at : at + 200]]
-            size = [len(x) for x in own]
-            part = b.iloc[at : at + 200]
-            yield pd.DataFrame({"set": np.repeat(part["set"].to_numpy(), size), "comp": np.repeat(part["comp"].to_numpy(), size), "n": np.repeat(size, size), "element": np.concatenate(own)})
+def _elements(named: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """set, elements (array) of the named sets, each made of the rows that its mark names."""
+    wanted = persist(reps.join(named, "set").select("set", "mark"), "near-wanted", gather=True)
+    made = keep_members(texts.select("mark", "text"), wanted, "mark").mapInPandas(tidy(_arrays), "mark long, set long, elements array<long>")
+    return persist(wanted.join(made, ["mark", "set"]).groupBy("set").agg(F.first("elements").alias("elements")), "near-sets")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs a, b that link. Whole sets are made anew from one text of each set that a pair names."""
     named = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
     elements = _elements(named, docs, reps)
-    linked = F.pandas_udf(_links, "boolean")
     x = elements.withColumnsRenamed({"set": "a", "elements": "x"})
     y = elements.withColumnsRenamed({"set": "b", "elements": "y"})
-    return persist(pairs.select("a", "b").join(x, "a").join(y, "b").filter(linked("x", "y")).select("a", "b"), "near-links")
+    both = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), F.size(F.array_intersect("x", "y")).cast("long").alias("same"))
+    return persist(both.filter("100 * same >= 75 * (n + m - same)").select("a", "b"), "near-links", gather=True)
+
+
+def _mark(id_col: str, text_col: str) -> Column:
+    """What a row is told by: its id and text, so that texts under one id stay apart and rows without an id count."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,17 +284,35 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n_shingles is the size of the text's set; component_id the smallest id that
     links reach, the row's own included; n_copies the rows with the very same
     set. Null, empty and blank texts have no shingles, link with nothing and are
-    their own component. Repeated rows give rows each. A null id takes part and
-    is never the smallest unless all are null. An empty table gives no rows;
-    other columns play no part. Sets are told apart by a 64-bit fingerprint.
+    their own component. Repeated rows give rows each, and so does each text of an
+    id that has several. A null id takes part, links others and is never the
+    smallest unless all are null. An empty table gives no rows; other columns play
+    no part. Sets are told apart by a 64-bit fingerprint.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = persist(texts.mapInPandas(_summaries, "doc_id long, set long, n long, band long, up long, low long"), "near-rows")
-    info = persist(rows.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("band").alias("band"), F.first("up").alias("up"), F.first("low").alias("low")), "near-info")
-    entries = (info.agg(F.sum(F.col("up") + F.col("low"))).first()[0] or 0) + 1
+    return _classes(docs, id_col, text_col).drop("mark").withColumnRenamed("doc_id", id_col)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """near_copies with each row's mark."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    own_id = F.col(id_col).cast("long")
+    # A null beside large ids would turn an Arrow batch's ids into rounded floats.
+    texts = docs.select(F.coalesce(own_id, F.lit(0)).alias("doc_id"), own_id.isNull().alias("no_id"), _mark(id_col, text_col).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = persist(texts.mapInPandas(tidy(_summaries), ROWS), "near-rows")
+    indexed = rows.select("set", "keys").filter(F.octet_length("keys") > 0)
+    rows = rows.drop("keys").withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
+    least = F.min_by("mark", F.struct(F.col("doc_id").isNull(), "doc_id", "mark"))
+    info = persist(rows.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), least.alias("mark"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("band").alias("band"), F.first("up").alias("up"), F.first("low").alias("low")), "near-info")
+    entries = indexed.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+    entries = entries // 8 + 1
     slots = min(max(16, entries // PER_SLOT), 1 << 30)
-    packed = texts.mapInPandas(_pack(slots), "slot long, entries binary")
-    met = persist(packed.repartition("slot").sortWithinPartitions("slot").mapInPandas(_meet, "a long, b long, shared long, key long"), "near-met")
+    bar = max(PER_SLOT, entries // HEAVY_KEYS)
+    probed = indexed.filter(F.pmod("set", F.lit(PROBE)) == 0).mapInPandas(_names(slots), "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") * PROBE > bar)
+    heavy = np.sort(np.array([r["key"] for r in probed.select("key").collect()], np.int64))
+    packed = indexed.mapInPandas(tidy(_entries(slots, heavy)), "slot long, entries binary")
+    tasks = -(-entries // PER_TASK)
+    met = persist(packed.repartition(tasks, "slot").sortWithinPartitions("slot").mapInPandas(tidy(_meet), "a long, b long, shared long, key long"), "near-met", gather=True)
 
     hot = met.filter("key <> 0").select("key", F.col("a").alias("set"))
     hot_of = persist(hot.groupBy("set").agg(F.count("*").alias("hot")), "near-hot")
@@ -275,7 +334,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     leaders = exposed.groupBy("key").agg(F.max(F.struct((F.col("hot") / (F.col("up") + F.col("low"))).alias("share"), "set", "n")).alias("lead"), F.count("*").alias("size"))
     star = join_counted(exposed, persist(leaders, "near-leaders"), ["key"], "size", exposed.count()).filter(4 * F.least("n", "lead.n") >= 3 * F.greatest("n", "lead.n")).select(F.col("set").alias("a"), F.col("lead.set").alias("b"))
     first = _ordered(chosen.unionByName(star))
-    reps = info.select("set", "rep")
+    reps = info.select("set", "mark")
     links = _verify(persist(first, "near-first"), texts, reps)
     label = persist(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-label")
 
@@ -289,8 +348,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = named.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("sets"))
     named = join_counted(named, persist(groups, "near-groups"), ["label"], "sets", named.count())
     full = join_counted(rows.filter("n > 0"), persist(named.select("set", "component_id", "copies"), "near-sets"), ["set"], "copies", rows.count())
-    out = full.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("copies").alias("n_copies"))
-    return out.unionByName(rows.filter("n = 0").select(F.col("doc_id").alias(id_col), F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies")))
+    out = full.select("mark", "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("copies").alias("n_copies"))
+    return out.unionByName(rows.filter("n = 0").select("mark", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies")))
 
 
 def _as(facts: DataFrame, side: str) -> DataFrame:
@@ -328,11 +387,41 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return _label(_label(pairs, "a", label, "la"), "b", label, "lb").filter("la <> lb").select("a", "b")
 
 
+def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many elements of the task's sets fall into each cell."""
+    times = np.zeros(CELLS, np.int64)
+    for b in batches:
+        if len(b):
+            times += np.bincount(np.concatenate([np.asarray(x, np.int64) for x in b["elements"]]) & (CELLS - 1), minlength=CELLS)
+    cell = np.flatnonzero(times)
+    yield pd.DataFrame({"cell": cell.astype(np.int32), "times": times[cell]})
+
+
+def _heads(often):
+    """The rarest quarter of each set's elements, and one, with their places from 0; those that no other set can have are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            places, picked = [], []
+            for elements in b["elements"]:
+                e = np.asarray(elements, np.int64)
+                times = often.value[e & (CELLS - 1)]
+                first = np.lexsort((e, times))[: len(e) // 4 + 1]
+                places.append(np.flatnonzero(times[first] > 1))
+                picked.append(e[first[places[-1]]])
+            if places:
+                size = [len(x) for x in places]
+                n = b["elements"].map(len).to_numpy(np.int64)
+                yield pd.DataFrame({"set": np.repeat(b["set"].to_numpy(), size), "comp": np.repeat(b["comp"].to_numpy(), size), "n": np.repeat(n, size), "at": np.concatenate(places), "element": np.concatenate(picked)})
+
+    return run
+
+
 def _hot_pairs(exposed: DataFrame, label: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Candidate pairs among the exposed sets whose hot keys hold more than one component.
 
     What linked sets share is at least three quarters of the larger one, so with
-    elements ordered by how few of these sets hold them, two linked sets have an
+    elements ordered by how few of these sets hold their cell, two linked sets have an
     element in common among the first quarter (and one) of the larger and the first
     seventh (and one) of the smaller: from the first element in common on, each has
     3/7 of both sizes left. Sets that merely contain a frequent passage, and edited
@@ -342,26 +431,35 @@ def _hot_pairs(exposed: DataFrame, label: DataFrame, docs: DataFrame, reps: Data
     marked = _label(exposed.select("key", "set"), "set", label, "comp")
     mixed = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     left = persist(marked.join(mixed, "key", "left_semi").select("set", "comp").distinct(), "near-mixed")
-    held = _elements(left.select("set"), docs, reps).join(left, "set").mapInPandas(_explode, "set long, comp long, n long, element long")
-    held = persist(held, "near-held")
-    often = persist(held.groupBy("element").agg(F.count("*").alias("often")), "near-often")
-    ranked = join_counted(held, often, ["element"], "often", held.count())
-    ranked = ranked.groupBy("set").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "element"))).alias("e"))
-    head = ranked.select("set", "comp", "n", F.posexplode(F.slice("e", 1, F.floor(F.col("n") / 4).cast("int") + 1)).alias("at", "e")).select("set", "comp", "n", "at", "e.element", "e.often").filter("often > 1")
-    head = persist(head, "near-head")
-    spread = head.groupBy("element").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("element")
-    head = persist(head.join(spread, "element", "left_semi"), "near-heads")
-    x = head.filter("7 * at <= n").select("element", F.col("set").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("at").alias("ia"))
-    y = head.select("element", F.col("set").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    held = persist(_elements(left.select("set"), docs, reps).join(left, "set"), "near-held")
+    counted = held.select("elements").mapInPandas(tidy(_cells), "cell int, times long").groupBy("cell").agg(F.sum("times").alias("times"))
+    times = np.zeros(CELLS, np.int64)
+    for cell, n in counted.collect():  # CELLS rows at most
+        times[cell] = n
+    often = docs.sparkSession.sparkContext.broadcast(times)
+    head = persist(held.mapInPandas(tidy(_heads(often)), "set long, comp long, n long, at long, element long"), "near-head")
+    spread = head.groupBy("element").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("sets")).filter("lo <> hi").select("element", "sets")
+    head = join_counted(head, persist(spread, "near-spread"), ["element"], "sets", head.count()).filter("sets IS NOT NULL")
+    # An element's sets are dealt over as many tasks as it takes, and meet all the others there.
+    parts = F.ceil(F.col("sets") / PER_ELEMENT).cast("int")
+    head = persist(head.withColumn("parts", parts), "near-heads")
+    x = head.filter("7 * at <= n").select("element", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int").alias("part"), F.col("set").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    y = head.select("element", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("set").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
     far_enough = "7 * (na - ia) >= 3 * (na + nb) AND 7 * (nb - ib) >= 3 * (na + nb)"
-    return x.join(y, "element").filter(f"ca <> cb AND (na < nb OR na = nb AND a < b) AND 4 * na >= 3 * nb AND {far_enough}").select("a", "b").distinct()
+    return x.join(y, ["element", "part"]).filter(f"ca <> cb AND (na < nb OR na = nb AND a < b) AND 4 * na >= 3 * nb AND {far_enough}").select("a", "b").distinct()
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row's id of each component, the smallest; columns as they were."""
-    found = near_copies(docs, id_col, text_col)
-    gone = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """docs with, of each component, the rows that have its smallest id; columns as they were.
+
+    A row goes by its own id and text, so another text under the same id has no
+    part in it. A null id goes where its component has an id, and stays where all
+    are null. Rows that repeat both id and text stay or go together. Texts without
+    a word stay; an empty table stays empty. Only rows that may go are shuffled.
+    """
+    found = _classes(docs, id_col, text_col)
+    gone = persist(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("mark").distinct(), "near-gone")
+    return drop_members(docs.select(F.struct(*docs.columns).alias("_row"), _mark(id_col, text_col).alias("mark")), gone, "mark").select("_row.*")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
