@@ -1,10 +1,16 @@
-"""Byte-level BPE encoding and decoding with recursive DuckDB queries in each partition.
+"""Byte-level BPE encoding and decoding with DuckDB queries in each partition.
 
 A task splits its texts by the pre-tokenizer pattern, keeps the distinct words
 it has not met yet, and encodes those with one recursive query: token-position
 rows join the merge table, and every word contracts its leftmost pair of
-minimum rank until none is left. Ids are decoded by an ordered aggregation over
-the same position rows.
+minimum rank until none is left. The recursion is keyed by word and position, so
+a word holds one row a position however many steps it takes. A step contracts all
+pairs of a word's minimum rank from left to right where that is what one at a
+time would give: if no merge that uses the new token has a rank as low, nothing
+can come before the next of these pairs. Otherwise it contracts the leftmost only.
+
+Ids are decoded by an ordered aggregation over position rows joined to the token
+table. What a task has learnt is freed at its end.
 """
 
 from __future__ import annotations
@@ -18,14 +24,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words that a generation of a worker's memory holds; two are kept, and forgetting the older one changes no result.
-REMEMBERED = 300_000
-#: Words that one recursive query takes at most.
+from ferrymass.llm.store import give_back, small_batches
+
+#: Words that a generation of a task's memory holds; two are kept, and forgetting the older one changes no result.
+REMEMBERED = 120_000
+#: Words, and bytes of words, that one recursive query takes at most; a longer word goes alone.
 PER_QUERY = 50_000
+BYTES_PER_QUERY = 500_000
+SHORT = 48
+#: Words of texts that are held at a time, but for a longer text's own, and ids that one query decodes.
+HELD = 160_000
+DECODED = 100_000
+#: Memory of a task's DuckDB, which never spills.
+MEMORY = "150MB"
 
 OUT = "doc_id long, ids array<int>, decoded binary"
 
-#: pick holds, from the top: the token made (which is its rank), the position of the left part, and the left part's width.
+#: Words of at most SHORT bytes, the leftmost pair a step. pick holds, from the top: the token made, the position of the left part, and the left part's width.
 _ENCODE = """
 WITH RECURSIVE state AS (
     SELECT word, pos, tok, 0 AS step FROM start
@@ -33,86 +48,127 @@ WITH RECURSIVE state AS (
     (WITH pair AS (
         SELECT word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt, step FROM state
     ), ranked AS (
-        SELECT p.word, p.pos, p.tok, m.merged, m.width, p.step
-        FROM pair p LEFT JOIN merges m ON m.pair = p.tok::BIGINT * 16777216 + p.nxt
+        SELECT p.word, p.pos, p.tok, m.merged, m.width, p.step FROM pair p LEFT JOIN merges m ON m.pair = p.tok::BIGINT * 16777216 + p.nxt
     ), best AS (
-        SELECT word, min((merged::BIGINT << 40) + (pos::BIGINT << 12) + width) AS pick
-        FROM ranked WHERE merged IS NOT NULL GROUP BY word
+        SELECT word, min((merged::BIGINT << 40) + (pos::BIGINT << 12) + width) AS pick FROM ranked WHERE merged IS NOT NULL GROUP BY word
     )
     SELECT r.word, r.pos, CASE WHEN r.pos = (b.pick >> 12) & 268435455 THEN b.pick >> 40 ELSE r.tok END, r.step + 1
     FROM ranked r JOIN best b ON b.word = r.word WHERE r.pos <> ((b.pick >> 12) & 268435455) + (b.pick & 4095))
 ), last AS (SELECT word, max(step) AS step FROM state GROUP BY word)
-SELECT s.word, list(s.tok::INTEGER ORDER BY s.pos) AS ids
-FROM state s JOIN last USING (word, step) GROUP BY s.word ORDER BY s.word
+SELECT s.word, list(s.tok::INTEGER ORDER BY s.pos) AS ids FROM state s JOIN last USING (word, step) GROUP BY s.word
 """
 
+#: Longer words, all that a step allows.
+_ENCODE_LONG = """
+WITH RECURSIVE state(word, pos, tok) USING KEY (word, pos) AS (
+    SELECT word, pos, tok FROM start
+    UNION
+    (WITH pair AS (
+        SELECT word, pos, tok, lead(tok) OVER w AS nxt, lead(pos) OVER w AS after, lag(tok) OVER w AS left_tok, lead(tok, 2) OVER w AS right_tok
+        FROM recurring.state WHERE tok >= 0 AND word IN (SELECT word FROM state) WINDOW w AS (PARTITION BY word ORDER BY pos)
+    ), ranked AS (
+        SELECT p.*, m.merged FROM pair p JOIN merges m ON m.pair = p.tok::BIGINT * 16777216 + p.nxt
+    ), low AS (
+        SELECT word, min(merged) AS merged FROM ranked GROUP BY word
+    ), met AS (
+        SELECT r.*, lag(r.after) OVER (PARTITION BY r.word ORDER BY r.pos) IS NOT DISTINCT FROM r.pos AS touches
+        FROM ranked r JOIN low l ON l.word = r.word AND l.merged = r.merged
+    ), chain AS (
+        SELECT *, sum(CASE WHEN touches THEN 0 ELSE 1 END) OVER (PARTITION BY word ORDER BY pos) AS run FROM met
+    ), act AS (
+        SELECT *, merged::BIGINT * 16777216 AS big FROM chain QUALIFY row_number() OVER (PARTITION BY word, run ORDER BY pos) % 2 = 1
+    ), watched AS (
+        SELECT *, big + coalesce(right_tok, merged) IN (FROM early) OR coalesce(left_tok, merged)::BIGINT * 16777216 + merged IN (FROM early) OR big + merged IN (FROM early) AS wakes FROM act
+    ), due AS (
+        SELECT * FROM watched QUALIFY NOT coalesce(bool_or(wakes) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)
+    )
+    SELECT word, unnest([pos, after]), unnest([merged, -1]) FROM due)
+)
+SELECT word, list(tok ORDER BY pos) AS ids FROM state WHERE tok >= 0 GROUP BY word
+"""
 
-class Vocabulary:
-    """Ranks of a .tiktoken file and the merge rows that follow from them."""
+#: The bytes of a token are held as a string of one character a byte.
+_DECODE = "SELECT i.doc, string_agg(t.bytes, '' ORDER BY i.pos) AS text FROM ids i JOIN tokens t ON t.tok = i.tok GROUP BY i.doc"
 
-    def __init__(self, data: bytes):
-        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
-        self.tokens = {i: t for t, i in self.ranks.items()}
 
-    def merges(self) -> pd.DataFrame:
-        """Every way to make a token of two others: the pair's key, the token made, the left part's width in bytes."""
-        rows = [(self.ranks[t[:k]] * 16777216 + self.ranks[t[k:]], i, k) for t, i in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        return pd.DataFrame(rows, columns=["pair", "merged", "width"]).astype({"merged": "int32", "width": "int32"})
+def merge_rows(data: bytes) -> pd.DataFrame:
+    """Every way to make a token of two others: the pair's key, the token made (which is its rank), the left part's width in bytes, and whether the token ranks no later than a part of it."""
+    ranks = _ranks(data)
+    made = [(ranks[t[:k]], ranks[t[k:]], i, k) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+    left, right, merged, width = np.array(made, np.int64).reshape(-1, 4).T
+    return pd.DataFrame({"pair": left * 16777216 + right, "merged": merged.astype(np.int32), "width": width.astype(np.int32), "early": (merged <= left) | (merged <= right)})
+
+
+def _ranks(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
 
 
 class Coder:
-    """One task's DuckDB connection with the merge table and the words met so far."""
+    """One task's DuckDB connection with the merge and token tables, and the words met so far."""
 
-    def __init__(self, data: bytes, pattern: str):
+    def __init__(self, data: bytes, merges: pd.DataFrame, pattern: str):
         import duckdb
         import regex
 
-        self.vocabulary = Vocabulary(data)
+        self.ranks = _ranks(data)
         self.pattern = regex.compile(pattern)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
-        self.db.register("merge_rows", self.vocabulary.merges())
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
-        self.db.unregister("merge_rows")
-        self.byte = np.array([self.vocabulary.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": "", "preserve_insertion_order": False})
+        self._table("merges", merges[["pair", "merged", "width"]])
+        self._table("early", merges.loc[merges["early"], ["pair"]])
+        self._table("tokens", pd.DataFrame({"tok": np.array(list(self.ranks.values()), np.int32), "bytes": [t.decode("latin-1") for t in self.ranks]}))
+        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _table(self, name: str, rows: pd.DataFrame) -> None:
+        self.db.register("given", rows)
+        self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
+        self.db.unregister("given")
+
+    def close(self) -> None:
+        self.db.close()
+        self.known, self.older, self.ranks = {}, {}, {}
+        give_back()
+
     def learn(self, words: list[str]) -> None:
         """Ids of words not known yet. Those that are tokens as a whole need no merging."""
-        rest = []
+        rest: list[tuple[str, bytes]] = []
         for w in words:
-            i = self.vocabulary.ranks.get(w.encode("utf-8", "surrogatepass"))
+            blob = w.encode("utf-8", "surrogatepass")
+            i = self.ranks.get(blob)
             if i is None:
-                rest.append(w)
+                rest.append((w, blob))
             else:
                 self.known[w] = i.to_bytes(4, "little")
-        at = 0
-        while at < len(rest):
-            part, size = [], 0
-            while at < len(rest) and len(part) < PER_QUERY and (not part or size + len(rest[at]) < 20 * PER_QUERY):
-                part.append(rest[at])
-                size += len(rest[at])
-                at += 1
+        rest.sort(key=lambda x: len(x[1]))  # words of like length take as many steps
+        part: list[tuple[str, bytes]] = []
+        size = 0
+        for x in rest:
+            if part and (len(part) >= PER_QUERY or size + len(x[1]) > BYTES_PER_QUERY or len(part[0][1]) <= SHORT < len(x[1])):
+                self._merge(part)
+                part, size = [], 0
+            part.append(x)
+            size += len(x[1])
+        if part:
             self._merge(part)
 
-    def _merge(self, words: list[str]) -> None:
-        blobs = [w.encode("utf-8", "surrogatepass") for w in words]
-        lengths = np.array([len(b) for b in blobs])
+    def _merge(self, words: list[tuple[str, bytes]]) -> None:
+        lengths = np.array([len(b) for _, b in words])
         first = np.cumsum(lengths) - lengths
         word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
-        start = pd.DataFrame({"word": word, "pos": (np.arange(len(word)) - first[word]).astype(np.int32), "tok": self.byte[np.frombuffer(b"".join(blobs), np.uint8)]})
+        start = pd.DataFrame({"word": word, "pos": (np.arange(len(word)) - first[word]).astype(np.int32), "tok": self.byte[np.frombuffer(b"".join(b for _, b in words), np.uint8)]})
         self.db.register("start", start)
-        found = self.db.execute(_ENCODE).fetchnumpy()
+        found = self.db.execute(_ENCODE if lengths[-1] <= SHORT else _ENCODE_LONG).fetchnumpy()
         self.db.unregister("start")
         for i, ids in zip(found["word"].tolist(), found["ids"], strict=True):
-            self.known[words[i]] = np.asarray(ids, "<u4").tobytes()
+            self.known[words[i][0]] = np.asarray(ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, in order. The words of one text are held at a time, and the new ones of a run of texts."""
         held: list[list[str]] = []
         size = 0
         for text in [*texts, None]:
-            if text is None or size > 400_000:
+            if text is None or size > HELD:
                 yield from self._flush(held)
                 held, size = [], 0
             if text is not None:
@@ -134,25 +190,29 @@ class Coder:
         for words in held:
             yield np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """Bytes of a sequence of ids: the tokens' bytes in order of position."""
-        tokens = self.vocabulary.tokens
-        return b"".join([tokens[i] for i in ids.tolist()])
-
-
-_coders: dict[tuple[bytes, str], Coder] = {}
-
-
-def coder_of(data: bytes, pattern: str) -> Coder:
-    """The worker process's coder for a vocabulary, so that tasks which share a process share what it has learnt."""
-    key = hashlib.sha256(data).digest(), pattern
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = Coder(data, pattern)
-    return _coders[key]
-
-
-def _vocabulary(spark: SparkSession, path: str) -> bytes:
+    def decode(self, many: list[np.ndarray]) -> list[bytes]:
+        """Bytes of each sequence of ids: the tokens' bytes in order of position."""
+        out = [b""] * len(many)
+        pieces = [(k, ids[a : a + DECODED]) for k, ids in enumerate(many) for a in range(0, len(ids), DECODED)]
+        part: list[tuple[int, np.ndarray]] = []
+        size = 0
+        for x in [*pieces, None]:
+            if part and (x is None or size + len(x[1]) > DECODED):
+                sizes = [len(ids) for _, ids in part]
+                doc = np.repeat(np.arange(len(part), dtype=np.int32), sizes)
+                self.db.register("ids", pd.DataFrame({"doc": doc, "pos": np.arange(len(doc), dtype=np.int32), "tok": np.concatenate([ids for _, ids in part]).astype(np.int32)}))
+                found = dict(self.db.execute(_DECODE).fetchall())
+                self.db.unregister("ids")
+                for i, (k, _) in enumerate(part):
+                    out[k] += found[i].encode("latin-1")
+                part, size = [], 0
+            if x is not None:
+                part.append(x)
+                size += len(x[1])
+        return out
+
+
+def _vocabulary(path: str) -> bytes:
     """The vocabulary file's bytes, read once on the driver: a fixed table of under 2 MB, whatever the corpus."""
     with open(path, "rb") as f:
         return f.read()
@@ -165,38 +225,46 @@ def _default_vocabulary() -> tuple[str, str]:
 
 
 def _coded(docs: DataFrame, id_col: str, text_col: str, path: str | None, row, schema: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     default, pattern = _default_vocabulary()
-    shared = docs.sparkSession.sparkContext.broadcast(_vocabulary(docs.sparkSession, path or default))
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    names = [f.split()[0] for f in schema.split(", ")]
+    data = _vocabulary(path or default)
+    shared = docs.sparkSession.sparkContext.broadcast((data, merge_rows(data)))
+    # A null beside large ids would turn an Arrow batch's ids into rounded floats.
+    chosen = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    names = ["no_id", *[f.split()[0] for f in schema.split(", ")]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = coder_of(shared.value, pattern)
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                rows = [(i, *row(coder, ids)) for i, ids in zip(part["doc_id"].tolist(), coder.encode(part["text"].tolist()), strict=True)]
-                yield pd.DataFrame(rows, columns=names)
+        coder = Coder(*shared.value, pattern)
+        try:
+            for batch in batches:
+                for at in range(0, len(batch), 250):
+                    part = batch.iloc[at : at + 250]
+                    many = list(coder.encode(part["text"].tolist()))
+                    rows = [(n, i, *row(ids, text)) for n, i, ids, text in zip(part["no_id"].tolist(), part["doc_id"].tolist(), many, coder.decode(many), strict=True)]
+                    yield pd.DataFrame(rows, columns=names)
+        finally:
+            coder.close()
 
-    return chosen.mapInPandas(run, schema)
+    coded = chosen.mapInPandas(run, f"no_id boolean, {schema}")
+    return coded.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """doc_id, ids and the bytes that the ids decode to, for every row of docs.
 
     vocabulary is the path of a .tiktoken file. A null or empty text has no ids
-    and decodes to no bytes. Rows that repeat are coded each; an empty table
-    gives no rows; other columns play no part.
+    and decodes to no bytes. Rows that repeat, or share an id, are coded each; a
+    null id stays null; an empty table gives no rows; other columns play no part.
     """
-    return _coded(docs, id_col, text_col, vocabulary, lambda c, ids: (ids, c.decode(ids)), OUT)
+    return _coded(docs, id_col, text_col, vocabulary, lambda ids, text: (ids, text), OUT)
 
 
-def _digest(coder: Coder, ids: np.ndarray) -> tuple[int, str, str]:
-    return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()
+def _digest(ids: np.ndarray, text: bytes) -> tuple[int, str, str]:
+    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the ids and of the decoded bytes, made beside the coder so that ids needn't leave the task."""
+    """doc_id, n_tokens, and SHA-256 of the ids and of the decoded bytes, made beside the coder so that ids needn't leave the task. Rows as in encode."""
     return _coded(docs, id_col, text_col, vocabulary, _digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
