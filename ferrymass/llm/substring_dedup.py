@@ -12,6 +12,11 @@ position, within the string, of its least GRAM-byte hash. Three passes.
    with the first of its run: it is covered if that one's id is smaller.
 3. Covered strings are merged per text and cut out.
 
+A sample that very many texts hold, amid different text, would make a slot of any
+size. The first pass counts samples, and where one is heavy the second sends its
+strings one by one under their own hashes, reduced within a task to the smallest
+id's; then no task meets more of a string than the others have flushed.
+
 A larger corpus fills the filter, which costs shuffling and never changes a result.
 """
 
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrymass.llm import kernels
-from ferrymass.llm.store import PAGE_BITS, keep_members, persist
+from ferrymass.llm.store import PAGE_BITS, keep_members, persist, small_batches, tidy
 
 WIDTH = 50
 GRAM = 20
@@ -34,16 +39,23 @@ SPAN = WIDTH - GRAM + 1
 CONTEXT = WIDTH + SPAN - 1
 FILTER_BITS = 1 << 27
 PER_SLOT = 50_000
-FLUSH = 1_000_000
+FLUSH = 400_000
 FLUSH_CONTEXTS = 40_000
+#: Contexts that are cut out of texts, and that a slot compares, at a time.
+CHUNK = 8_000
+#: A sample of over this part of all, and of PER_SLOT, is heavy, so there are fewer heavy ones than this.
+HEAVY_SAMPLES = 100_000
 #: Bytes of one text that are hashed at a time; the next piece overlaps it by WIDTH - 1.
-PIECE = 4 << 20
+PIECE = 1 << 19
+#: Bytes that a task reads of what is dealt by slot.
+PER_TASK = 16 << 20
 #: An id that no document has precedence over: that of null ids.
 LAST = (1 << 63) - 1
 
 _U = np.uint64
 _LOW = _U((1 << 24) - 1)
 _ENTRY = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("mark", "<i8"), ("at", "<i8"), ("n", "<i2"), ("bytes", f"V{CONTEXT}")])
+_STRING = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("mark", "<i8"), ("at", "<i8")])
 _COVER = np.dtype([("doc", "<i8"), ("mark", "<i8"), ("start", "<i8"), ("end", "<i8")])
 
 
@@ -152,57 +164,89 @@ def _by_slot(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, bytes]]:
         yield slot, b"".join(parts)
 
 
-def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for slot, data in _by_slot(batches):
-        key, times = np.unique(np.frombuffer(data, "<u4"), return_counts=True)
-        yield pd.DataFrame({"at": _bit_of(slot, key[times > 1])})
+def _name(h: np.ndarray, slots: int) -> np.ndarray:
+    """What a sample is told by: its slot and its hash's upper half."""
+    return (_slot_of(h, slots) << 32) + (h >> _U(32)).astype(np.int64)
 
 
-def _contexts(slots: int, bits):
-    """Sampled positions that hit the filter, with their surroundings, and strings that a smaller id in the same task covers."""
+def _repeated(bar: int):
+    """The filter's bit of each sample of two texts or more, and its name where it is heavy, else -1."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        page = np.frombuffer(bits.value, np.uint8)
-        held, kinds, size = [], [], 0
+        for slot, data in _by_slot(batches):
+            key, times = np.unique(np.frombuffer(data, "<u4"), return_counts=True)
+            key, times = key[times > 1], times[times > 1]
+            yield pd.DataFrame({"at": _bit_of(slot, key), "heavy": np.where(times > bar, (slot << 32) + key.astype(np.int64), -1)})
 
-        def flush() -> Iterator[pd.DataFrame]:
-            entry, kind = np.concatenate(held), np.concatenate(kinds)
-            order = np.lexsort((entry["doc"], kind))
-            entry, kind = entry[order], kind[order]
-            first = np.concatenate([[True], kind[1:] != kind[:-1]])
-            least = entry["doc"][np.flatnonzero(first)][np.cumsum(first) - 1]
-            mine = entry["doc"] == least  # rows that share the smallest id are all sent on
-            yield _deal(_slot_of(entry["hash"][mine], slots), entry[mine])
-            gone = entry[~mine]
-            if len(gone):
-                cover = np.empty(len(gone), _COVER)
-                cover["doc"], cover["mark"], cover["start"] = gone["doc"], gone["mark"], gone["at"]
-                cover["end"] = gone["at"] + gone["n"] - 1 + WIDTH
-                cover = _merge(cover)
-                yield _deal(-1 - _slot_of(cover["mark"].astype(_U), slots), cover)
+    return run
 
+
+def _least_of(entry: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries in order of kind and id, and whether each has its kind's smallest id."""
+    order = np.lexsort((entry["doc"], kind))
+    entry, kind = entry[order], kind[order]
+    first = np.concatenate([[True], kind[1:] != kind[:-1]])
+    return entry, entry["doc"] == entry["doc"][np.flatnonzero(first)][np.cumsum(first) - 1]
+
+
+def _contexts(slots: int, bits, heavy: np.ndarray):
+    """Sampled positions that hit the filter, with their surroundings, and strings that a smaller id in the same task covers. Heavy samples' strings go in slots above the others."""
+
+    def covers(gone: np.ndarray, length) -> Iterator[pd.DataFrame]:
+        if len(gone):
+            cover = np.empty(len(gone), _COVER)
+            cover["doc"], cover["mark"], cover["start"] = gone["doc"], gone["mark"], gone["at"]
+            cover["end"] = gone["at"] + length
+            cover = _merge(cover)
+            yield _deal(-1 - _slot_of(cover["mark"].astype(_U), slots), cover)
+
+    def flush(held: list[np.ndarray], kinds: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        entry, mine = _least_of(np.concatenate(held), np.concatenate(kinds))
+        # Rows that share the smallest id are all sent on.
+        yield _deal(_slot_of(entry["hash"][mine], slots), entry[mine])
+        yield from covers(entry[~mine], entry["n"][~mine] - 1 + WIDTH)
+
+    def strings(r: Run, some: np.ndarray, doc: np.ndarray, mark: np.ndarray) -> Iterator[pd.DataFrame]:
+        for a in range(0, len(some), CHUNK):
+            own = some[a : a + CHUNK]
+            n = r.n[own]
+            start = np.repeat(r.first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            text = np.repeat(r.text[own], n)
+            entry = np.empty(len(start), _STRING)
+            entry["hash"], entry["doc"], entry["mark"], entry["at"] = r.hashes(start, WIDTH), doc[text], mark[text], start - r.base[text] + r.shift[text]
+            entry, mine = _least_of(entry, entry["hash"])
+            yield _deal(slots + _slot_of(entry["hash"][mine], slots), entry[mine])
+            yield from covers(entry[~mine], WIDTH)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page = np.frombuffer(bits.value, np.uint8)
+        held, kinds, size = [], [], 0
         for b in batches:
             for r, doc, mark in _runs(b):
                 at = _bit_of(_slot_of(r.hash, slots), r.hash >> _U(32))
                 hit = np.flatnonzero((page[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-                for some in np.array_split(hit, max(1, -(-len(hit) // FLUSH_CONTEXTS))):
-                    if not len(some):
-                        continue
+                if len(heavy) and len(hit):
+                    name = _name(r.hash[hit], slots)
+                    apart = heavy[np.minimum(np.searchsorted(heavy, name), len(heavy) - 1)] == name
+                    yield from strings(r, hit[apart], doc, mark)
+                    hit = hit[~apart]
+                for a in range(0, len(hit), CHUNK):
+                    some = hit[a : a + CHUNK]
                     start, n, text = r.first[some], r.n[some], r.text[some]
                     entry = np.zeros(len(some), _ENTRY)
                     entry["hash"], entry["doc"], entry["mark"], entry["n"] = r.hash[some], doc[text], mark[text], n
                     entry["at"] = start - r.base[text] + r.shift[text]
-                    spread = start[:, None] + np.arange(CONTEXT)
+                    spread = np.minimum(start.astype(np.int32)[:, None] + np.arange(CONTEXT, dtype=np.int32), np.int32(len(r.raw) - 1))
                     inside = np.arange(CONTEXT) < (n + WIDTH - 1)[:, None]
-                    entry["bytes"] = np.ascontiguousarray(np.where(inside, r.raw[np.minimum(spread, len(r.raw) - 1)], 0).astype(np.uint8)).view(f"V{CONTEXT}").ravel()
+                    entry["bytes"] = np.ascontiguousarray(r.raw[spread] * inside).view(f"V{CONTEXT}").ravel()
                     held.append(entry)
                     kinds.append(r.hashes(start, n + WIDTH - 1) + n.astype(_U))
                     size += len(some)
                     if size >= FLUSH_CONTEXTS:
-                        yield from flush()
+                        yield from flush(held, kinds)
                         held, kinds, size = [], [], 0
         if size:
-            yield from flush()
+            yield from flush(held, kinds)
 
     return run
 
@@ -222,43 +266,59 @@ def _merge(cover: np.ndarray) -> np.ndarray:
     return out
 
 
-def _covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    up = kernels._power(kernels._PRIME, "up", CONTEXT)
-    down = kernels._power(kernels._INVERSE, "down", CONTEXT)[:SPAN]
-    for slot, data in _by_slot(batches):
-        if slot < 0:
-            yield _spans(_merge(np.frombuffer(data, _COVER)))
-            continue
-        entry = np.frombuffer(data, _ENTRY)
-        entry = entry[np.argsort(entry["hash"], kind="stable")]
-        edge = np.flatnonzero(np.concatenate([[True], entry["hash"][1:] != entry["hash"][:-1]]))
-        several = np.repeat(np.minimum.reduceat(entry["doc"], edge) != np.maximum.reduceat(entry["doc"], edge), np.diff(np.append(edge, len(entry))))
-        entry = entry[several]
-        covers = []
-        # Whole groups of equal samples, some thousand at a time.
-        edge = np.append(np.flatnonzero(np.concatenate([[True], entry["hash"][1:] != entry["hash"][:-1]])) if len(entry) else [], len(entry)).astype(int)
-        at = 0
-        while at < len(edge) - 1:
-            to = max(at + 1, int(np.searchsorted(edge, edge[at] + 20_000)) - 1)
-            part = entry[edge[at] : edge[to]]
-            at = to
-            raw = np.frombuffer(part["bytes"].tobytes(), np.uint8).reshape(len(part), CONTEXT)
-            total = np.zeros((len(part), CONTEXT + 1), _U)
-            np.cumsum(kernels._BYTE[raw] * up, axis=1, out=total[:, 1:])
-            string = kernels.mix((total[:, WIDTH : WIDTH + SPAN] - total[:, :SPAN]) * down)
-            row, inner = np.nonzero(np.arange(SPAN) < part["n"][:, None])
-            name, doc = string[row, inner], part["doc"][row]
-            order = np.lexsort((doc, name))
-            first = np.concatenate([[True], name[order][1:] != name[order][:-1]])
-            least = doc[order][np.flatnonzero(first)][np.cumsum(first) - 1]
-            hit = order[doc[order] > least]
-            cover = np.empty(len(hit), _COVER)
-            cover["doc"], cover["mark"] = doc[hit], part["mark"][row[hit]]
-            cover["start"] = part["at"][row[hit]] + inner[hit]
-            cover["end"] = cover["start"] + WIDTH
-            covers.append(_merge(cover))
-        if covers:
-            yield _spans(_merge(np.concatenate(covers)))
+def _met(name: np.ndarray, doc: np.ndarray, mark: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Covers of the strings, each told by its name, that one of a smaller id equals."""
+    order = np.lexsort((doc, name))
+    first = np.concatenate([[True], name[order][1:] != name[order][:-1]])
+    least = doc[order][np.flatnonzero(first)][np.cumsum(first) - 1]
+    hit = order[doc[order] > least]
+    cover = np.empty(len(hit), _COVER)
+    cover["doc"], cover["mark"], cover["start"], cover["end"] = doc[hit], mark[hit], start[hit], start[hit] + WIDTH
+    return _merge(cover)
+
+
+def _covered(slots: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        up = kernels._power(kernels._PRIME, "up", CONTEXT)
+        down = kernels._power(kernels._INVERSE, "down", CONTEXT)[:SPAN]
+        for slot, data in _by_slot(batches):
+            if slot < 0:
+                yield _spans(_merge(np.frombuffer(data, _COVER)))
+                continue
+            if slot >= slots:
+                own = np.frombuffer(data, _STRING)
+                yield _spans(_met(own["hash"], own["doc"], own["mark"], own["at"]))
+                continue
+            entry = np.frombuffer(data, _ENTRY)
+            entry = entry[np.argsort(entry["hash"], kind="stable")]
+            edge = np.flatnonzero(np.concatenate([[True], entry["hash"][1:] != entry["hash"][:-1]]))
+            several = np.repeat(np.minimum.reduceat(entry["doc"], edge) != np.maximum.reduceat(entry["doc"], edge), np.diff(np.append(edge, len(entry))))
+            entry = entry[several]
+            covers = []
+            # Whole groups of equal samples, CHUNK at a time.
+            edge = np.append(np.flatnonzero(np.concatenate([[True], entry["hash"][1:] != entry["hash"][:-1]])) if len(entry) else [], len(entry)).astype(int)
+            at = 0
+            while at < len(edge) - 1:
+                to = max(at + 1, int(np.searchsorted(edge, edge[at] + CHUNK)) - 1)
+                group = entry[edge[at] : edge[to]]
+                at = to
+                names, rows, inners = [], [], []
+                for a in range(0, len(group), CHUNK):
+                    part = group[a : a + CHUNK]
+                    raw = np.frombuffer(part["bytes"].tobytes(), np.uint8).reshape(len(part), CONTEXT)
+                    total = np.zeros((len(part), CONTEXT + 1), _U)
+                    np.cumsum(kernels._BYTE[raw] * up, axis=1, out=total[:, 1:])
+                    string = kernels.mix((total[:, WIDTH : WIDTH + SPAN] - total[:, :SPAN]) * down)
+                    row, inner = np.nonzero(np.arange(SPAN) < part["n"][:, None])
+                    names.append(string[row, inner])
+                    rows.append(row + a)
+                    inners.append(inner)
+                row = np.concatenate(rows)
+                covers.append(_met(np.concatenate(names), group["doc"][row], group["mark"][row], group["at"][row] + np.concatenate(inners)))
+            if covers:
+                yield _spans(_merge(np.concatenate(covers)))
+
+    return run
 
 
 def _spans(cover: np.ndarray) -> pd.DataFrame:
@@ -283,12 +343,14 @@ def _cut(text: str, starts, ends) -> tuple[bytes, list[tuple[int, int]], int]:
 
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = []
-        for doc_id, text, spans in zip(b["doc_id"], b["text"], b["spans"], strict=True):
-            spans = [] if spans is None else spans
-            kept, runs, n = _cut(text, [int(s["start"]) for s in spans], [int(s["end"]) for s in spans])
-            rows.append((doc_id, n, n - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
+        for at in range(0, len(b), 500):
+            rows = []
+            part = b.iloc[at : at + 500]
+            for doc_id, no_id, text, spans in zip(part["doc_id"].tolist(), part["no_id"].tolist(), part["text"], part["spans"], strict=True):
+                spans = [] if spans is None else spans
+                kept, runs, n = _cut(text, [int(s["start"]) for s in spans], [int(s["end"]) for s in spans])
+                rows.append((doc_id, no_id, n, n - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
+            yield pd.DataFrame(rows, columns=["doc_id", "no_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def _bits(positions: DataFrame) -> bytes:
@@ -309,22 +371,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows; other columns play no part. Equal strings are told by 64-bit hashes.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    small_batches(spark)
+    text, own_id = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
+    # A null beside large ids would turn an Arrow batch's ids into rounded floats.
+    texts = docs.select(F.coalesce(own_id, F.lit(LAST)).alias("doc"), own_id.isNull().alias("no_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = int(min(max(16, size // 16 // PER_SLOT), 1 << 30))
     source = texts.select("doc", "mark", "text")
-    packed = source.mapInPandas(_sample(slots), "slot long, entries binary")
-    repeated = packed.repartition("slot").sortWithinPartitions("slot").mapInPandas(_repeated, "at long")
+    packed = source.mapInPandas(tidy(_sample(slots)), "slot long, entries binary")
+    counted = packed.repartition(-(-(size // 4 + 1) // PER_TASK), "slot").sortWithinPartitions("slot")
+    repeated = persist(counted.mapInPandas(tidy(_repeated(max(PER_SLOT, size // 16 // HEAVY_SAMPLES))), "at long, heavy long"), "repeat-bits", gather=True)
     bits = spark.sparkContext.broadcast(_bits(repeated))
-    dealt = source.mapInPandas(_contexts(slots, bits), "slot long, entries binary").repartition("slot").sortWithinPartitions("slot")
-    covers = persist(dealt.mapInPandas(_covered, "doc long, mark long, start long, end long"), "repeat-covers")
+    heavy = np.sort(np.array([r["heavy"] for r in repeated.filter("heavy >= 0").select("heavy").collect()], np.int64))
+    dealt = source.mapInPandas(tidy(_contexts(slots, bits, heavy)), "slot long, entries binary").repartition(-(-(size * 3 // 2 + 1) // PER_TASK), "slot").sortWithinPartitions("slot")
+    covers = persist(dealt.mapInPandas(tidy(_covered(slots)), "doc long, mark long, start long, end long"), "repeat-covers", gather=True)
     spans = persist(covers.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "end")).alias("spans")).withColumn("key", F.xxhash64("doc", "mark")), "repeat-spans")
     # Only texts that may lose something meet their spans; the filter passes the others by.
     keyed = texts.withColumn("key", F.xxhash64("doc", "mark"))
-    touched = keep_members(keyed, spans.select("key"), "key").select("doc_id", "doc", "mark", "text").join(spans.drop("key"), ["doc", "mark"], "left").select("doc_id", "text", "spans")
-    untouched = keep_members(keyed, spans.select("key"), "key", inside=False).select("doc_id", "text", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-    return touched.unionByName(untouched).mapInPandas(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("doc_id", id_col)
+    keys = spans.select("key")
+    touched = keep_members(keyed, keys, "key").select("doc", "no_id", "mark", "text").join(spans.drop("key"), ["doc", "mark"], "left").select("doc", "no_id", "text", "spans")
+    untouched = keep_members(keyed, keys, "key", inside=False).select("doc", "no_id", "text", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
+    done = touched.unionByName(untouched).withColumnRenamed("doc", "doc_id").mapInPandas(tidy(_finish), "doc_id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return done.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id").withColumnRenamed("doc_id", id_col)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
