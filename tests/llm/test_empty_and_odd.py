@@ -128,7 +128,7 @@ def test_chat(spark):
         (5, 1, "assistant", "no", 1),
     ]
     turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, k int")
-    out = {r["conv_id"]: (r["n_turns"], r["n_logged"], r["rendered"]) for r in chat.format_chats(turns).collect()}
-    assert out[1] == (2, 2, "<|user|>\nhi\n<|end|>\n<|assistant|>\nyes\n<|end|>\n")
+    out = {r["conv_id"]: (r["n_turns"], r["n_logged"], r["n_absorbed"], r["rendered"]) for r in chat.format_chats(turns).collect()}
+    assert out[1] == (2, 2, 1, "<|user|>\nhi\n<|end|>\n<|assistant|>\nyes\n<|end|>\n")
     assert set(out) == {1, 4, 5}
     assert chat.format_chats(turns.limit(0)).count() == 0

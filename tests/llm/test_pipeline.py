@@ -33,3 +33,13 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_run_leaves_its_result_alone(spark):
+    """The tables between the stages are gone, and what run returns can still be read."""
+    from ferrymass import checkpoints
+
+    other, before = checkpoints.persist(spark.range(3), "other"), checkpoints.written()
+    out = corpus_pipeline.run(spark, SF)
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+    assert checkpoints.written() == before + 1 and other.count() == 3
