@@ -51,46 +51,69 @@ def _with_invalid(solved: DataFrame, cost: DataFrame, state: DataFrame) -> DataF
     return solved.unionByName(lost.select(*solved.columns))
 
 
-def _quadratic(cost: DataFrame, a: DataFrame, b: DataFrame, config: SolverConfig) -> DataFrame:
+def _dense(cost: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Problems of at most FOLD_CELLS cells whose cost has every pair of their cells and no other."""
+    count = lambda t, name: t.groupBy("problem").agg(F.count("*").alias(name))
+    met = cost.join(a.select("problem", "i"), ["problem", "i"], "left_semi").join(b.select("problem", "j"), ["problem", "j"], "left_semi")
+    sizes = count(cost, "cells").join(count(met, "met"), "problem").join(count(a, "n"), "problem").join(count(b, "m"), "problem")
+    return sizes.filter((F.col("cells") <= FOLD_CELLS) & (F.col("cells") == F.col("met")) & (F.col("cells") == F.col("n") * F.col("m"))).select("problem")
+
+
+def _two(cost: DataFrame, a: DataFrame, b: DataFrame, config: SolverConfig, regularizer: str) -> DataFrame:
+    """Small dense problems whole, one a row; the others by joins."""
     state = persist(problem_status(cost, [a, b], config.epsilon, config.tolerance), "problem-status")
     fit = state.filter("valid").select("problem")
     whole = cost
     cost, a, b = (t.join(fit, "problem", "left_semi") for t in (cost, a, b))
-    sizes = persist(cost.groupBy("problem").agg(F.count("*").alias("cells")), "plan-cells")
-    large = sizes.filter(F.col("cells") > FOLD_CELLS)
-    none = large.isEmpty()
-    small = [cost, a, b] if none else [t.join(large, "problem", "left_anti") for t in (cost, a, b)]
-    solved = persist(fold.solve(fold.pack(*small), config.epsilon, config.max_iterations, "quadratic", tolerance=config.tolerance), "plan-solved")
-    plan = fold.plan(solved, config.epsilon, "quadratic").join(solved.select("problem", "iterations"), "problem")
-    if not none:
-        rest, done = relational.quadratic(*[t.join(large, "problem", "left_semi") for t in (cost, a, b)], config.epsilon, config.max_iterations, config.tolerance)
-        plan = plan.unionByName(rest.withColumn("iterations", F.lit(done)))
+    small = persist(_dense(cost, a, b), "small-problems")
+    rest = [t.join(small, "problem", "left_anti") for t in (cost, a, b)]
+    packed = fold.pack(*[t.join(small, "problem", "left_semi") for t in (cost, a, b)])
+    solved = persist(fold.solve(packed, config.epsilon, config.max_iterations, regularizer, tolerance=config.tolerance), "plan-solved")
+    plan = fold.plan(solved, config.epsilon, regularizer)
+    if regularizer == "shannon":  # cells of no mass have no part in a plan
+        for t, axis in ((a, "i"), (b, "j")):
+            plan = plan.join(t.filter("mass > 0").select("problem", axis), ["problem", axis], "left_semi")
+    plan = plan.join(solved.select("problem", "iterations"), "problem")
+    if not rest[0].isEmpty():
+        plan = plan.unionByName(_by_joins(*rest, config, regularizer))
     return _with_invalid(_judged(plan, ["i", "j"], [a, b], config.tolerance), whole, state)
 
 
+def _by_joins(cost: DataFrame, a: DataFrame, b: DataFrame, config: SolverConfig, regularizer: str) -> DataFrame:
+    if regularizer == "quadratic":
+        plan, done = relational.quadratic(cost, a, b, config.epsilon, config.max_iterations, config.tolerance)
+        return plan.withColumn("iterations", F.lit(done))
+    named = cost.withColumnsRenamed({"i": "i0", "j": "i1"})
+    values, ended = relational.sinkhorn(named, [a.withColumnRenamed("i", "i0"), b.withColumnRenamed("j", "i1")], config.epsilon, config.max_iterations, config.tolerance)
+    plan = relational.plan(named, values, config.epsilon).join(ended.select("problem", "iterations"), "problem")
+    return plan.withColumnsRenamed({"i0": "i", "i1": "j"})
+
+
+#: What the numbers of grouped's problems stand for.
+STATUS = ["converged", "max_iterations", "invalid", "numerical_error", "inner_solve_failed", "line_search_failed"]
+
+
 def solve(cost: DataFrame, marginals: list[DataFrame], config: SolverConfig, problem: str = "classical", regularizer: str = "shannon") -> DataFrame:
     """The coupling table, with error, iterations and status of its problem: converged, max_iterations, numerical_error or invalid.
 
     Classical costs are (problem, i, j, c) or, for more marginals, (problem, i0,
-    i1, ..., c); quantum ones are packed rows. Problems solved by joins stop
-    together, so their iterations are those of the slowest. An invalid problem,
-    one with a cost or mass that is not finite, a negative mass or masses that
-    differ, has its cost's rows with no mass.
+    i1, ..., c); quantum ones are packed rows, whose status may also be
+    line_search_failed. Small problems with a cost for every pair are solved each
+    to its own end; those solved by joins stop together, so their iterations are
+    those of the slowest. An invalid problem, one with a cost or mass that is not
+    finite, a negative mass or masses that differ, has its cost's rows with no
+    mass.
     """
     kind = (problem, regularizer)
     if kind in (("quantum", "quadratic"), ("quantum", "von_neumann")):
-        return grouped.solve(cost, regularizer, config.epsilon, config.tolerance, config.max_iterations)
-    if kind == ("classical", "quadratic") and len(marginals) == 2:
-        return _quadratic(cost, *marginals, config)
+        found = grouped.solve(cost, regularizer, config.epsilon, config.tolerance, config.max_iterations)
+        return found.withColumn("status", F.element_at(F.array(*map(F.lit, STATUS)), F.col("status") + 1))
+    if problem == "classical" and regularizer in ("shannon", "quadratic") and len(marginals) == 2 and "i" in cost.columns:
+        return _two(cost, *marginals, config, regularizer)
     if kind != ("classical", "shannon"):
         raise ValueError(f"unsupported combination: {kind} with {len(marginals)} marginals")
-    named = len(marginals) == 2 and "i" in cost.columns
-    if named:
-        cost = cost.withColumnsRenamed({"i": "i0", "j": "i1"})
-        marginals = [marginals[0].withColumnRenamed("i", "i0"), marginals[1].withColumnRenamed("j", "i1")]
     values, ended = relational.sinkhorn(cost, marginals, config.epsilon, config.max_iterations, config.tolerance)
     ended = persist(ended, "plan-ended")
     plan = relational.plan(cost, values, config.epsilon).join(ended.filter("status <> 'invalid'").select("problem", "iterations"), "problem")
     judged = _judged(plan, [f"i{k}" for k in range(len(marginals))], [m.join(ended.filter("status <> 'invalid'"), "problem", "left_semi") for m in marginals], config.tolerance)
-    out = _with_invalid(judged, cost, ended.select("problem", (F.col("status") != "invalid").alias("valid")))
-    return out.withColumnsRenamed({"i0": "i", "i1": "j"}) if named else out
+    return _with_invalid(judged, cost, ended.select("problem", (F.col("status") != "invalid").alias("valid")))

@@ -38,17 +38,29 @@ def written() -> int:
     return len(_written)
 
 
+def remove(*tables: DataFrame) -> None:
+    """Delete tables that persist has written in this process; others stay, as do those that live in the driver."""
+    for df in tables:
+        names = {"/" + f.removeprefix("file:").lstrip("/").rsplit("/", 1)[0] for f in df.inputFiles()} if _written else set()
+        for p in [p for p in _written if "/" + p.removeprefix("file:").lstrip("/") in names]:
+            _delete(df.sparkSession, p)
+            _written.remove(p)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sweep(spark: SparkSession, keep: DataFrame | None = None, since: int = 0) -> int:
     """Delete the tables that persist has written in this process since a mark, but for those that keep reads; how many went.
 
     Results that are still to be read depend on these tables: write them first.
     """
     held = set() if keep is None else {f.rsplit("/", 1)[0].removeprefix("file:").lstrip("/") for f in keep.inputFiles()}
-    jvm = spark.sparkContext._jvm
     gone = [p for p in _written[since:] if p.removeprefix("file:").lstrip("/") not in held]
     for p in gone:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, p)
     _written[since:] = [p for p in _written[since:] if p not in gone]
     return len(gone)
 
@@ -56,12 +68,17 @@ def sweep(spark: SparkSession, keep: DataFrame | None = None, since: int = 0) ->
 MANIFEST = "generation long, identity string, columns string, rows long"
 
 
-def save_state(state: DataFrame, path: str, identity: str) -> int:
+def has_state(spark: SparkSession, path: str) -> bool:
+    """Whether a whole generation has been written under path."""
+    return bool(_manifest(spark, path))
+
+
+def save_state(state: DataFrame, path: str, identity: str, keep: int | None = None) -> int:
     """Write a solver's state as the next generation under path and return its number.
 
     Its line in the manifest is written last, so a generation that a lost driver
     left half written is never read. identity says what problem and settings the
-    state belongs to.
+    state belongs to. With keep, so many of the last generations stay.
     """
     spark = state.sparkSession
     generation = max((r["generation"] for r in _manifest(spark, path)), default=-1) + 1
@@ -69,6 +86,8 @@ def save_state(state: DataFrame, path: str, identity: str) -> int:
     state.write.mode("overwrite").parquet(target)
     line = [(generation, identity, state.schema.simpleString(), spark.read.parquet(target).count())]
     spark.createDataFrame(line, MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    if keep is not None and generation >= keep:
+        _delete(spark, f"{path}/generation-{generation - keep}")
     return generation
 
 

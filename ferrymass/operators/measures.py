@@ -5,13 +5,16 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def normalise(measure: DataFrame, keys: list[str]) -> DataFrame:
-    """Masses divided by their sum for each key."""
-    return measure.withColumn("mass", F.col("mass") / F.sum("mass").over(Window.partitionBy(*keys)))
+    """Masses divided by their sum for each key. Sums are partial before they shuffle, and no task meets a measure as a whole."""
+    total = measure.groupBy(*keys).agg(F.sum("mass").alias("_total"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    both = measure.join(total.withColumnsRenamed({k: f"_{k}" for k in keys}), same, "left")
+    return both.select(*[(F.col("mass") / F.col("_total")).alias(c) if c == "mass" else F.col(c) for c in measure.columns])
 
 
 def finite(x: Column) -> Column:

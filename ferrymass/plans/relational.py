@@ -1,10 +1,14 @@
-"""Any number of marginals over a long cost table: joins and grouped sums, one aggregation for each half sweep.
-
-A half sweep takes, for each cell of its axis, the log of a sum of exponentials
-shifted by their maximum, so no term underflows that matters, at any epsilon. Both
-the maxima and the sums are partial before they shuffle; potentials that are small
-by their count go to every task, so the cost itself doesn't move. Every half sweep
-is written, and the next one reads that table only, so lineage never grows.
+"""Any number of marginals over a long cost table that is laid out once and never moves.
+
+The cost is written once for each axis, dealt by that axis's cells, so that a task
+that sums over an axis emits one row for each cell it meets. In a half sweep all
+potentials go to every task by broadcast, which their count allows, the current
+plan is summed by cell in one pass, and one row a cell and task shuffles. A
+potential changes by eps times the log of its mass over that sum. Near a solution
+the sums are near the masses, so nothing overflows; a half sweep where a sum comes
+near the ends of what a double holds, as a first one at a small epsilon may, is
+taken again with the maximum out first. Potentials of few rows live in the driver
+between half sweeps; larger ones are written, and what they replace is deleted.
 """
 
 from __future__ import annotations
@@ -14,12 +18,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrymass.checkpoints import persist
+from ferrymass.checkpoints import has_state, load_state, persist, remove, save_state
 from ferrymass.functions.exprs import neg_inf
 from ferrymass.operators import measures as checks
 
-#: Rows of a potential that go to every task by broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Rows of a potential that go to every task by broadcast, some 100 MB; the cost is shuffled to larger ones.
+BROADCAST_ROWS = 1_000_000
+#: Rows of a potential that the driver holds between half sweeps.
+HELD_ROWS = 100_000
+#: Cells of a part of a layout, about; lines of more cells are split.
+CELLS = 1 << 18
+#: Sums between these are taken as they are.
+LEAST, MOST = 1e-200, 1e200
 
 
 def _near(values: DataFrame, rows: int) -> DataFrame:
@@ -35,32 +45,59 @@ def _joined(cost: DataFrame, values: list[DataFrame], sizes: list[int] | None =
     return out
 
 
-def log_sums(terms: DataFrame, keys: list[str], z: str) -> DataFrame:
+def log_sums(terms: DataFrame, keys: list[str], z: str, rows: int | None = None) -> DataFrame:
     """keys and lse: the log of the sum of exp(z) over the rows of each key, by two aggregations with partial sums.
 
     The first finds each key's maximum, the second sums what is left above it;
-    a key whose terms are all -inf has -inf, one with a NaN or null has NaN.
+    a key whose terms are all -inf has -inf, one with a NaN or null has NaN. rows
+    says how many keys there are at most, where that is known.
     """
     value = F.coalesce(F.col(z), F.lit(float("nan")))
     top = terms.groupBy(*keys).agg(F.max(value).alias("_m"))  # Spark orders NaN above all numbers
-    shifted = terms.join(top, keys).select(*keys, "_m", F.when(F.col("_m") == neg_inf(), F.lit(0.0)).otherwise(F.exp(value - F.col("_m"))).alias("_e"))
+    met = terms.join(top if rows is None else _near(top, rows), keys)
+    shifted = met.select(*keys, "_m", F.when(F.col("_m") == neg_inf(), F.lit(0.0)).otherwise(F.exp(value - F.col("_m"))).alias("_e"))
     summed = shifted.groupBy(*keys).agg(F.first("_m").alias("_m"), F.sum("_e").alias("_s"))
     return summed.select(*keys, F.when(F.col("_m") == neg_inf(), neg_inf()).otherwise(F.col("_m") + F.ln("_s")).alias("lse"))
 
 
-def _half(live: DataFrame, values: list[DataFrame], sizes: list[int], a: int, eps: float) -> DataFrame:
-    """The lse of (other potentials - cost) / eps for each cell of axis a; its own potential plays no part."""
-    others = [v for k, v in enumerate(values) if k != a]
-    kept = [k for k in range(len(values)) if k != a]
-    out = live
-    for k, v in zip(kept, others, strict=True):
-        out = out.join(_near(v.select("problem", f"i{k}", f"v{k}"), sizes[k]), ["problem", f"i{k}"])
-    total = reduce(lambda x, y: x + y, [F.col(f"v{k}") for k in kept])
-    z = out.select("problem", f"i{a}", ((total - F.col("c")) / eps).alias("z"))
-    return log_sums(z, ["problem", f"i{a}"], "z")
+def lay_out(live: DataFrame, axes: int) -> list[DataFrame]:
+    """The cost written once for each axis, dealt by its cells; a line of over CELLS cells by its other cells too."""
+    total, out = live.count(), []
+    for a in range(axes):
+        longest = 1 if total <= CELLS else live.groupBy("problem", f"i{a}").count().agg(F.max("count")).first()[0]
+        split = F.pmod(F.xxhash64(*[f"i{k}" for k in range(axes) if k != a]), F.lit(-(-longest // CELLS)))
+        out.append(persist(live.repartition(max(1, -(-total // CELLS)), "problem", f"i{a}", split), f"cost-by-{a}"))
+    return out
+
+
+def half_sums(layout: DataFrame, values: list[DataFrame], sizes: list[int], a: int, eps: float, shifted: bool = False) -> DataFrame:
+    """problem, ia, lse: the log of the current plan's sum over each cell of axis a; shifted takes the maximum out first."""
+    total = reduce(Column.__add__, [F.col(f"v{k}") for k in range(len(values))])
+    terms = _joined(layout, values, sizes).select("problem", f"i{a}", ((total - F.col("c")) / eps).alias("z"))
+    if shifted:
+        return log_sums(terms, ["problem", f"i{a}"], "z", sizes[a])
+    return terms.groupBy("problem", f"i{a}").agg(F.sum(F.exp("z")).alias("_s")).select("problem", f"i{a}", F.when(F.col("_s") > 0, F.ln("_s")).otherwise(neg_inf()).alias("lse"))
+
 
+def _kept(df: DataFrame, rows: int, name: str) -> DataFrame:
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema) if rows <= HELD_ROWS else persist(df, name)
 
-def sinkhorn(cost: DataFrame, measures: list[DataFrame], eps: float, sweeps: int, tolerance: float | None = None, start: list[DataFrame] | None = None) -> tuple[list[DataFrame], DataFrame]:
+
+def _half(layout: DataFrame, values: list[DataFrame], sizes: list[int], a: int, eps: float) -> DataFrame:
+    """problem, ia, mass, va, gap: the new potential of axis a, and how far the old one's sums were from the masses."""
+    none = F.lit(float("nan"))
+    for shifted in (False, True):
+        new = values[a].select("problem", f"i{a}", "mass", f"v{a}").join(half_sums(layout, values, sizes, a, eps, shifted), ["problem", f"i{a}"], "left")
+        far = F.coalesce(~F.exp("lse").between(LEAST, MOST), F.lit(False))  # a cell without a cost has none
+        moved = F.col(f"v{a}") + eps * (F.ln("mass") - F.coalesce("lse", none))
+        gap = F.coalesce(F.abs(F.exp("lse") - F.col("mass")), none)
+        out = _kept(new.select("problem", f"i{a}", "mass", moved.alias(f"v{a}"), gap.alias("gap"), far.alias("far")), sizes[a], f"potential-{a}")
+        if shifted or out.filter("far").isEmpty():
+            return out.drop("far")
+        remove(out)
+
+
+def sinkhorn(cost: DataFrame, measures: list[DataFrame], eps: float, sweeps: int, tolerance: float | None = None, start: list[DataFrame] | None = None, save: str | None = None, every: int = 10) -> tuple[list[DataFrame], DataFrame]:
     """Potentials (problem, ik, vk, mass) for each axis, and how each problem ended: problem, iterations, error, status.
 
     cost has problem, i0, i1, ..., c; measures[k] has problem, ik, mass. Cells
@@ -69,9 +106,11 @@ def sinkhorn(cost: DataFrame, measures: list[DataFrame], eps: float, sweeps: int
     With a tolerance the loop ends once the largest L1 residual of every problem
     is at most that; a residual that is no number ends its problem as a numerical
     error. start resumes from potentials: where a cell has mass, one that is not
-    finite counts as zero.
+    finite counts as zero. save is a folder where every so many sweeps write a
+    generation of potentials, and from whose last one the same problem goes on.
     """
     k = len(measures)
+    spark = cost.sparkSession
     state = persist(checks.problem_status(cost, measures, eps, tolerance), "problem-status")
     fit = state.filter("valid").select("problem")
     measures = [m.filter("mass > 0").join(fit, "problem", "left_semi") for a, m in enumerate(measures)]
@@ -79,28 +118,35 @@ def sinkhorn(cost: DataFrame, measures: list[DataFrame], eps: float, sweeps: int
     for a, m in enumerate(measures):
         live = live.join(m.select("problem", f"i{a}"), ["problem", f"i{a}"], "left_semi")
     live = persist(live, "live-cost")
-    measures = [persist(m, f"measure-{a}") for a, m in enumerate(measures)]
+    layouts = lay_out(live.select("problem", *[f"i{a}" for a in range(k)], "c"), k)
     sizes = [m.count() for m in measures]
-    if start:
-        finite = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(F.coalesce(c, F.lit(0.0)))
-        values = [m.join(s.select("problem", f"i{a}", f"v{a}"), ["problem", f"i{a}"], "left").withColumn(f"v{a}", finite(F.col(f"v{a}"))) for a, (m, s) in enumerate(zip(measures, start, strict=True))]
-    else:
-        values = [m.withColumn(f"v{a}", F.lit(0.0)) for a, m in enumerate(measures)]
-    done, errors = 0, None
+    done, identity = 0, ""
+    if save:
+        marks = live.agg(F.count("*"), F.expr("bit_xor(xxhash64(*))")).first()
+        identity = f"sinkhorn {k} {eps!r} {marks[0]} {marks[1]}"
+        if has_state(spark, save):
+            held = load_state(spark, save, identity)
+            done = held.agg(F.max("sweeps")).first()[0]
+            start = [held.filter(F.col("axis") == a).select("problem", F.col("cell").cast(measures[a].schema[f"i{a}"].dataType).alias(f"i{a}"), F.col("value").alias(f"v{a}")) for a in range(k)]
+    finite = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(F.coalesce(c, F.lit(0.0)))
+    values = []
+    for a, m in enumerate(measures):
+        begun = m.join(start[a].select("problem", f"i{a}", f"v{a}"), ["problem", f"i{a}"], "left").withColumn(f"v{a}", finite(F.col(f"v{a}"))) if start else m.withColumn(f"v{a}", F.lit(0.0))
+        values.append(_kept(begun.select("problem", f"i{a}", "mass", f"v{a}"), sizes[a], f"potential-{a}"))
+    errors = None
     while done < sweeps:
         for a in range(k):
-            sums = _half(live, values, sizes, a, eps)
-            new = values[a].join(sums, ["problem", f"i{a}"], "left")
-            # What the plan's marginal was with the old potential, against the mass wanted.
-            gap = F.abs(F.exp(F.col(f"v{a}") / eps + F.col("lse")) - F.col("mass"))
-            values[a] = persist(new.select("problem", f"i{a}", "mass", (eps * (F.ln("mass") - F.coalesce("lse", F.lit(float("nan"))))).alias(f"v{a}"), F.coalesce(gap, F.lit(float("nan"))).alias("gap")), f"potential-{a}")
+            old, values[a] = values[a], _half(layouts[a], values, sizes, a, eps)
+            remove(old)
         done += 1
         parts = [v.groupBy("problem").agg(F.sum("gap").alias("e")) for v in values]
         errors = reduce(DataFrame.unionByName, parts).groupBy("problem").agg(F.max("e").alias("error"))
-        if tolerance is not None:
-            errors = persist(errors, "sweep-errors")
-            if errors.filter((F.col("error") > tolerance) & ~F.isnan("error")).isEmpty():
-                break
+        if save and done % every == 0:
+            whole = [v.select("problem", F.lit(a).alias("axis"), F.col(f"i{a}").cast("string").alias("cell"), F.col(f"v{a}").alias("value"), F.lit(done).alias("sweeps")) for a, v in enumerate(values)]
+            save_state(reduce(DataFrame.unionByName, whole), save, identity, keep=2)
+        if tolerance is not None and errors.filter((F.col("error") > tolerance) & ~F.isnan("error")).isEmpty():
+            break
+    remove(live, *layouts)
     ended = state.join(errors, "problem", "left") if errors is not None else state.withColumn("error", F.lit(float("inf")))
     status = F.when(~F.col("valid"), "invalid").when(F.isnan("error"), "numerical_error")
     status = status.otherwise("max_iterations") if tolerance is None else status.when(F.col("error") <= tolerance, "converged").otherwise("max_iterations")

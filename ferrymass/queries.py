@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrymass.checkpoints import persist
@@ -299,7 +299,7 @@ cost AS (SELECT x.label || '-' || y.label AS problem, x.vec_id AS i, y.vec_id AS
 @_query(sweeps_sql(_PAIRS_BASE, "SELECT problem, 0 AS axis, i AS idx, round(v, 5) + 0.0 AS value FROM f UNION ALL SELECT problem, 1, j, round(v, 5) + 0.0 FROM g", eps=0.3, sweeps=5))
 def q_blocked_sinkhorn(spark, sf):
     """Every pair of labels as a problem of its own, evenly weighted."""
-    e = _cloud(spark, sf).withColumn("mass", 1.0 / F.count("*").over(Window.partitionBy("label")))
+    e = measures.normalise(_cloud(spark, sf).withColumn("mass", F.lit(1.0)), ["label"])
     labels = e.select("label").distinct()
     pairs = labels.withColumnRenamed("label", "lx").join(F.broadcast(labels.withColumnRenamed("label", "ly")), F.col("lx") < F.col("ly"))  # ten labels
     named = pairs.select("lx", "ly", F.concat_ws("-", "lx", "ly").alias("problem"))
@@ -316,14 +316,39 @@ cost AS (SELECT 'all' AS problem, x.vec_id AS i, y.vec_id AS j, {_DIST} AS c FRO
 
 @_query(sweeps_sql(_HALVES_BASE, "SELECT 0 AS axis, i AS idx, round(v, 5) + 0.0 AS value FROM f UNION ALL SELECT 1, j, round(v, 5) + 0.0 FROM g", eps=0.3, sweeps=3))
 def q_blocked_halves(spark, sf):
-    """The lower half of labels against the upper one as a single problem, by blocks of 100 points."""
+    """The lower half of labels against the upper one as a single problem, by blocks."""
     cloud = _cloud(spark, sf)
     x, y = cloud.filter("label < 5"), cloud.filter("label >= 5")
     n, m = max(x.count(), 1), max(y.count(), 1)
-    f, g, _, _ = blocked.solve(x.select("idx", "x", F.lit(1.0 / n).alias("mass")), y.select("idx", F.col("x").alias("y"), F.lit(1.0 / m).alias("mass")), 0.3, 3, block=100)
+    f, g, *_ = blocked.solve(x.select("idx", "x", F.lit(1.0 / n).alias("mass")), y.select("idx", F.col("x").alias("y"), F.lit(1.0 / m).alias("mass")), 0.3, 3)
     return f.select(F.lit(0).alias("axis"), "idx", _r("f", 5).alias("value")).unionByName(g.select(F.lit(1).alias("axis"), "idx", _r("g", 5).alias("value")))
 
 
+def _half_plan(spark, sf, values: list[str]) -> DataFrame:
+    """Sums over each vector of the lower half's row of the plan after three sweeps, with values of the upper half's vectors."""
+    cloud = _cloud(spark, sf).withColumn("first", F.element_at("x", 1))
+    x, y = cloud.filter("label < 5"), cloud.filter("label >= 5")
+    n, m = max(x.count(), 1), max(y.count(), 1)
+    a = x.select("idx", "x", F.lit(1.0 / n).alias("mass"))
+    b = y.select("idx", F.col("x").alias("y"), F.lit(1.0 / m).alias("mass"), "label", "first")
+    f, g, *_ = blocked.solve(a, b.drop("label", "first"), 0.3, 3)
+    return blocked.apply(a, b, f, g, 0.3, values)
+
+
+@_query(sweeps_sql(_HALVES_BASE, "SELECT round(sum(mass), 6) + 0.0 AS mass, round(sum(c * mass), 6) + 0.0 AS linear, round(sum(mass * (ln(mass) - 1)), 5) + 0.0 AS entropy, round(sum(c * mass + 0.3 * mass * (ln(mass) - 1)), 6) + 0.0 AS objective FROM plan", eps=0.3, sweeps=3))
+def q_cloud_objective(spark, sf):
+    """What the plan between the halves costs, without a row for a pair."""
+    found = blocked.objective(_half_plan(spark, sf, []), 0.3)
+    return found.select(_r("mass").alias("mass"), _r("linear").alias("linear"), _r("entropy", 5).alias("entropy"), _r("objective").alias("objective"))
+
+
+@_query(sweeps_sql(_HALVES_BASE, "SELECT i AS idx, round(1e4 * sum(mass * label), 4) + 0.0 AS label, round(1e4 * sum(mass * embedding[1]::DOUBLE), 4) + 0.0 AS first FROM plan JOIN embeddings ON vec_id = j GROUP BY i", eps=0.3, sweeps=3))
+def q_cloud_apply(spark, sf):
+    """The plan's products with two features of the upper half's vectors, for each vector of the lower half."""
+    found = _half_plan(spark, sf, ["label", "first"])
+    return found.select("idx", _r(1e4 * F.col("label"), 4).alias("label"), _r(1e4 * F.col("first"), 4).alias("first"))
+
+
 @_query(f"WITH {_SQL_BASE} SELECT problem, i, j, round(c, 6) + 0.0 AS c FROM cost WHERE i BETWEEN 4 AND 11 AND j BETWEEN 8 AND 15")
 def q_cost_tile(spark, sf):
     return plan.tile(_nations(spark, sf)[0], 4, 8, 8).withColumn("c", _r("c")).select("problem", "i", "j", "c")
@@ -336,8 +361,8 @@ def q_cost_transpose(spark, sf):
 
 @_query(f"WITH {_SQL_BASE} SELECT problem, i, round(ln(sum(exp(-c / {EPS}))), 6) + 0.0 AS lse FROM cost GROUP BY problem, i")
 def q_row_lse(spark, sf):
-    cost = _nations(spark, sf)[0]
-    return cost.groupBy("problem", "i").agg(_r(exprs.array_lse(F.collect_list(-F.col("c") / EPS))).alias("lse"))
+    cost = _nations(spark, sf)[0].withColumn("z", -F.col("c") / EPS)
+    return relational.log_sums(cost, ["problem", "i"], "z").select("problem", "i", _r("lse").alias("lse"))
 
 
 @_query(f"WITH {_SQL_BASE} SELECT problem, j, round(ln(sum(exp(-c / {EPS}))), 6) + 0.0 AS lse FROM cost GROUP BY problem, j")

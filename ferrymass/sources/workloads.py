@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrymass.operators import plan as plans
+from ferrymass.plans import blocked
 from ferrymass.sources.archive import array_digest
 
 CLOUD = "problem string, idx long, {0} array<double>, mass double"
@@ -66,9 +66,11 @@ def quantum_workload(spark: SparkSession, n: int, m: int, seed: int = 0) -> Work
 
 
 def cloud_objective(x: DataFrame, y: DataFrame, potentials: DataFrame, eps: float) -> DataFrame:
-    """problem, objective of small clouds solved by blocked.solve_each: linear cost and entropy of the plan, cell by cell."""
-    side = lambda t, k, c, axis: t.join(potentials.filter(F.col("axis") == axis).select("problem", "idx", F.col("value").alias(f"v{c}")), ["problem", "idx"]).select("problem", F.col("idx").alias(k), c, f"v{c}")
-    pairs = side(x, "i", "x", 0).join(side(y, "j", "y", 1), "problem")
-    c = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d)
-    cells = pairs.withColumn("c", c).select("problem", "i", "j", "c", F.exp((F.col("vx") + F.col("vy") - F.col("c")) / eps).alias("mass"))
-    return plans.objective(cells, eps)
+    """problem, objective of clouds solved by blocked.solve_each: linear cost and entropy of each one's plan, by blocks."""
+    out = None
+    for (name,) in x.select("problem").distinct().toLocalIterator():
+        own = lambda t: t.filter(F.col("problem") == name)  # noqa: B023, E731
+        side = lambda axis, c: own(potentials).filter(F.col("axis") == axis).select("idx", F.col("value").alias(c))  # noqa: B023, E731
+        found = blocked.objective(blocked.apply(own(x), own(y), side(0, "f"), side(1, "g"), eps), eps).select(F.lit(name).alias("problem"), "objective")
+        out = found if out is None else out.unionByName(found)
+    return out
