@@ -5,6 +5,8 @@ Everything is an expression over one row, so nothing shuffles and no Python runs
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +25,9 @@ SYMBOLS = "#*$%&|<>"
 PHRASE = 4
 #: A line with so many of " | " is a menu.
 BARS = 3
-SPACE = " \t\n\x0b\f\r"
+SPACE = r"\x20\x09-\x0D"
 END = r'[.!?…:;,"”»)\]][ \t\x0B\f\r]*$'
-BOILERPLATE = r"all rights reserved|licensed under|released under|privacy policy|terms of (use|service)|cookie|javascript|lorem ipsum|[{}]"
-
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BOILERPLATE = ["all rights reserved", "licensed under", "released under", "privacy policy", "terms of use", "terms of service", "cookie", "javascript", "lorem ipsum", "{", "}"]
 
 
 def _let(value: Column, body) -> Column:
@@ -36,12 +36,12 @@ def _let(value: Column, body) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
 
 
-def _visible(text: Column) -> Column:
-    """Code points outside white space."""
-    return F.length(F.translate(text, SPACE, ""))
+def _count(text: Column, chars: str) -> Column:
+    """Code points of a class of characters."""
+    return F.regexp_count(text, F.lit(f"[{chars}]"))
 
 
 def _repeats(sorted_pairs: Column, field: str) -> Column:
@@ -78,10 +78,11 @@ def repeated_words(words: Column) -> Column:
 
 def failing(line: Column) -> Column:
     """Whether a line with a word fails a rule."""
-    noisy = SYMBOL_SHARE * (F.length(line) - F.length(F.translate(line, SYMBOLS + "!", ""))) > _visible(line)
+    noisy = line.rlike(f"[{SYMBOLS}!]") & (SYMBOL_SHARE * _count(line, SYMBOLS + "!") > F.length(line) - _count(line, SPACE))
     menu = (F.length(line) - F.length(F.replace(line, F.lit(" | "), F.lit("")))) >= 3 * BARS
-    entry = (F.size(_words(line)) < PHRASE) & ~line.rlike(END)
-    return noisy | menu | entry | F.translate(line, _UPPER, _LOWER).rlike(BOILERPLATE)
+    entry = ~line.rlike(END) & (F.size(_words(line)) < PHRASE)
+    stock = _let(F.lower(line), lambda x: reduce(Column.__or__, [x.contains(b) for b in BOILERPLATE]))
+    return noisy | menu | entry | stock
 
 
 def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -94,12 +95,13 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
     these names are replaced; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = _let(_words(text), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("again")))
-    lines = F.filter(F.split(text, "\n"), lambda x: _visible(x) > 0)
+    words = _let(_words(text), lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), repeated_words(w).alias("again")))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     split = _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("same"), F.length(F.array_join(x, "")).alias("chars"), F.filter(x, lambda y: ~failing(y)).alias("good")))
-    out = docs.withColumns({"_words": words, "_lines": split, "word_chars": _visible(text).cast("long"), "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")})
+    out = docs.withColumns({"_words": words, "_lines": split, "n_symbols": _count(text, SYMBOLS).cast("long")})
     out = out.withColumns({
         "n_words": F.col("_words.n").cast("long"),
+        "word_chars": F.col("_words.chars").cast("long"),
         "n_repeat_words": F.col("_words.again").cast("long"),
         "n_dup_lines": F.col("_lines.same").cast("long"),
         "n_lines": F.col("_lines.n").cast("long"),
@@ -125,6 +127,7 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select(*COLUMNS)
 
 
+_STOCK = "|".join(f"[{b}]" if len(b) == 1 else b for b in BOILERPLATE)
 _PATTERN = "[^\\x20\\x09-\\x0D]+"
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -138,7 +141,7 @@ j AS (SELECT uid, line, length(line) AS chars,
     {SYMBOL_SHARE} * length(regexp_replace(line, '[^{SYMBOLS}!]', '', 'g')) > length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))
     OR length(line) - length(replace(line, ' | ', '')) >= {3 * BARS}
     OR (len(regexp_extract_all(line, '{_PATTERN}')) < {PHRASE} AND NOT regexp_matches(line, '{END}'))
-    OR regexp_matches(translate(line, '{_UPPER}', '{_LOWER}'), '{BOILERPLATE}') AS bad FROM l),
+    OR regexp_matches(lower(line), '{_STOCK}') AS bad FROM l),
 s AS (SELECT uid, count(*) AS n, count(*) - count(DISTINCT line) AS same, sum(chars) AS chars, count_if(bad) AS failed, coalesce(sum(chars) FILTER (bad), 0) AS lost FROM j GROUP BY uid),
 r AS (SELECT doc_id, coalesce(counts.n, 0) AS n_words, coalesce(counts.chars, 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^{SYMBOLS}]', '', 'g')) AS n_symbols, coalesce(same, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words,
     coalesce(s.n, 0) AS n_lines, coalesce(failed, 0)::BIGINT AS n_failed_lines, coalesce(lost, 0)::BIGINT AS lost_chars, coalesce(s.chars, 0) AS line_chars FROM d LEFT JOIN counts USING (uid) LEFT JOIN again USING (uid) LEFT JOIN s USING (uid)),
