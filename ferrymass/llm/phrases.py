@@ -35,7 +35,7 @@ HEAD = 1 << 18
 #: Numbers of other words are above this; bits of the filter that tells tasks which words those are, at most 32 MB.
 FAR, FAR_BITS = 1 << 62, 1 << 28
 #: Fragments that a task sums up at once.
-BUFFER = 1 << 20
+BUFFER = 1 << 18
 #: Parts in which a language's phrases are ranked before the best of all parts are.
 PARTS = 64
 
@@ -66,7 +66,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name = lang.as_py()
             for w in _tokens(text.as_py()):
                 held[name, w] = held.get((name, w), 0) + 1
-            if len(held) >= BUFFER // 4:
+            if len(held) >= BUFFER // 2:
                 yield from _without_marks(held, out)
     yield from _without_marks(held, out)
     give_back()
@@ -120,7 +120,7 @@ class _Numbers(dict):
     """The numbers of one language's words by their bytes: the head's as given, those of words in the filter by hash, 0 for others."""
 
     def __init__(self, lang: str, bits: np.ndarray | None, seed: int):
-        self.prefix, self.bits, self.free = f"{seed}-{lang}\t".encode("utf-8", "surrogatepass"), bits, BUFFER // 4
+        self.prefix, self.bits, self.free = f"{seed}-{lang}\t".encode("utf-8", "surrogatepass"), bits, BUFFER
 
     def __missing__(self, word: bytes) -> int:
         if self.bits is None or word == b"\xff":
@@ -161,9 +161,9 @@ def _mapper(words):
         known: dict[str, _Numbers] = {}
         for lang, word, number in head:
             known.setdefault(lang, _Numbers(lang, bits, seed))[word] = number
-        held, rows = [], 0
+        held, rows, parts = [], 0, []
         for b in batches:
-            parts: list[int] = []
+            parts = []
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 parts += map(known.setdefault(lang, _Numbers(lang, bits, seed)).__getitem__, _tokens(text.as_py()))
                 parts.append(0)
@@ -174,7 +174,7 @@ def _mapper(words):
                 held, rows = [], 0
         if held:
             yield from _summed(held).to_batches()
-        del known
+        del known, held, parts
         give_back()
 
     return run
