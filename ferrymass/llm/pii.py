@@ -47,6 +47,8 @@ _LOOSE = r"(?<![0-9])[\x20-]|[\x20-](?![0-9])"
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 #: Matches that are gathered before they are joined to the others: appending copies an array.
 RUN = 256
+#: Code points of a part of a text from which stretches are cut.
+CHUNK = 256
 
 
 def _places(text: Column, pattern: str, kind: int, wanted: Callable[[Column], Column] | None = None) -> Column:
@@ -63,14 +65,17 @@ def _places(text: Column, pattern: str, kind: int, wanted: Callable[[Column], Co
         out = F.array_append(acc["out"], span)
         return F.struct(last.alias("at"), (out if wanted is None else F.when(wanted(p["m"]), out).otherwise(acc["out"])).alias("out"))
 
-    def runs(every: Column) -> Column:
-        def run(acc: Column, k: Column) -> Column:
-            own = F.aggregate(F.slice(every, k * RUN + 1, F.lit(RUN)), F.struct(acc["at"].alias("at"), none.alias("out")), step)
-            return _bound(own, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], x["out"]).alias("out")))
+    return _bound(pairs, lambda every: _gathered(every, none, step))
 
-        return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(every) / RUN).cast("int")), F.struct(F.lit(0).alias("at"), none.alias("out")), run, lambda acc: acc["out"])
 
-    return _bound(pairs, runs)
+def _gathered(every: Column, none: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """What step appends to out, an array that starts as none, over the elements of every; at starts at 0. Appending copies, so it goes by runs."""
+
+    def run(acc: Column, k: Column) -> Column:
+        own = F.aggregate(F.slice(every, k * RUN + 1, F.lit(RUN)), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return _bound(own, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], x["out"]).alias("out")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(every) / RUN).cast("int")), F.struct(F.lit(0).alias("at"), none.alias("out")), run, lambda acc: acc["out"])
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -119,30 +124,48 @@ def entity_spans(text: Column) -> Column:
     return F.sort_array(F.concat(base_spans(text), secret))
 
 
+def _chunks(text: Column) -> Column:
+    """The text in parts of CHUNK code points, from which _cut takes stretches without counting from the start, and its length."""
+    return F.struct(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % CHUNK), 0).alias("parts"), F.length(text).alias("size"))
+
+
+def _cut(chunks: Column, low: Column, high: Column) -> Column:
+    first = F.floor(low / CHUNK).cast("int")
+    joined = F.array_join(F.slice(chunks["parts"], first + 1, F.ceil(high / CHUNK).cast("int") - first), "")
+    return F.when(high > low, F.substring(joined, low - first * CHUNK + 1, high - low)).otherwise(F.lit(""))
+
+
 def _windows(text: Column, spans: Column) -> Column:
     """Terms near each entity, with their places: array of (kind, term, start, end). Terms that the window's edge cuts don't count."""
-    size = F.length(text)
 
-    def side(s: Column, low: Column, high: Column) -> Column:
-        cut = F.substring(text, low + 1, high - low)
-        inner = F.filter(_places(cut, _TERM, KINDS.index("term")), lambda t: ((t["start"] > 0) | (low == 0) | (low == s["end"])) & ((low + t["end"] < high) | (high == size) | (high == s["start"])))
+    def side(chunks: Column, s: Column, low: Column, high: Column) -> Column:
+        inner = F.filter(_places(_cut(chunks, low, high), _TERM, KINDS.index("term")), lambda t: ((t["start"] > 0) | (low == 0) | (low == s["end"])) & ((low + t["end"] < high) | (high == chunks["size"]) | (high == s["start"])))
         return F.transform(inner, lambda t: F.struct(s["kind"].alias("kind"), F.lower(t["value"]).alias("term"), (low + t["start"]).alias("start"), (low + t["end"]).alias("end")))
 
-    both = lambda s: F.concat(side(s, F.greatest(F.lit(0), s["start"] - WINDOW), s["start"]), side(s, s["end"], F.least(size, s["end"] + WINDOW)))
-    return F.flatten(F.transform(spans, both))
+    both = lambda c, s: F.concat(side(c, s, F.greatest(F.lit(0), s["start"] - WINDOW), s["start"]), side(c, s, s["end"], F.least(c["size"], s["end"] + WINDOW)))
+    return _bound(_chunks(text), lambda c: F.flatten(F.transform(spans, lambda s: both(c, s))))
+
+
+def _replaced(text: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
+    """The text with disjoint spans, in order, replaced."""
+    own = F.struct(_chunks(text).alias("chunks"), spans.alias("spans"))
+
+    def joined(x: Column) -> Column:
+        last = lambda k: F.coalesce(F.get(x["spans"], k)["end"], F.lit(0))
+        pieces = F.transform(x["spans"], lambda s, k: F.concat(_cut(x["chunks"], last(k - 1), s["start"]), by(s)))
+        return F.concat(F.array_join(pieces, ""), _cut(x["chunks"], last(F.size(x["spans"]) - 1), x["chunks"]["size"]))
+
+    return _bound(own, joined)
 
 
 def _outside(text: Column, spans: Column) -> Column:
     """The text with a zero for each code point of an entity, so that places stay and no term reaches into one."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        first = F.greatest(acc["at"], s["start"])
-        done = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, first - acc["at"]), F.repeat(F.lit("0"), s["end"] - first)).alias("out"))
-        return F.when(s["end"] <= acc["at"], acc).otherwise(done)
+        rest = F.struct(F.greatest(acc["at"], s["start"]).alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"))
+        return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.array_append(acc["out"], rest).alias("out")))
 
-    masked = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, masked).otherwise(text)
+    return _replaced(text, _bound(spans, lambda every: _gathered(every, F.array().cast(_SPAN), step)), lambda s: F.repeat(F.lit("0"), s["end"] - s["start"]))
 
 
 def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
@@ -199,13 +222,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def sanitise(text: Column, spans: Column) -> Column:
     """The text with entities generalised to their kind and terms removed. Of overlapping spans the first counts."""
     names = F.array(*[F.lit(f"[{k.upper()}]" if k != "term" else "") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        done = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1)).alias("out"))
-        return F.when(s["start"] < acc["at"], acc).otherwise(done)
+        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.array_append(acc["out"], s).alias("out")))
 
-    return F.aggregate(F.sort_array(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return _replaced(text, _bound(F.sort_array(spans), lambda every: _gathered(every, F.array().cast(_SPAN), step)), lambda s: F.element_at(names, s["kind"] + 1))
 
 
 def _listed(spans: Column) -> Column:
