@@ -244,34 +244,56 @@ def q_measure_validate(spark, sf):
     return measures.check(a.select("problem", F.lit(0).alias("axis"), "mass").unionByName(a.select("problem", F.lit(1).alias("axis"), "mass")))
 
 
-def _cost_sql(body: str, n: int = 12) -> str:
-    return f"SELECT x.i::INT AS i0, y.i::INT AS i1, round({body}, 6) + 0.0 AS c FROM range({n}) x(i), range({n}) y(i)"
+def _balances(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Mean balances in thousands of each nation's customers and suppliers, as positions."""
+    place = lambda t, key, value, k: _read(spark, sf, t).groupBy(F.lit("all").alias("problem"), F.col(key).cast("int").alias(f"i{k}")).agg((F.avg(value) / 1e3).alias(f"x{k}"))
+    return place("customer", "c_nationkey", "c_acctbal", 0), place("supplier", "s_nationkey", "s_acctbal", 1)
 
 
-@_query(_cost_sql("((x.i - y.i) * (x.i - y.i))::DOUBLE"))
+def _cost_sql(body: str) -> str:
+    return f"""WITH x AS (SELECT c_nationkey AS i, avg(c_acctbal) / 1e3 AS x FROM customer GROUP BY 1), y AS (SELECT s_nationkey AS j, avg(s_acctbal) / 1e3 AS y FROM supplier GROUP BY 1)
+SELECT 'all' AS problem, i::INT AS i0, j::INT AS i1, round({body}, 6) + 0.0 AS c FROM x, y"""
+
+
+def _cost(spark, sf, kind: str) -> DataFrame:
+    return generate.cost_between([*_balances(spark, sf)], kind).withColumn("c", _r("c"))
+
+
+@_query(_cost_sql("(x - y) * (x - y)"))
 def q_cost_euclidean(spark, sf):
-    return generate.cost_tensor(spark, 12).withColumn("c", _r("c"))
+    """What customers' balances in each nation are from suppliers' in each."""
+    return _cost(spark, sf, "euclidean")
 
 
-@_query(_cost_sql("1.0 / (abs(x.i - y.i)::DOUBLE + 1.0)"))
+@_query(_cost_sql("1.0 / (abs(x - y) + 1.0)"))
 def q_cost_weak_coulomb(spark, sf):
-    return generate.cost_tensor(spark, 12, kind="weak-coulomb").withColumn("c", _r("c"))
+    return _cost(spark, sf, "weak-coulomb")
 
 
-@_query(_cost_sql("CASE WHEN x.i = y.i THEN 1e6 ELSE 1.0::DOUBLE / abs(x.i - y.i) END"))
+@_query("""WITH x AS (SELECT DISTINCT p_size AS i FROM part), y AS (SELECT DISTINCT l_quantity::INT AS j FROM lineitem)
+SELECT 'all' AS problem, i::INT AS i0, j AS i1, round(CASE WHEN i = j THEN 1e6 ELSE 1.0::DOUBLE / abs(i - j) END, 6) + 0.0 AS c FROM x, y""")
 def q_cost_strong_coulomb(spark, sf):
-    return generate.cost_tensor(spark, 12, kind="strong-coulomb").withColumn("c", _r("c"))
+    """Sizes of parts against quantities of lines: fifty each."""
+    place = lambda t, c, k: _read(spark, sf, t).select(F.lit("all").alias("problem"), F.col(c).cast("int").alias(f"i{k}"), F.col(c).cast("double").alias(f"x{k}")).distinct()
+    return generate.cost_between([place("part", "p_size", 0), place("lineitem", "l_quantity", 1)], "strong-coulomb").withColumn("c", _r("c"))
 
 
-@_query("SELECT x.i::INT AS i0, y.i::INT AS i1, z.i::INT AS i2, ((x.i-y.i)*(x.i-y.i) + (x.i-z.i)*(x.i-z.i) + (y.i-z.i)*(y.i-z.i))::DOUBLE AS c FROM range(6) x(i), range(6) y(i), range(6) z(i)")
+@_query("""WITH r AS (SELECT c_mktsegment AS problem, n_regionkey AS i, avg(c_acctbal) / 1e3 AS x FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
+SELECT problem, a.i AS i0, b.i AS i1, c.i AS i2, round(pow(a.x - b.x, 2) + pow(a.x - c.x, 2) + pow(b.x - c.x, 2), 6) + 0.0 AS c FROM r a JOIN r b USING (problem) JOIN r c USING (problem)""")
 def q_cost_three_marginal(spark, sf):
-    return generate.cost_tensor(spark, 6, 3)
+    """Three regions' balances in each market segment."""
+    n = _read(spark, sf, "nation").select("n_nationkey", F.col("n_regionkey").alias("i"))
+    r = _read(spark, sf, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("c_mktsegment").alias("problem"), "i").agg((F.avg("c_acctbal") / 1e3).alias("x"))  # nations: 25
+    return generate.cost_between([r.withColumnsRenamed({"i": f"i{k}", "x": f"x{k}"}) for k in range(3)]).withColumn("c", _r("c"))
 
 
-@_query("""WITH d AS (SELECT i::INT AS idx, (exp(-pow((-5 + 10 * i / 63.0::DOUBLE) + 1, 2) / 2) + exp(-pow(((-5 + 10 * i / 63.0::DOUBLE) - 1) / 0.5, 2) / 2) / 0.5) AS d FROM range(64) t(i))
-SELECT idx, round(d / sum(d) OVER (), 8) + 0.0 AS mass FROM d""")
+@_query("""WITH f AS (SELECT o_orderstatus AS problem, avg(o_totalprice) / 1e5 AS m, stddev_samp(o_totalprice) / 1e5 AS s FROM orders GROUP BY o_orderstatus, o_orderpriority),
+d AS (SELECT problem, i::INT AS idx, avg(exp(-pow((-1 + 6 * i / 63.0::DOUBLE - m) / s, 2) / 2) / s) AS d FROM f, range(64) t(i) GROUP BY 1, 2)
+SELECT problem, idx, round(d / sum(d) OVER (PARTITION BY problem), 8) + 0.0 AS mass FROM d""")
 def q_gaussian_marginal(spark, sf):
-    return generate.gaussian_marginal(spark, 64, [-1.0, 1.0], [1.0, 0.5]).withColumn("mass", _r("mass", 8))
+    """Normal fits of the prices of each priority's orders, mixed for each status."""
+    fits = _read(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("problem"), "o_orderpriority").agg((F.avg("o_totalprice") / 1e5).alias("loc"), (F.stddev_samp("o_totalprice") / 1e5).alias("scale"))
+    return generate.gaussian_mixtures(fits, 64, -1.0, 5.0).withColumn("mass", _r("mass", 8))
 
 
 def _cloud(spark, sf) -> DataFrame:
@@ -453,10 +475,13 @@ def q_mirror_step(spark, sf):
     return done.select(F.explode("z").alias("z")).select("z.i", _r("z.mass").alias("mass"))
 
 
-@_query("SELECT n::INT AS n, m::INT AS m, round((m + n + 1 + sqrt((m + 1 - n) * (m + 1 - n) + 4 * n * m)) / 2.0, 6) + 0.0 AS norm2 FROM range(1, 9) t(n), range(1, 9) u(m)")
+@_query("""WITH x AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1), y AS (SELECT s_nationkey AS k, count(*) AS m FROM supplier GROUP BY 1)
+SELECT k, n, m, round((m + n + 1 + sqrt((m + 1 - n) * (m + 1 - n) + 4.0 * n * m)) / 2.0, 6) + 0.0 AS norm2 FROM x JOIN y USING (k)""")
 def q_operator_norm(spark, sf):
-    grid = spark.range(64).select((F.floor(F.col("id") / 8) + 1).cast("int").alias("n"), (F.col("id") % 8 + 1).cast("int").alias("m"))
-    return grid.select("n", "m", _r(exprs.operator_norm_squared(F.col("n"), F.col("m"))).alias("norm2"))
+    """Of the map that a flow between each nation's customers and suppliers would have."""
+    count = lambda t, key, name: _read(spark, sf, t).groupBy(F.col(key).alias("k")).agg(F.count("*").alias(name))
+    both = count("customer", "c_nationkey", "n").join(count("supplier", "s_nationkey", "m"), "k")
+    return both.withColumn("norm2", _r(exprs.operator_norm_squared(F.col("n").cast("double"), F.col("m").cast("double"))))
 
 
 def _matrix(spark, sf) -> DataFrame:
@@ -498,18 +523,13 @@ def q_quantum_residual(spark, sf):
 ORACLES["q_quantum_residual"] = ORACLES["q_quantum_residual"].replace("SELECT x.problem, round", "SELECT problem, round")
 
 
-def _lift_sql() -> str:
-    parts = ["SELECT 'all' AS problem, i * 3 + k AS r, j * 3 + k AS c, (i + 2 * j + 1)::DOUBLE AS re, (i - j)::DOUBLE AS im FROM range(2) a(i), range(2) b(j), range(3) d(k)", "SELECT 'all', k * 3 + i, k * 3 + j, (i + 2 * j + 1)::DOUBLE, (i - j)::DOUBLE FROM range(3) a(i), range(3) b(j), range(2) d(k)"]
-    return f"SELECT problem, r, c, sum(re) AS re, sum(im) + 0.0 AS im FROM ({' UNION ALL '.join(parts)}) GROUP BY 1, 2, 3"
-
-
-@_query(_lift_sql())
+@_query("""WITH u AS (SELECT o_custkey % 5 AS r, o_orderkey % 5 AS c, count(*)::DOUBLE AS re, sum(o_orderkey % 7)::DOUBLE AS im FROM orders GROUP BY 1, 2), v AS (SELECT l_suppkey % 7 AS r, l_partkey % 7 AS c, count(*)::DOUBLE AS re, sum(l_linenumber)::DOUBLE AS im FROM lineitem GROUP BY 1, 2)
+SELECT 'all' AS problem, r, c, sum(re) AS re, sum(im) + 0.0 AS im FROM (SELECT r * 7 + k AS r, c * 7 + k AS c, re, im FROM u, range(7) d(k) UNION ALL SELECT k * 7 + r, k * 7 + c, re, im FROM v, range(5) d(k)) GROUP BY 2, 3""")
 def q_partial_trace_adjoint(spark, sf):
-    def square(n: int) -> DataFrame:
-        i, j = F.floor(F.col("id") / n), F.col("id") % n
-        return spark.range(n * n).select(F.lit("all").alias("problem"), i.alias("r"), j.alias("c"), (i + 2 * j + 1).cast("double").alias("re"), (i - j).cast("double").alias("im"))
-
-    return matrices.lift_sum(square(2), square(3), 2, 3).withColumn("im", F.col("im") + 0.0)
+    """Matrices of orders and of lines, lifted to the product of their spaces."""
+    entry = lambda t, r, c, n, im: _read(spark, sf, t).groupBy(F.lit("all").alias("problem"), (F.col(r) % n).alias("r"), (F.col(c) % n).alias("c")).agg(F.count("*").cast("double").alias("re"), F.sum(im).cast("double").alias("im"))
+    u, v = entry("orders", "o_custkey", "o_orderkey", 5, F.col("o_orderkey") % 7), entry("lineitem", "l_suppkey", "l_partkey", 7, F.col("l_linenumber"))
+    return matrices.lift_sum(u, v, 5, 7).withColumn("im", F.col("im") + 0.0)
 
 
 _REGION_BASE = """
@@ -713,7 +733,9 @@ def q_timing_summary(spark, sf):
     return archive.timing_summary(e, 100).withColumn("seconds", _r("seconds", 4))
 
 
-@_query("SELECT p::INT AS part, p * ((257 + 7) // 8) AS start, ((257 + 7) // 8)::BIGINT AS size, greatest(0, least((257 + 7) // 8, 257 - p * ((257 + 7) // 8))) AS valid FROM range(8) t(p)")
+@_query("""WITH n AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), s AS (SELECT *, (n + 7) // 8 AS size FROM n)
+SELECT event_type, n, p::INT AS part, p * size AS start, size, greatest(0, least(size, n - p * size)) AS valid FROM s, range(8) t(p)""")
 def q_row_partition(spark, sf):
-    rows = [(p, *generate.row_partition(257, 8, p)) for p in range(8)]
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["part", "start", "size", "valid"])).select(F.col("part").cast("int"), "start", "size", "valid")
+    """Eight contiguous shares of each type's events."""
+    counts = _read(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return generate.row_shares(counts, "n", 8).select("event_type", "n", "part", "start", "size", "valid")

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrymass.operators.projection import medians
+
 
 def read_arrays(spark: SparkSession, path: str) -> DataFrame:
     """path, shape, values (row by row) of .npy files; pickled objects are refused."""
@@ -115,10 +117,12 @@ def timing_summary(events: DataFrame, chunks: int) -> DataFrame:
 
 
 def sample_summary(samples: DataFrame, key: str, seconds: str = "seconds") -> DataFrame:
-    """key, median, least, most and valid of timings: valid where all of a key's samples are finite and positive."""
+    """key, median, least, most and valid of timings: valid where all of a key's samples are finite and positive. The median is that of the finite ones."""
     s = F.col(seconds)
     ok = F.coalesce(~F.isnan(s) & (F.abs(s) != float("inf")) & (s > 0), F.lit(False))
-    return samples.groupBy(key).agg(F.median(s).alias("median"), F.min(s).alias("least"), F.max(s).alias("most"), F.bool_and(ok).alias("valid"))
+    ends = samples.groupBy(key).agg(F.min(s).alias("least"), F.max(s).alias("most"), F.bool_and(ok).alias("valid"))
+    middle = medians(samples, key, seconds).withColumnRenamed(key, "_key")
+    return ends.join(middle, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, "median", "least", "most", "valid")
 
 
 def comparable(records: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrymass.operators.measures import normalise
+
 
 def pair_cost(kind: str, a: Column, b: Column, diagonal_penalty: float = 1e6) -> Column:
     d = F.abs(a - b).cast("double")
@@ -35,6 +37,28 @@ def cost_tensor(spark: SparkSession, n: int, marginals: int = 2, kind: str = "eu
     return out.withColumn("c", total)
 
 
+def cost_between(axes: list[DataFrame], kind: str = "euclidean", diagonal_penalty: float = 1e6) -> DataFrame:
+    """problem, i0, i1, ..., c: the sum of pair costs between positions xk of the cells (problem, ik, xk) of every axis.
+
+    All combinations of a problem's cells are what is asked for; they are made
+    problem by problem from the first axis on, so its rows are what tasks share.
+    """
+    out, total = axes[0], F.lit(0.0)
+    for k, axis in enumerate(axes[1:], 1):
+        out = out.join(axis, "problem")
+        for p in range(k):
+            total = total + pair_cost(kind, F.col(f"x{p}"), F.col(f"x{k}"), diagonal_penalty)
+    return out.select("problem", *[f"i{k}" for k in range(len(axes))], total.alias("c"))
+
+
+def gaussian_mixtures(fits: DataFrame, n: int, lower: float, upper: float) -> DataFrame:
+    """problem, idx, mass: for each problem the mixture of its normal densities (problem, loc, scale) on an even grid of n cells, scaled to sum to 1."""
+    cells = fits.select("problem", "loc", "scale", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("idx"))
+    z = (F.lit(lower) + F.lit(upper - lower) * F.col("idx") / F.lit(max(n - 1, 1)) - F.col("loc")) / F.col("scale")
+    density = cells.groupBy("problem", "idx").agg(F.avg(F.exp(-z * z / 2) / (F.col("scale") * F.sqrt(2 * F.pi()))).alias("mass"))
+    return normalise(density, ["problem"])
+
+
 def gaussian_marginal(spark: SparkSession, n: int, locs: list[float], scales: list[float], lower: float = -5.0, upper: float = 5.0) -> DataFrame:
     """idx, mass: a mixture of normal densities on an even grid, scaled to sum to 1."""
     if len(locs) != len(scales) or not locs or min(scales) <= 0:
@@ -65,8 +89,8 @@ def squared_distance(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda a, d: a + d)
 
 
-def row_partition(count: int, parts: int, rank: int) -> tuple[int, int, int]:
-    """Start, padded size and valid size of a contiguous share of count rows."""
-    size = -(-count // parts)
-    start = rank * size
-    return start, size, max(0, min(size, count - start))
+def row_shares(counts: DataFrame, count: str, parts: int) -> DataFrame:
+    """counts with part, start, size and valid: each row's count cut into contiguous shares of equal size, the last ones padded."""
+    size = F.ceil(F.col(count) / parts)
+    shares = counts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("size", size).withColumn("start", F.col("part") * size)
+    return shares.withColumn("valid", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col(count) - F.col("start"))))
