@@ -8,28 +8,34 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrymass.llm.store import join_counted, persist
+from ferrymass.llm.store import join_counted, persist, tidy
+
+
+#: Links that one task replaces by a forest: some 100 MB.
+PART = 500_000
 
 
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links of one batch replaced by links to the smallest member they reach within it: as connected, and fewer."""
-    for batch in batches:
-        parent: dict[int, int] = {}
+    """A task's links replaced by links to the smallest member they reach within it: as connected, and fewer."""
+    parent: dict[int, int] = {}
 
-        def root(x: int, parent=parent) -> int:
-            top = x
-            while (up := parent.setdefault(top, top)) != top:
-                top = up
-            while x != top:
-                parent[x], x = top, parent[x]
-            return top
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while x != top:
+            parent[x], x = top, parent[x]
+        return top
 
+    for batch in batches:
         for u, v in zip(batch["u"].tolist(), batch["v"].tolist(), strict=True):
             a, b = root(u), root(v)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        out = [(x, root(x)) for x in list(parent)]
-        yield pd.DataFrame([(x, r) for x, r in out if x != r], columns=["u", "v"])
+    nodes = list(parent)
+    for at in range(0, len(nodes), PART // 10):
+        out = [(x, root(x)) for x in nodes[at : at + PART // 10]]
+        yield pd.DataFrame([(x, r) for x, r in out if x != r], columns=["u", "v"], dtype="int64")
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -43,12 +49,15 @@ def components(links: DataFrame) -> DataFrame:
     """node, label for every node of links (u, v: long): label is the least node that links reach.
 
     Nodes without links are absent; links to itself and repeated links change
-    nothing; no links give no rows. Rounds grow with the logarithm of the
-    largest component; each is written to the shared folder.
+    nothing; no links give no rows. Parts of PART links become forests first;
+    where more than one part is left, stars follow, whose rounds grow with the
+    logarithm of the largest component. Each is written to the shared folder.
     """
-    edges = persist(links.filter("u <> v").mapInPandas(_forest, "u long, v long").distinct(), "edges")
+    links = links.filter("u <> v")
+    parts = -(-links.count() // PART)
+    edges = persist(links.repartition(max(1, parts)).mapInPandas(tidy(_forest), "u long, v long"), "edges")
     before = None
-    while True:
+    while parts > 1:
         state = edges.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 24)), F.sum(F.shiftright(F.xxhash64("v", "u"), 20))).first()
         if tuple(state) == before or not state[0]:
             break
