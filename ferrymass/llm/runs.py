@@ -160,8 +160,8 @@ def _scan(plant: bool, text: bool):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = pd.DataFrame([row(None if i is None else int(i), t) for i, t in zip(b["doc_id"].tolist(), b["text"].tolist(), strict=True)], columns=names)
-            for c in names[:6]:
+            out = pd.DataFrame([row(None if i is None else int(i), t) for i, t in zip(b["doc_id"].tolist(), b["text"].tolist(), strict=True)], columns=names, dtype=object)  # floats would round ids beside nulls
+            for c in [*names[:6], "n_words"]:
                 out[c] = out[c].astype("Int64")
             yield out
 

@@ -81,7 +81,9 @@ def test_near_copies_around_the_threshold(spark, seed):
     assert _found(ngram_join.near_copies(frame)) == _near(texts)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("part", [500_000, 7])
+def test_components(spark, monkeypatch, part):
+    monkeypatch.setattr(components, "PART", part)
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)] + [(7, 7)]
     label = _classes({x for p in links for x in p if p[0] != p[1]}, links)
