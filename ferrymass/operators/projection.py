@@ -30,20 +30,21 @@ def _kept(levels: DataFrame, keys: int) -> DataFrame:
     return levels.sparkSession.createDataFrame(levels.toArrow(), levels.schema) if keys <= BROADCAST_KEYS else persist(levels, "levels")
 
 
-def _level(rows: DataFrame, key: str, target: float) -> DataFrame:
-    made = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum("z").alias("s"))
-    return made.select(key, "n", ((F.col("s") + target) / F.col("n")).alias("t"))
+def _level(rows: DataFrame, key: str) -> DataFrame:
+    made = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum("z").alias("s"), F.max("target").alias("target"))
+    return made.select(key, "n", ((F.col("s") + F.col("target")) / F.col("n")).alias("t"))
 
 
-def thresholds(values: DataFrame, key: str, z: Column, target: float) -> DataFrame:
-    """key, t with sum(max(t - z, 0)) = target over the rows of each key; target is positive. Null and NaN values take no part; null is a key."""
-    rows = persist(values.select(key, z.cast("double").alias("z")).filter("z IS NOT NULL AND NOT isnan(z)"), "threshold-values")
+def thresholds(values: DataFrame, key: str, z: Column, target: Column | float) -> DataFrame:
+    """key, t with sum(max(t - z, 0)) = target over the rows of each key; target is positive, and one for a key. Null and NaN values take no part; null is a key."""
+    aim = target if isinstance(target, Column) else F.lit(float(target))
+    rows = persist(values.select(key, z.cast("double").alias("z"), aim.alias("target")).filter("z IS NOT NULL AND NOT isnan(z)"), "threshold-values")
     keys = rows.select(key).distinct().count()
-    levels = _kept(_level(rows, key, target), keys)
+    levels = _kept(_level(rows, key), keys)
     held = levels.agg(F.sum("n")).first()[0] or 0
     while True:
-        below = _with(rows, levels.select(key, "t"), key, keys).filter("z < t").select(key, "z")
-        new = _kept(_level(below, key, target), keys)
+        below = _with(rows, levels.select(key, "t"), key, keys).filter("z < t").select(key, "z", "target")
+        new = _kept(_level(below, key), keys)
         left = new.agg(F.sum("n")).first()[0] or 0
         # Sets only shrink, so they are all as they were if their sizes' sum is.
         same = left == levels.agg(F.sum("n")).first()[0] or not left

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ferrymass.checkpoints import has_state, load_state, persist, remove, save_state
 from ferrymass.functions.exprs import neg_inf
 from ferrymass.operators import measures as checks
+from ferrymass.operators import projection
 
 #: Rows of a potential that go to every task by broadcast, some 100 MB; the cost is shuffled to larger ones.
 BROADCAST_ROWS = 1_000_000
@@ -180,8 +181,15 @@ def resumable(values: DataFrame, measure: DataFrame, axis: str, name: str) -> Da
     return both.groupBy("problem").agg(F.bool_and(F.when(F.col("mass") > 0, on).otherwise(v.isNull() | (v == neg_inf()))).alias("valid"))
 
 
-def _level(line: DataFrame, k: str, eps: float) -> DataFrame:
-    """problem, k, t: the least of (eps mass + sum of the n least x) / n over n, by a sorted running sum."""
+#: Cells of a line that one task sorts; the levels of longer ones are found by rounds of partial sums.
+LINE = 1 << 20
+
+
+def _level(line: DataFrame, k: str, eps: float, longest: int) -> DataFrame:
+    """problem, k, t: the least of (eps mass + sum of the n least x) / n over n."""
+    if longest > LINE:
+        found = projection.thresholds(line.select(F.struct("problem", k).alias("line"), "x", "mass"), "line", F.col("x"), F.col("mass") * eps)
+        return found.select("line.*", "t")
     w = Window.partitionBy("problem", k).orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     level = line.select("problem", k, ((F.col("mass") * eps + F.sum("x").over(w)) / F.count("*").over(w)).alias("t"))
     return level.groupBy("problem", k).agg(F.min("t").alias("t"))
@@ -191,17 +199,19 @@ def quadratic(cost: DataFrame, a: DataFrame, b: DataFrame, eps: float, sweeps: i
     """Quadratic plans (problem, i, j, c, mass) of problems that no row can hold, and the sweeps done.
 
     The potential of a line is the least of (eps mass + sum of the k least of
-    c - other) / k over k: a sorted running sum over one line of the cost. Ends
-    as sinkhorn does.
+    c - other) / k over k. Ends as sinkhorn does.
     """
     cost = persist(cost, "quadratic-cost")
     sides = {"i": a.select("problem", "i", "mass"), "j": b.select("problem", "j", "mass")}
     values = {k: m.select("problem", k, F.lit(0.0).alias(f"v{k}")) for k, m in sides.items()}
+    longest = {k: cost.groupBy("problem", k).count().agg(F.max("count")).first()[0] or 0 for k in sides}
     plan, done = None, 0
     while done < sweeps:
         for k, other in (("i", "j"), ("j", "i")):
             line = cost.join(values[other], ["problem", other]).join(sides[k], ["problem", k]).withColumn("x", F.col("c") - F.col(f"v{other}"))
-            values[k] = persist(_level(line, k, eps).withColumnRenamed("t", f"v{k}"), f"quadratic-{k}")
+            old, values[k] = values[k], persist(_level(line, k, eps, longest[k]).withColumnRenamed("t", f"v{k}"), f"quadratic-{k}")
+            if done:  # what it starts from may be a table of the caller's
+                remove(old)
         done += 1
         gap = F.col("vi") + F.col("vj") - F.col("c")
         plan = cost.join(values["i"], ["problem", "i"]).join(values["j"], ["problem", "j"]).select("problem", "i", "j", "c", (F.greatest(gap, F.lit(0.0)) / eps).alias("mass"))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ferrymass.checkpoints import persist
 from ferrymass.functions import exprs
-from ferrymass.operators import matrices, measures, plan, projection
-from ferrymass.plans import blocked, fold, grouped, relational
-from ferrymass.sources import archive, generate, workloads
+from ferrymass.operators import matrices, measures, plan, projection, spectral
+from ferrymass.plans import blocked, fold, grouped, relational, steps
+from ferrymass.sources import archive, configs, generate, workloads
 from ferrymass.streaming import flow
 
 EPS, SWEEPS = 0.25, 15
@@ -631,6 +631,52 @@ def q_psd_projection(spark, sf):
     return near.select("problem", _r(F.element_at("re", 1) + F.element_at("re", 4), 3).alias("trace"), _r(F.sqrt(square), 3).alias("size"))
 
 
+def _pairs_matrix(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The symmetric matrices of q_psd_projection over their priority's total price as one matrix whose rows 0 to 4 and 5 to 9 they straddle, and its size."""
+    o = _read(spark, sf, "orders")
+    price = F.col("o_totalprice")
+    own = o.groupBy((F.substring("o_orderpriority", 1, 1).cast("long") - 1).alias("k")).agg(F.sum(F.when(F.col("o_orderstatus") == "F", price).otherwise(-price)).alias("p"), F.sum(price).alias("q"), F.sum(price * (F.col("o_orderkey") % 3 - 1)).alias("r"))
+    place = [("k", "k", F.col("p") / F.col("q")), ("k", "l", F.col("r") / F.col("q")), ("l", "k", F.col("r") / F.col("q")), ("l", "l", F.lit(1.0) - 1.5 * (F.col("k") % 2))]
+    entries = F.array(*[F.struct(F.col(r).alias("r"), F.col(c).alias("c"), v.alias("re")) for r, c, v in place])
+    rows = own.withColumn("l", F.col("k") + 5).select(F.lit("all").alias("problem"), F.explode(entries).alias("e")).select("problem", "e.*", F.lit(0.0).alias("im"))
+    return rows, own.agg(F.lit("all").alias("problem"), (2 * F.count("*")).alias("n"))
+
+
+_PAIRS_SQL = """WITH o AS (SELECT o_orderpriority AS k, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END) / sum(o_totalprice) AS p, 1.0::DOUBLE - 1.5 * ((o_orderpriority[1]::INT - 1) % 2) AS q, sum(o_totalprice * (o_orderkey % 3 - 1)) / sum(o_totalprice) AS r FROM orders GROUP BY 1),
+e AS (SELECT k, (p + q) / 2 + sqrt(pow((p - q) / 2, 2) + r * r) AS hi, (p + q) / 2 - sqrt(pow((p - q) / 2, 2) + r * r) AS lo FROM o)"""
+
+
+@_query(f"{_PAIRS_SQL} SELECT round(sum(greatest(hi, 0) + greatest(lo, 0)), 6) + 0.0 AS trace, round(sqrt(sum(pow(greatest(hi, 0), 2) + pow(greatest(lo, 0), 2))), 6) + 0.0 AS size FROM e")
+def q_psd_blocks(spark, sf):
+    """The nearest positive semidefinite matrix of one in blocks of four rows, told by its trace and norm."""
+    m, dims = _pairs_matrix(spark, sf)
+    near = persist(spectral.nearest_psd(persist(spectral.blocks(m, 4), "pair-blocks"), dims, 4), "pair-psd")
+    return spectral.trace(near, 4).join(spectral.norm(near), "problem").select(_r("trace").alias("trace"), _r("norm").alias("size"))
+
+
+@_query(f"{_PAIRS_SQL} SELECT (k[1]::INT - 1)::BIGINT AS k, round((exp(hi / 0.5) + exp(lo / 0.5)) / sum(exp(hi / 0.5) + exp(lo / 0.5)) OVER (), 6) + 0.0 AS mass, round(ln(sum(exp(hi / 0.5) + exp(lo / 0.5)) OVER ()), 6) + 0.0 AS log_z FROM e")
+def q_gibbs_blocks(spark, sf):
+    """The Gibbs state of the same matrix: what each priority holds of its trace, and the log of the partition sum."""
+    m, dims = _pairs_matrix(spark, sf)
+    state, z = spectral.gibbs(persist(spectral.blocks(m, 4), "pair-blocks"), dims, 4, 0.5)
+    mass = spectral.entries(state, 4).filter("r = c AND r < 10").groupBy("problem", (F.col("r") % 5).alias("k")).agg(F.sum("re").alias("mass"))
+    return mass.join(z, "problem").select("k", _r("mass").alias("mass"), _r("log_z").alias("log_z"))
+
+
+@_query("""SELECT o_orderpriority AS problem, o_orderpriority <> '2-HIGH' AS hermitian, o_orderpriority <> '4-NOT SPECIFIED' AS unit_trace, o_orderpriority NOT IN ('2-HIGH', '3-MEDIUM') AS positive, o_orderpriority NOT IN ('2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED') AS valid FROM orders GROUP BY 1""")
+def q_validate_quantum(spark, sf):
+    """Overlaps of customer classes over months, a density matrix for each priority; one is skewed, one bent below zero and one doubled."""
+    o = _read(spark, sf, "orders").select(F.col("o_orderpriority").alias("problem"), (F.col("o_custkey") % 25).alias("r"), F.month("o_orderdate").alias("k"))
+    b = o.groupBy("problem", "r", "k").agg(F.count("*").cast("double").alias("b"))
+    gram = b.join(b.withColumnsRenamed({"r": "c", "b": "b2"}), ["problem", "k"]).groupBy("problem", "r", "c").agg(F.sum(F.col("b") * F.col("b2")).alias("re"))  # 25 classes a month
+    whole = gram.filter("r = c").groupBy("problem").agg(F.sum("re").alias("total"))
+    rho = gram.join(whole, "problem").select("problem", "r", "c", (F.col("re") / F.col("total")).alias("re"))
+    at = lambda name, r, c: (F.col("problem") == name) & (F.col("r") == r) & (F.col("c") == c)
+    moved = F.when(at("2-HIGH", 3, 7), F.col("re") + 0.1).when(at("3-MEDIUM", 4, 4), F.col("re") - 0.5).when(at("3-MEDIUM", 5, 5), F.col("re") + 0.5).when(F.col("problem") == "4-NOT SPECIFIED", 2 * F.col("re")).otherwise(F.col("re"))
+    dims = rho.groupBy("problem").agg((F.max("r") + 1).cast("int").alias("n"))
+    return spectral.validate(rho.select("problem", "r", "c", moved.alias("re"), F.lit(0.0).alias("im")), dims, size=8)
+
+
 def _starts(spark, sf) -> DataFrame:
     """An hour-of-day density of 8 cells for each event type, at time 0."""
     e = _read(spark, sf, "events").groupBy("event_type", F.floor(F.hour("ts") / 3).cast("int").alias("cell")).agg(F.count("*").alias("n"))
@@ -700,6 +746,65 @@ def q_flow_status(spark, sf):
     return found.groupBy("problem").agg(F.max("status").alias("status"), F.count("*").alias("slots"))
 
 
+_STEP_DT, _STEP_WEIGHT, _STEPS = 0.2, 2.0, 5
+
+
+def _steps_sql() -> str:
+    """Primal-dual iterations of every event type's hours towards those of all events, unrolled."""
+    norm = "(((SELECT count(*) FROM w) + (SELECT count(*) FROM hours) + 1 + sqrt(1 + 4.0 * (SELECT count(*) FROM w) * (SELECT count(*) FROM hours))) / 2.0)"
+    parts = [
+        "hours AS (SELECT DISTINCT hour(ts) AS i FROM events)",
+        "w AS (SELECT hour(ts) AS i, count(*) / (sum(count(*)) OVER ())::DOUBLE AS w FROM events GROUP BY 1)",
+        "b AS (SELECT event_type AS problem, h.i AS j, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY event_type)::DOUBLE AS mass FROM (SELECT DISTINCT event_type FROM events) CROSS JOIN hours h LEFT JOIN (SELECT event_type, hour(ts) AS i, count(*) AS n FROM events GROUP BY 1, 2) USING (event_type, i))",
+        f"s AS (SELECT 0.99 / sqrt({norm}) AS t)",
+        "r0 AS (SELECT problem, w.i, w, 1.0::DOUBLE / (SELECT count(*) FROM hours) AS rho, 1.0::DOUBLE / (SELECT count(*) FROM hours) AS br, 0.0::DOUBLE AS y FROM w, (SELECT DISTINCT problem FROM b))",
+        "c0 AS (SELECT problem, j, mass, 0.0::DOUBLE AS y FROM b)",
+        "p0 AS (SELECT problem, i, j, pow((i - j) / 24.0::DOUBLE, 2) AS c, rho * mass AS p, rho * mass AS bp FROM r0 JOIN b USING (problem))",
+    ]
+    for k in range(_STEPS):
+        parts += [
+            f"y{k + 1} AS MATERIALIZED (SELECT problem, i, w, rho AS old, y + t * (sb - br) AS y FROM r{k} JOIN (SELECT problem, i, sum(bp) AS sb FROM p{k} GROUP BY 1, 2) USING (problem, i), s)",
+            f"r{k + 1} AS MATERIALIZED (SELECT problem, i, w, rho, 2 * rho - old AS br, y FROM (SELECT *, greatest((old + t * y + t * {_STEP_DT * _STEP_WEIGHT} * w) / (1 + t * {_STEP_DT * _STEP_WEIGHT}), 0) AS rho FROM y{k + 1}, s))",
+            f"c{k + 1} AS MATERIALIZED (SELECT problem, j, mass, y + t * (sb - mass) AS y FROM c{k} JOIN (SELECT problem, j, sum(bp) AS sb FROM p{k} GROUP BY 1, 2) USING (problem, j), s)",
+            f"p{k + 1} AS MATERIALIZED (SELECT problem, i, j, c, p, 2 * p - old AS bp FROM (SELECT x.problem, x.i, x.j, c, x.p AS old, greatest(x.p - t * (c / 2 + r.y + q.y), 0) AS p FROM p{k} x JOIN r{k + 1} r USING (problem, i) JOIN c{k + 1} q USING (problem, j), s))",
+        ]
+    parts.append(f"o AS (SELECT problem, {_STEP_DT} * any_value(f) + any_value(t) / 2 AS objective FROM (SELECT problem, sum({_STEP_WEIGHT} / 2 * (rho - w) * (rho - w)) AS f FROM r{_STEPS} GROUP BY 1) JOIN (SELECT problem, sum(c * p) AS t FROM p{_STEPS} GROUP BY 1) USING (problem) GROUP BY problem)")
+    return "WITH " + ",\n".join(parts) + f" SELECT problem, i::INT AS i, round(rho, 7) + 0.0 AS rho, round(objective, 7) + 0.0 AS objective FROM r{_STEPS} JOIN o USING (problem)"
+
+
+@_query(_steps_sql())
+def q_step_tables(spark, sf):
+    """First-order iterations of a step towards all events' hours, a quadratic energy, with the plan as a table of cells."""
+    e = _read(spark, sf, "events").select("event_type", F.hour("ts").alias("h"))
+    hours = e.groupBy(F.col("h").alias("i")).agg(F.count("*").alias("w"))
+    w = measures.normalise(hours.withColumnsRenamed({"w": "mass"}).withColumn("all", F.lit(1)), ["all"]).select("i", F.col("mass").alias("w"))
+    types = e.select(F.col("event_type").alias("problem")).distinct()
+    density = types.join(F.broadcast(w))  # hours of a day: 24
+    own = e.groupBy(F.col("event_type").alias("problem"), F.col("h").alias("j")).agg(F.count("*").cast("double").alias("mass"))
+    grid = density.select("problem", F.col("i").alias("j"))
+    previous = measures.normalise(grid.join(own, ["problem", "j"], "left").fillna(0.0, ["mass"]), ["problem"])
+    cost = density.select("problem", "i").join(grid, "problem").withColumn("c", F.pow((F.col("i") - F.col("j")) / 24.0, 2))
+    begun = steps.start(cost, density, previous, _STEP_DT)
+    done = steps.pdhg(begun, steps.quadratic(_STEP_WEIGHT), _STEP_DT, _STEPS)
+    both = done.rows.join(done.objective(steps.quadratic(_STEP_WEIGHT), _STEP_DT), "problem")
+    return both.select("problem", "i", _r("rho", 7).alias("rho"), _r("objective", 7).alias("objective"))
+
+
+@_query("""WITH c AS (SELECT p_partkey, p_size - 2 AS n, CASE WHEN p_partkey % 5 = 0 THEN p_size - 1 ELSE p_size - 2 END AS m, ['flow', 'classical', 'quantum', 'other'][p_partkey % 4 + 1] AS kind FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'json' WHEN p_partkey % 7 = 0 THEN 'unknown' WHEN kind = 'other' THEN 'kind' WHEN n < 1 THEN 'n' WHEN m < 1 THEN 'm' WHEN p_partkey % 11 = 0 THEN 'tolerance'
+    WHEN kind = 'quantum' THEN 'backend' WHEN kind = 'flow' AND n <> m THEN 'm' END AS fault, kind AS wanted FROM c""")
+def q_config_faults(spark, sf):
+    """Configurations made of parts, of which some are no JSON, have a field that isn't known, or one that can't be."""
+    k = F.col("p_partkey")
+    n, m = F.col("p_size") - 2, F.when(k % 5 == 0, F.col("p_size") - 1).otherwise(F.col("p_size") - 2)
+    kind = F.element_at(F.array(*map(F.lit, ["flow", "classical", "quantum", "other"])), (k % 4 + 1).cast("int"))
+    more = F.concat(F.when(k % 7 == 0, ', "extra": 1').otherwise(""), F.when(k % 11 == 0, ', "tolerance": "0.1"').otherwise(""), F.when(k % 13 == 0, "").otherwise("}"))
+    line = F.concat(F.lit('{"name": "part-'), k, F.lit('", "kind": "'), kind, F.lit('", "n": '), n, F.lit(', "m": '), m, more)
+    made = _read(spark, sf, "part").select("p_partkey", kind.alias("wanted"), line.alias("value"))
+    found = configs.read_configs(made).select("line", "fault")
+    return made.join(found, made["value"] == found["line"]).select("p_partkey", "fault", "wanted")
+
+
 @_query("SELECT event_type, round(median(value), 4) + 0.0 AS median, round(min(value), 4) + 0.0 AS least, round(max(value), 4) + 0.0 AS most, min(value) > 0 AS valid FROM events GROUP BY 1")
 def q_sample_summary(spark, sf):
     out = archive.sample_summary(_read(spark, sf, "events"), "event_type", "value")

@@ -9,6 +9,7 @@ problems it names.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -60,27 +61,77 @@ def run_chunk(state: DataFrame, energy: str | Callable, dt: float, steps: int, t
     it is, with its status.
     """
 
+    advance = partial(_advance, energy=energy, dt=dt, steps=steps, tolerance=tolerance, limit=limit, backend=backend, epsilon=epsilon, stride=stride, weight=weight, geometry=geometry)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for r in batch.itertuples():
-                rho, time, status = np.array(r.rho, float), float(r.time), int(r.status)
-                out.append((r.problem, 0, time, rho.tolist(), status, 0, 0.0, None))
-                cost, model = (geometry or line_cost)(len(rho)), energy_of(energy, len(rho), weight)
-                got = {"iterations": 0, "error": 0.0}
-                for step in range(1, steps + 1):
-                    if status == grouped.OK:
-                        got = grouped.pdhg_step(cost, rho, model, dt, tolerance, limit) if backend == "pdhg" else grouped.entropic_step(cost, rho, model, dt, epsilon, tolerance, limit)
-                        status = got["status"]
-                        if status == grouped.OK:
-                            rho, time = got["rho"], time + dt
-                    if step % stride == 0:
-                        out.append((r.problem, step // stride, time, rho.tolist(), status, got["iterations"], got["error"], got.get("objective")))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in TRAJECTORY.split(", ")])
+            yield _table([row for r in batch.itertuples() for row in advance(r.problem, np.array(r.rho, float), float(r.time), int(r.status))])
 
     return state.mapInPandas(run, TRAJECTORY)
 
 
+def _table(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in TRAJECTORY.split(", ")])
+
+
+def _advance(problem: str, rho: np.ndarray, time: float, status: int, *, energy, dt, steps, tolerance, limit, backend="pdhg", epsilon=0.1, stride=1, weight=1.0, geometry=None) -> list[tuple]:
+    """TRAJECTORY rows of one problem's chunk of steps."""
+    out = [(problem, 0, time, rho.tolist(), status, 0, 0.0, None)]
+    cost, model = (geometry or line_cost)(len(rho)), energy_of(energy, len(rho), weight)
+    got = {"iterations": 0, "error": 0.0}
+    for step in range(1, steps + 1):
+        if status == grouped.OK:
+            got = grouped.pdhg_step(cost, rho, model, dt, tolerance, limit) if backend == "pdhg" else grouped.entropic_step(cost, rho, model, dt, epsilon, tolerance, limit)
+            status = got["status"]
+            if status == grouped.OK:
+                rho, time = got["rho"], time + dt
+        if step % stride == 0:
+            out.append((problem, step // stride, time, rho.tolist(), status, got["iterations"], got["error"], got.get("objective")))
+    return out
+
+
 def run_stream(requests: DataFrame, out: str, checkpoint: str, **options):
     """A query over a stream of STATE rows that appends each micro-batch's trajectories to a Parquet table."""
     return requests.writeStream.foreachBatch(lambda batch, _: run_chunk(batch, **options).write.mode("append").parquet(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: Keyed state lies in this store.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_keyed_stream(requests: DataFrame, out: str, checkpoint: str, **options):
+    """A query over a stream of requests (problem, rho) that keeps each problem's flow in keyed state and appends TRAJECTORY rows to a Parquet table.
+
+    The first request of a problem brings the density it starts from; each request
+    advances it by a chunk of steps, slot 0 of which is where it stands. Time,
+    density and status are state, so a stream that stops goes on where it was, and
+    a failed step leaves time and density in place; its status stays until a
+    request brings a new density.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+
+    class Flow(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.state = handle.getValueState("flow", "time double, rho array<double>, status int")
+
+        def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+            for batch in rows:
+                for own in batch["rho"]:
+                    held = self.state.get() if self.state.exists() else None
+                    if own is not None and (held is None or held[2] != grouped.OK):
+                        rho = np.asarray(own, float)
+                        fit = len(rho) and np.isfinite(rho).all() and (rho >= 0).all() and rho.sum() > 0
+                        held = (0.0 if held is None else held[0], rho.tolist(), grouped.OK if fit else grouped.INVALID)
+                    if held is None:
+                        continue
+                    done = _advance(key[0], np.array(held[1], float), float(held[0]), int(held[2]), **options)
+                    self.state.update((done[-1][2], done[-1][3], done[-1][4]))
+                    yield _table(done)
+
+        def close(self) -> None:
+            pass
+
+    kept = requests.groupBy("problem").transformWithStateInPandas(statefulProcessor=Flow(), outputStructType=TRAJECTORY, outputMode="append", timeMode="none")
+    return kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

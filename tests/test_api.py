@@ -42,6 +42,37 @@ def test_large_quadratic_problems_go_by_joins(problem, monkeypatch):
     assert _rows(api.solve(*problem, config, regularizer="quadratic")) == folded
 
 
+def test_long_lines_go_by_rounds(problem, monkeypatch):
+    cost, (a, b) = problem
+    whole, _ = api.relational.quadratic(cost, a, b, 0.5, 2, None)
+    want = _rows(whole)
+    monkeypatch.setattr(api.relational, "LINE", 1)
+    rounds, _ = api.relational.quadratic(cost, a, b, 0.5, 2, None)
+    assert _rows(rounds) == want
+
+
+def test_shannon_by_fold_is_shannon_by_joins(problem, monkeypatch):
+    config = api.SolverConfig(0.5, max_iterations=3)
+    folded = _rows(api.solve(*problem, config))
+    monkeypatch.setattr(api, "FOLD_CELLS", 11)
+    assert _rows(api.solve(*problem, config)) == folded
+
+
+def test_sparse_costs_go_by_joins(problem):
+    cost, (a, b) = problem
+    out = api.solve(cost.filter("i <> 1 OR j <> 2"), [a, b], api.SolverConfig(0.5, max_iterations=3)).collect()
+    assert len(out) == 11 and {(r["status"], r["iterations"]) for r in out} == {("max_iterations", 3)}
+
+
+def test_quantum_statuses_are_words(spark):
+    flat = [0.5, 0.0, 0.0, 0.5]
+    rows = [(p, 2, 2, [0.0] * 16, [0.0] * 16, [x * k for x in flat], [0.0] * 4, flat, [0.0] * 4) for p, k in (("good", 1.0), ("heavy", 2.0))]
+    cost = spark.createDataFrame(rows, "problem string, n int, m int, cost_re array<double>, cost_im array<double>, a_re array<double>, a_im array<double>, b_re array<double>, b_im array<double>")
+    for kind in ("quadratic", "von_neumann"):
+        out = api.solve(cost, [], api.SolverConfig(0.5, 1e-6), "quantum", kind)
+        assert {r["problem"]: r["status"] for r in out.collect()} == {"good": "converged", "heavy": "invalid"}
+
+
 def test_shannon_says_how_it_ended(problem):
     out = api.solve(*problem, api.SolverConfig(0.5, max_iterations=2)).collect()
     assert len(out) == 12 and {(r["status"], r["iterations"]) for r in out} == {("max_iterations", 2)}
