@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ferrymass.llm.store import give_back, small_batches
 
 #: Words that a generation of a task's memory holds; two are kept, and forgetting the older one changes no result.
-REMEMBERED = 120_000
+REMEMBERED = 300_000
 #: Words, and bytes of words, that one recursive query takes at most; a longer word goes alone.
 PER_QUERY = 50_000
 BYTES_PER_QUERY = 500_000
@@ -41,7 +41,7 @@ SHORT = 48
 #: Longer words are contracted by buckets, in some 40 bytes of memory a byte and 2 microseconds a merge.
 LONG = 256
 #: Words of texts that are held at a time, but for a longer text's own, and ids that one query decodes.
-HELD = 160_000
+HELD = 640_000
 DECODED = 100_000
 #: Memory of a task's DuckDB, which never spills.
 MEMORY = "150MB"
@@ -63,7 +63,7 @@ WITH RECURSIVE state AS (
     SELECT r.word, r.pos, CASE WHEN r.pos = (b.pick >> 12) & 268435455 THEN b.pick >> 40 ELSE r.tok END, r.step + 1
     FROM ranked r JOIN best b ON b.word = r.word WHERE r.pos <> ((b.pick >> 12) & 268435455) + (b.pick & 4095))
 ), last AS (SELECT word, max(step) AS step FROM state GROUP BY word)
-SELECT s.word, list(s.tok::INTEGER ORDER BY s.pos) AS ids FROM state s JOIN last USING (word, step) GROUP BY s.word
+SELECT s.word AS doc, s.pos, s.tok::INTEGER AS tok FROM state s JOIN last USING (word, step)
 """
 
 #: Longer words, all that a step allows.
@@ -92,7 +92,7 @@ WITH RECURSIVE state(word, pos, tok) USING KEY (word, pos) AS (
     )
     SELECT word, unnest([pos, after]), unnest([merged, -1]) FROM due)
 )
-SELECT word, list(tok ORDER BY pos) AS ids FROM state WHERE tok >= 0 GROUP BY word
+SELECT word AS doc, pos, tok FROM state WHERE tok >= 0
 """
 
 #: The bytes of a token are held as a string of one character a byte.
@@ -171,6 +171,7 @@ class Coder:
         self._table("merges", merges[["pair", "merged", "width"]])
         self._table("early", merges.loc[merges["early"], ["pair"]])
         self._table("tokens", pd.DataFrame({"tok": np.array(list(self.ranks.values()), np.int32), "bytes": [t.decode("latin-1") for t in self.ranks]}))
+        self.names = {i: t for t, i in self.ranks.items()}
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
@@ -182,20 +183,20 @@ class Coder:
 
     def close(self) -> None:
         self.db.close()
-        self.known, self.older, self.ranks, self.made = {}, {}, {}, None
+        self.known, self.older, self.ranks, self.names, self.made = {}, {}, {}, {}, None
         give_back()
 
     def learn(self, words: list[str]) -> None:
         """Ids and decoded bytes of words not known yet. Those that are tokens as a whole need no merging."""
-        ids: dict[str, np.ndarray] = {}
         rest: list[tuple[str, bytes]] = []
         for w in words:
             blob = w.encode("utf-8", "surrogatepass")
             i = self.ranks.get(blob)
             if i is not None:
-                ids[w] = np.array([i], np.int32)
+                self.known[w] = i.to_bytes(4, "little"), self.names[i]
             elif len(blob) > LONG:
-                ids[w] = self._contract(blob)
+                ids = self._contract(blob)
+                self.known[w] = ids.astype("<u4").tobytes(), self.decode([ids])[0]
             else:
                 rest.append((w, blob))
         rest.sort(key=lambda x: len(x[1]))  # words of like length take as many steps
@@ -203,14 +204,12 @@ class Coder:
         size = 0
         for x in rest:
             if part and (len(part) >= PER_QUERY or size + len(x[1]) > BYTES_PER_QUERY or len(part[0][1]) <= SHORT < len(x[1])):
-                ids |= self._merge(part)
+                self._merge(part)
                 part, size = [], 0
             part.append(x)
             size += len(x[1])
         if part:
-            ids |= self._merge(part)
-        for (w, own), text in zip(ids.items(), self.decode(list(ids.values())), strict=True):
-            self.known[w] = own.astype("<u4").tobytes(), text
+            self._merge(part)
 
     def _contract(self, blob: bytes) -> np.ndarray:
         if self.made is None:
@@ -219,15 +218,21 @@ class Coder:
             self.made = dict(zip(self.pairs.tolist(), self.merged.tolist(), strict=True))
         return contract(self.byte[np.frombuffer(blob, np.uint8)], self.pairs, self.merged, self.made)
 
-    def _merge(self, words: list[tuple[str, bytes]]) -> dict[str, np.ndarray]:
+    def _merge(self, words: list[tuple[str, bytes]]) -> None:
         lengths = np.array([len(b) for _, b in words])
         first = np.cumsum(lengths) - lengths
         word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         start = pd.DataFrame({"word": word, "pos": (np.arange(len(word)) - first[word]).astype(np.int32), "tok": self.byte[np.frombuffer(b"".join(b for _, b in words), np.uint8)]})
         self.db.register("start", start)
-        found = self.db.execute(_ENCODE if lengths[-1] <= SHORT else _ENCODE_LONG).fetchnumpy()
+        self.db.execute(f"CREATE OR REPLACE TEMP TABLE ids AS {_ENCODE if lengths[-1] <= SHORT else _ENCODE_LONG}")
         self.db.unregister("start")
-        return {words[i][0]: np.asarray(ids, np.int32) for i, ids in zip(found["word"].tolist(), found["ids"], strict=True)}
+        found = self.db.execute("SELECT doc, tok FROM ids ORDER BY doc, pos").fetchnumpy()
+        texts = self.db.execute(f"{_DECODE} ORDER BY i.doc").fetchnumpy()["text"].tolist()
+        self.db.execute("DROP TABLE ids")
+        flat = found["tok"].astype("<u4").tobytes()
+        at = (4 * np.searchsorted(found["doc"], np.arange(len(words) + 1))).tolist()
+        for (w, _), a, z, text in zip(words, at[:-1], at[1:], texts, strict=True):
+            self.known[w] = flat[a:z], text.encode("latin-1")
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes]]:
         """Ids of each text, and the bytes that they decode to, in order. The words of one text are held at a time, and the new ones of a run of texts."""
@@ -304,8 +309,8 @@ def _coded(docs: DataFrame, id_col: str, text_col: str, path: str | None, row, s
         coder = Coder(*shared.value, pattern)
         try:
             for batch in batches:
-                for at in range(0, len(batch), 250):
-                    part = batch.iloc[at : at + 250]
+                for at in range(0, len(batch), 1000):
+                    part = batch.iloc[at : at + 1000]
                     many = coder.encode(part["text"].tolist())
                     rows = [(n, i, *row(ids, text)) for n, i, (ids, text) in zip(part["no_id"].tolist(), part["doc_id"].tolist(), many, strict=True)]
                     yield pd.DataFrame(rows, columns=names)
