@@ -173,8 +173,9 @@ class Coder:
         self._table("tokens", pd.DataFrame({"tok": np.array(list(self.ranks.values()), np.int32), "bytes": [t.decode("latin-1") for t in self.ranks]}))
         self.names = {i: t for t, i in self.ranks.items()}
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        # Ids and decoded bytes of the words met, and the generation before.
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
 
     def _table(self, name: str, rows: pd.DataFrame) -> None:
         self.db.register("given", rows)
@@ -183,7 +184,7 @@ class Coder:
 
     def close(self) -> None:
         self.db.close()
-        self.known, self.older, self.ranks, self.names, self.made = {}, {}, {}, {}, None
+        self.known, self.older, self.ranks, self.names, self.made = ({}, {}), ({}, {}), {}, {}, None
         give_back()
 
     def learn(self, words: list[str]) -> None:
@@ -193,10 +194,10 @@ class Coder:
             blob = w.encode("utf-8", "surrogatepass")
             i = self.ranks.get(blob)
             if i is not None:
-                self.known[w] = i.to_bytes(4, "little"), self.names[i]
+                self._keep(w, i.to_bytes(4, "little"), self.names[i])
             elif len(blob) > LONG:
                 ids = self._contract(blob)
-                self.known[w] = ids.astype("<u4").tobytes(), self.decode([ids])[0]
+                self._keep(w, ids.astype("<u4").tobytes(), self.decode([ids])[0])
             else:
                 rest.append((w, blob))
         rest.sort(key=lambda x: len(x[1]))  # words of like length take as many steps
@@ -211,6 +212,9 @@ class Coder:
         if part:
             self._merge(part)
 
+    def _keep(self, word: str, ids: bytes, text: bytes) -> None:
+        self.known[0][word], self.known[1][word] = ids, text
+
     def _contract(self, blob: bytes) -> np.ndarray:
         if self.made is None:
             table = self.merges.sort_values("pair")
@@ -232,7 +236,7 @@ class Coder:
         flat = found["tok"].astype("<u4").tobytes()
         at = (4 * np.searchsorted(found["doc"], np.arange(len(words) + 1))).tolist()
         for (w, _), a, z, text in zip(words, at[:-1], at[1:], texts, strict=True):
-            self.known[w] = flat[a:z], text.encode("latin-1")
+            self._keep(w, flat[a:z], text.encode("latin-1"))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes]]:
         """Ids of each text, and the bytes that they decode to, in order. The words of one text are held at a time, and the new ones of a run of texts."""
@@ -247,20 +251,15 @@ class Coder:
                 size += len(held[-1])
 
     def _flush(self, held: list[list[str]]) -> Iterator[tuple[np.ndarray, bytes]]:
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        fresh = []
-        for w in dict.fromkeys(w for words in held for w in words):
-            if w not in known:
-                if w in older:
-                    known[w] = older[w]
-                else:
-                    fresh.append(w)
-        self.learn(fresh)
+        if len(self.known[0]) > REMEMBERED:
+            self.older, self.known = self.known, ({}, {})
+        fresh = set().union(*held) - self.known[0].keys()
+        for w in fresh & self.older[0].keys():
+            self._keep(w, self.older[0][w], self.older[1][w])
+        self.learn(list(fresh - self.older[0].keys()))
+        ids, text = (d.__getitem__ for d in self.known)
         for words in held:
-            both = [known[w] for w in words]
-            yield np.frombuffer(b"".join([ids for ids, _ in both]), "<u4"), b"".join([text for _, text in both])
+            yield np.frombuffer(b"".join(map(ids, words)), "<u4"), b"".join(map(text, words))
 
     def decode(self, many: list[np.ndarray]) -> list[bytes]:
         """Bytes of each sequence of ids: the tokens' bytes in order of position."""
