@@ -44,7 +44,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's output is written and reread as the next one's input, and the tables in between go."""
+    """All stages over documents; each one's output is written and reread as the next one's input, and the tables in between go.
+
+    Null texts count as empty and a row goes by its own id and text, so null and
+    shared ids lose nothing; rows that repeat both stay or go together. Texts of
+    any length go through whole, and columns whatever their names. Ties go as each
+    stage's operator says; empty documents give no rows.
+    """
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for k, (_, stage) in enumerate(STAGES):
         docs = persist(stage(spark, docs, sf_dir), f"pipeline-{k}")
