@@ -36,6 +36,8 @@ HEAD = 1 << 18
 FAR, FAR_BITS = 1 << 62, 1 << 28
 #: Fragments that a task sums up at once.
 BUFFER = 1 << 18
+#: Bytes of a text that become words at once, to the end of a piece.
+SLICE = 1 << 20
 #: Parts in which a language's phrases are ranked before the best of all parts are.
 PARTS = 64
 
@@ -46,9 +48,15 @@ W = [f"w{k}" for k in range(1, LONGEST + 1)]
 _SLOTS = [*(f"l{k}" for k in range(SIDE, 0, -1)), "p", *(f"r{k}" for k in range(1, SIDE + 1))]
 
 
-def _tokens(text: str | None) -> list[bytes]:
-    """Words of a text and, between pieces, the byte 0xFF."""
-    return b"" if text is None else text.encode("utf-8", "surrogatepass").translate(_FOLD).replace(b"\xff", b" \xff ").split()
+def _tokens(text: str | None) -> Iterator[list[bytes]]:
+    """Words of a text and, between pieces, the byte 0xFF, in runs of whole pieces of SLICE bytes or more."""
+    folded = b"" if text is None else text.encode("utf-8", "surrogatepass").translate(_FOLD)
+    at = 0
+    while at < len(folded):
+        end = folded.find(b"\xff", at + SLICE)
+        end = len(folded) if end < 0 else end
+        yield folded[at:end].replace(b"\xff", b" \xff ").split()
+        at = end
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,8 +72,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lang, text in zip(b.column(0), b.column(1), strict=True):
             name = lang.as_py()
-            for w in _tokens(text.as_py()):
-                held[name, w] = held.get((name, w), 0) + 1
+            for tokens in _tokens(text.as_py()):
+                for w in tokens:
+                    held[name, w] = held.get((name, w), 0) + 1
             if len(held) >= BUFFER // 2:
                 yield from _without_marks(held, out)
     yield from _without_marks(held, out)
@@ -165,13 +174,18 @@ def _mapper(words):
         for b in batches:
             parts = []
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                parts += map(known.setdefault(lang, _Numbers(lang, bits, seed)).__getitem__, _tokens(text.as_py()))
-                parts.append(0)
+                number = known.setdefault(lang, _Numbers(lang, bits, seed)).__getitem__
+                for tokens in _tokens(text.as_py()):
+                    parts += map(number, tokens)
+                    parts.append(0)
+                    if len(parts) >= BUFFER:
+                        held.append(_fragments(np.array(parts, np.int64)))
+                        rows, parts = rows + held[-1].num_rows, []
+                    if rows >= BUFFER:
+                        yield from _summed(held).to_batches()
+                        held, rows = [], 0
             held.append(_fragments(np.array(parts, np.int64)))
             rows += held[-1].num_rows
-            if rows >= BUFFER:
-                yield from _summed(held).to_batches()
-                held, rows = [], 0
         if held:
             yield from _summed(held).to_batches()
         del known, held, parts

@@ -80,6 +80,7 @@ def test_phrases(docs, support, top, head):
 
 def test_phrases_in_small_buffers_with_hot_pivots(docs, monkeypatch):
     monkeypatch.setattr(phrases, "BUFFER", 64)
+    monkeypatch.setattr(phrases, "SLICE", 100)
     monkeypatch.setattr(phrases, "HEAVY_SHARE", 10_000)  # most words are dealt over parts
     want = _phrases([(r["text"], r["lang"]) for r in docs.collect()], 8, 300)
     assert {tuple(r) for r in phrases.collocations(docs, support=8, top=300).collect()} == want
