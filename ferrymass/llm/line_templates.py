@@ -25,9 +25,24 @@ CONSTANT = 0.75
 FIELD = "<*>"
 
 
+def _words(line: Column) -> Column:
+    """What a line has between white space."""
+    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda t: t != "")
+
+
+def _general(words: Column) -> Column:
+    """Words as tokens: those with a digit generalised."""
+    return F.transform(words, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+
+
 def _tokens(line: Column) -> Column:
-    """Tokens of a line between white space, those with a digit generalised."""
-    return F.transform(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda t: t != ""), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+    return _general(_words(line))
+
+
+def _leaf(line: Column) -> Column:
+    """A line's leaf; null for one without a token that stays as it is. Words are made once, and only the leading ones generalised."""
+    own = lambda t: F.when(F.exists(t, lambda w: (w != FIELD) & ~w.rlike("[0-9]")), F.xxhash64(F.size(t), _general(F.slice(t, 1, LEADING))))
+    return F.element_at(F.transform(F.array(_words(line)), own), 1)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -49,8 +64,8 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     uid, own_id = F.monotonically_increasing_id(), F.col(id_col)
     base = docs.select(uid.alias("uid"), own_id.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = persist(base.withColumn("who", F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("uid")))), "lines-docs")
-    parsed = _lines(base).select("uid", "who", "line", _tokens(F.col("text")).alias("t")).filter(F.exists("t", lambda x: x != FIELD))
-    leaves = persist(parsed.select("uid", "who", "line", F.xxhash64(F.size("t"), F.slice("t", 1, LEADING)).alias("leaf")), "lines-leaves")
+    # A filter on the leaf in the same stage would make it twice; lines without one are left out by what reads them.
+    leaves = persist(_lines(base).select("uid", "who", "line", _leaf(F.col("text")).alias("leaf")), "lines-leaves").filter("leaf IS NOT NULL")
     common = leaves.groupBy("leaf", "who").agg(F.count("*").alias("own")).groupBy("leaf").agg(F.count("*").alias("docs"), F.sum("own").alias("size")).filter(F.col("docs") >= documents)
     common = persist(common, "lines-common")
     total = leaves.count()
