@@ -43,7 +43,7 @@ CELLS = 1 << 18
 PER_TASK = 1_300_000
 #: A key of over this part of all entries, and of PER_SLOT, is kept out of its slot, so there are fewer such keys than this.
 HEAVY_KEYS = 100_000
-#: Of sets, one in so many tells which keys are that heavy.
+#: Of texts, by their hash, one in so many tells which keys are that heavy.
 PROBE = 64
 #: Sets of one element that meet in one task.
 PER_ELEMENT = 500
@@ -121,26 +121,20 @@ def _sets(texts) -> Iterator[np.ndarray]:
         yield from kernels.shingles(counts, words)
 
 
-ROWS = "doc_id long, no_id boolean, mark long, set long, n long, band long, up long, low long, keys binary"
+#: What _meet tells of a text, in the order of its array, and of the pairs and hot keys of a slot.
+FACTS = ["doc_id", "no_id", "mark", "set", "n", "band", "up", "low"]
+MET = "a long, b long, shared long, key long, row array<long>"
+#: Slots from here down hold FACTS of texts instead of index entries.
+TOLD = -(1 << 40)
+#: Index entries of a text are about one in so many of its bytes; texts of the shortest words have three times as many.
+BYTES_PER_ENTRY = 5
 
 
-def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """ROWS: of each text its set's fingerprint, size and segments, and the set's index keys where the task meets it first."""
-    seen: set[int] = set()
-    for b in batches:
-        rows = []
-        for u in _sets(b["text"].tolist()):
-            if not len(u):
-                # An empty set's fingerprint is 0, not null: a null would make the column float and round the others.
-                rows.append((0, 0, 0, 0, 0, b""))
-                continue
-            own = _set_id(u)
-            keys, facts = index_keys(u)
-            rows.append((own, *facts, b"" if own in seen else keys.astype("<u8").tobytes()))
-            if len(seen) < SEEN:
-                seen.add(own)
-        out = pd.DataFrame(rows, columns=["set", "n", "band", "up", "low", "keys"]).astype(dict.fromkeys(["set", "n", "band", "up", "low"], "int64"))
-        yield pd.concat([b[["doc_id", "no_id", "mark"]].reset_index(drop=True), out], axis=1)
+def _keyed(texts) -> Iterator[tuple[int, np.ndarray, tuple]]:
+    """Of each text its set's fingerprint, index keys, and size and segments."""
+    for u in _sets(texts):
+        # An empty set's fingerprint is 0.
+        yield (_set_id(u), *index_keys(u)) if len(u) else (0, np.empty(0, _U), (0, 0, 0, 0))
 
 
 def _slot_of(key: np.ndarray, slots: int) -> np.ndarray:
@@ -153,18 +147,26 @@ def _name(key: np.ndarray, slots: int) -> np.ndarray:
 
 
 def _names(slots: int):
-    """Names of the keys of the probed sets."""
+    """Names of the keys of the probed texts, once for each set that a task meets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for b in batches:
-            for at in range(0, len(b), 100):
-                yield pd.DataFrame({"key": _name(np.frombuffer(b"".join(b["keys"].iloc[at : at + 100]), "<u8"), slots)})
+            for own, keys, _ in _keyed(b["text"].tolist()):
+                if own not in seen:
+                    yield pd.DataFrame({"key": _name(keys, slots)})
+                if len(seen) < SEEN:
+                    seen.add(own)
 
     return run
 
 
 def _entries(slots: int, heavy: np.ndarray):
-    """Index entries of distinct sets, packed by slot: (key: 4 bytes, set: 8 bytes); those of heavy keys, as (key: 8, set: 8), by set in slots below 0."""
+    """Index entries of texts' sets, packed by slot: (key: 4 bytes, set: 8 bytes); those of heavy keys, as (key: 8, set: 8), by set in slots below 0; a batch's FACTS in one from TOLD down.
+
+    A set has its entries where the task meets it first. Nothing of a text is
+    written between its hashes and the shuffle of its entries.
+    """
 
     def deal(slot: np.ndarray, entry: np.ndarray) -> pd.DataFrame:
         order = np.argsort(slot, kind="stable")
@@ -173,9 +175,9 @@ def _entries(slots: int, heavy: np.ndarray):
         ends = np.append(first[1:], len(slot))
         return pd.DataFrame({"slot": slot[first], "entries": [entry[a:z].tobytes() for a, z in zip(first, ends, strict=True)]})
 
-    def flush(keys: list[bytes], sets: list[int]) -> Iterator[pd.DataFrame]:
-        key = np.frombuffer(b"".join(keys), "<u8")
-        own = np.repeat(np.array(sets, np.int64), [len(k) // 8 for k in keys])
+    def flush(keys: list[np.ndarray], sets: list[int]) -> Iterator[pd.DataFrame]:
+        key = np.concatenate(keys)
+        own = np.repeat(np.array(sets, np.int64), [len(k) for k in keys])
         if len(heavy):
             name = _name(key, slots)
             apart = heavy[np.minimum(np.searchsorted(heavy, name), len(heavy) - 1)] == name
@@ -190,15 +192,24 @@ def _entries(slots: int, heavy: np.ndarray):
             yield deal(_slot_of(key, slots), entry)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         keys, sets, held = [], [], 0
         for b in batches:
-            for k, own in zip(b["keys"], b["set"].tolist(), strict=True):
-                keys.append(k)
-                sets.append(own)
-                held += len(k) // 8
+            told = []
+            for own, found, facts in _keyed(b["text"].tolist()):
+                told.append((own, *facts))
+                if own not in seen and len(found):
+                    keys.append(found)
+                    sets.append(own)
+                    held += len(found)
+                if len(seen) < SEEN:
+                    seen.add(own)
                 if held >= FLUSH:
                     yield from flush(keys, sets)
                     keys, sets, held = [], [], 0
+            if told:
+                row = np.column_stack([b["doc_id"].to_numpy(np.int64), b["no_id"].to_numpy(np.int64), b["mark"].to_numpy(np.int64), np.array(told, np.int64)])
+                yield pd.DataFrame({"slot": [TOLD - int(row[0, 2] & 0xFFFF)], "entries": [row.tobytes()]})
         if held:
             yield from flush(keys, sets)
 
@@ -206,7 +217,7 @@ def _entries(slots: int, heavy: np.ndarray):
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each slot: pairs of sets with the keys they share (a, b, shared), and hot keys with their sets (key, a)."""
+    """MET of each slot: pairs of sets with the keys they share (a, b, shared), and hot keys with their sets (key, a); or the texts' FACTS (row)."""
     slot, parts = None, []
     for batch in batches:
         for s, entries in zip(batch["slot"].tolist(), batch["entries"], strict=True):
@@ -220,9 +231,12 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _slot(slot: int, parts: list[bytes]) -> pd.DataFrame:
+    if slot <= TOLD:
+        rows = np.frombuffer(b"".join(parts), np.int64).reshape(-1, len(FACTS))
+        return pd.DataFrame({"a": np.int64(0), "b": np.int64(0), "shared": np.int64(0), "key": np.int64(0), "row": list(rows)})
     if slot < 0:
         entry = np.unique(np.frombuffer(b"".join(parts), _HEAVY))
-        return pd.DataFrame({"a": entry["set"].astype(np.int64), "b": np.int64(0), "shared": np.int64(0), "key": entry["key"].astype(np.int64)})
+        return pd.DataFrame({"a": entry["set"].astype(np.int64), "b": np.int64(0), "shared": np.int64(0), "key": entry["key"].astype(np.int64), "row": None})
     entry = np.frombuffer(b"".join(parts), _ENTRY)
     key, own = entry["key"], entry["set"]
     order = np.lexsort((own, key))
@@ -247,7 +261,7 @@ def _slot(slot: int, parts: list[bytes]) -> pd.DataFrame:
     pairs = pd.DataFrame({"a": a[edge], "b": b[edge], "shared": shared.astype(np.int64), "key": np.int64(0)})
     hot = np.repeat(size > HOT, size)
     keys = (np.int64(slot) << 32) + key[hot].astype(np.int64)
-    return pd.concat([pairs, pd.DataFrame({"a": own[hot], "b": np.int64(0), "shared": np.int64(0), "key": keys})])
+    return pd.concat([pairs, pd.DataFrame({"a": own[hot], "b": np.int64(0), "shared": np.int64(0), "key": keys})]).assign(row=None)
 
 
 def _arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -299,20 +313,19 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own_id = F.col(id_col).cast("long")
     # A null beside large ids would turn an Arrow batch's ids into rounded floats.
     texts = docs.select(F.coalesce(own_id, F.lit(0)).alias("doc_id"), own_id.isNull().alias("no_id"), _mark(id_col, text_col).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = persist(texts.mapInPandas(tidy(_summaries), ROWS), "near-rows")
-    indexed = rows.select("set", "keys").filter(F.octet_length("keys") > 0)
-    rows = rows.drop("keys").withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
-    least = F.min_by("mark", F.struct(F.col("doc_id").isNull(), "doc_id", "mark"))
-    info = persist(rows.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), least.alias("mark"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("band").alias("band"), F.first("up").alias("up"), F.first("low").alias("low")), "near-info")
-    entries = indexed.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
-    entries = entries // 8 + 1
+    entries = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_PER_ENTRY + 1
     slots = min(max(16, entries // PER_SLOT), 1 << 30)
     bar = max(PER_SLOT, entries // HEAVY_KEYS)
-    probed = indexed.filter(F.pmod("set", F.lit(PROBE)) == 0).mapInPandas(_names(slots), "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") * PROBE > bar)
+    probed = texts.filter(F.pmod(F.xxhash64("text"), F.lit(PROBE)) == 0).select("text").mapInPandas(tidy(_names(slots)), "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") * PROBE > bar)
     heavy = np.sort(np.array([r["key"] for r in probed.select("key").collect()], np.int64))
-    packed = indexed.mapInPandas(tidy(_entries(slots, heavy)), "slot long, entries binary")
+    packed = texts.mapInPandas(tidy(_entries(slots, heavy)), "slot long, entries binary")
     tasks = -(-entries // PER_TASK)
-    met = persist(packed.repartition(tasks, "slot").sortWithinPartitions("slot").mapInPandas(tidy(_meet), "a long, b long, shared long, key long"), "near-met", gather=True)
+    met = persist(packed.repartition(tasks, "slot").sortWithinPartitions("slot").mapInPandas(tidy(_meet), MET), "near-met", gather=True)
+    rows = persist(met.filter("row IS NOT NULL").select(*[F.col("row")[k].alias(c) for k, c in enumerate(FACTS)]), "near-rows")
+    rows = rows.withColumn("doc_id", F.when(F.col("no_id") == 0, F.col("doc_id"))).drop("no_id")
+    met = met.filter("row IS NULL").drop("row")
+    least = F.min_by("mark", F.struct(F.col("doc_id").isNull(), "doc_id", "mark"))
+    info = persist(rows.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), least.alias("mark"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("band").alias("band"), F.first("up").alias("up"), F.first("low").alias("low")), "near-info")
 
     hot = met.filter("key <> 0").select("key", F.col("a").alias("set"))
     hot_of = persist(hot.groupBy("set").agg(F.count("*").alias("hot")), "near-hot")
